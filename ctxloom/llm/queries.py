@@ -24,6 +24,12 @@ def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(write_token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), 2))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
