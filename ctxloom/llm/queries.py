@@ -36,6 +36,12 @@ def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), 1, 2048)
 
 
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .progressive import encode_media, media_digests
+
+    return media_digests(encode_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
