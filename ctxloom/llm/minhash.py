@@ -4,11 +4,11 @@ A document's set is its distinct 5-word shingles; documents with Jaccard
 similarity of at least 75 % are linked, and a group keeps its smallest doc_id.
 
 1. Equal sets collapse into one representative (the smallest doc_id).
-2. Two collections of SIDE keys are computed, each key joining two minhashes;
+2. Two collections of SIDE keys are computed, each key joining three minhashes;
    the SIDE*SIDE tables of the search are the pairs (left key, right key), so
-   144 tables of four minhashes each cost 48 minhashes instead of 576.  A pair
-   at exactly 75 % is missed only if a whole side fails: 2*(1-0.75**2)**12,
-   one in 10,000; at 85 % one in 10**6.  Keys that no other representative has
+   324 tables of six minhashes each cost 108 minhashes instead of 1944.  A pair
+   at exactly 75 % is missed only if a whole side fails: 2*(1-0.75**3)**18,
+   one in 10,000; at 85 % one in 10**7.  Keys that no other representative has
    are dropped before the pairs of keys are formed.
 3. Buckets of up to BUCKET members compare their members with each other.
    Larger ones (groups of copies, shared passages) compare every member only
@@ -40,8 +40,8 @@ from .common import arrow_map, mix64, staged, texts, tune
 from .components import connected_components
 
 WORDS = 5
-SIDE = 12  # keys in each of the two collections
-EACH = 2  # minhashes in a key
+SIDE = 18  # keys in each of the two collections
+EACH = 3  # minhashes in a key
 BUCKET = 32  # members that a bucket may compare with each other
 ROUNDS = 4  # of buckets formed from shared rest shingles
 
