@@ -24,6 +24,12 @@ def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(write_token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), 2))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import select_by_importance
+
+    return select_by_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
