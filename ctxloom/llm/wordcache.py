@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -19,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks a worker remembers.  When full it keeps what it has (common chunks come first); after
 #: STALE misses in that state it starts over, so that a change of language is followed.
-CACHE_ENTRIES, STALE = 400_000, 20_000_000
+CACHE_ENTRIES, STALE = 300_000, 20_000_000
 
 _UNSURE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x00", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
@@ -34,6 +36,7 @@ def _byte_letters() -> list[str]:
 
 
 _BYTE = _byte_letters()
+_MARKS = frozenset(".,")
 
 
 class ChunkIds(dict):
@@ -41,27 +44,32 @@ class ChunkIds(dict):
 
     def __init__(self, tokenizer, dtype: str, spaceless: bool):
         super().__init__()
+        assert sys.byteorder == "little"
         self.tokenizer, self.model, self.dtype, self.spaceless, self.missed = tokenizer, tokenizer.model, dtype, spaceless, 0
+        self.code = "H" if dtype == "<u2" else "I"
 
     def piece(self, chunk: str) -> bytes:
         """The ids of one chunk; Latin letters alone are one piece and need only the merges."""
         word = chunk[1:] if chunk[:1] == " " else chunk
-        if not word.isalpha() or max(word) >= "\u0250":
+        plain = chunk.isascii()
+        if not word.isalpha() or not plain and max(word) >= "\u0250":
             return self.whole(chunk)
         if self.spaceless:
-            word = unicodedata.normalize("NFC", word).lower()
-            if not word.isalpha():
-                return self.whole(chunk)
-            chunk = word
-        mapped = chunk.replace(" ", _BYTE[32]) if chunk.isascii() else "".join(map(_BYTE.__getitem__, chunk.encode()))
-        return np.array([x.id for x in self.model.tokenize(mapped)], self.dtype).tobytes()
+            chunk = word.lower() if plain else unicodedata.normalize("NFC", word).lower()
+            if not plain and not chunk.isalpha():
+                return self.whole(word)
+        mapped = chunk.replace(" ", _BYTE[32]) if plain else "".join(map(_BYTE.__getitem__, chunk.encode()))
+        return array(self.code, [x.id for x in self.model.tokenize(mapped)]).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         # a letter before a final full stop or comma: the mark is a piece of its own
-        ids = self[chunk[:-1]] + self[chunk[-1]] if len(chunk) > 2 and chunk[-1] in ".," and chunk[-2].isalpha() and chunk[:-1].strip().isalpha() else self.piece(chunk)
+        if chunk[-1:] in _MARKS and chunk[-2:-1].isalpha() and chunk[:-1].strip().isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = self.piece(chunk)
         if len(self) < CACHE_ENTRIES:
             self[chunk] = ids
         else:
