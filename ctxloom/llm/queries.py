@@ -36,12 +36,32 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), 1, 2048)
 
 
+def secret_vocabulary():
+    import public_tokenizers
+
+    from .secrets import Vocabulary
+
+    return Vocabulary(vocabulary(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
+def op8_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, secret_digests
+
+    return secret_digests(find_secrets(table(spark, sf_dir, "documents"), secret_vocabulary()))
+
+
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .progressive import encode_media, media_digests
 
