@@ -68,6 +68,12 @@ def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(encode_media(table(spark, sf_dir, "documents")))
 
 
+def op10_block_tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mainhtml import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
