@@ -43,6 +43,7 @@ WORDS = 5
 SIDE = 18  # keys in each of the two collections
 EACH = 3  # minhashes in a key
 BUCKET = 32  # members that a bucket may compare with each other
+WORD_CACHE = 200_000  # word hashes that a worker remembers
 ROUNDS = 4  # of buckets formed from shared rest shingles
 
 _rng = np.random.default_rng(20240229)
@@ -55,7 +56,7 @@ _KEYED = _rng.integers(1, 1 << 63, 2 * SIDE, dtype=np.uint64)
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < WORD_CACHE:
             self[word] = value
         return value
 
@@ -71,7 +72,7 @@ def shingle_set(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
     if n < WORDS:
-        return mix64(np.array([(w * _PLACES[:n]).sum() + _SHORT[n]], np.uint64))
+        return mix64((w * _PLACES[:n]).sum(keepdims=True) + _SHORT[n])
     h = w[: n - WORDS + 1] * _PLACES[0]
     for k in range(1, WORDS):
         h += w[k : n - WORDS + 1 + k] * _PLACES[k]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record, staged, texts, tune
+from .common import record, release, staged, texts, tune
 from .wordcache import TextEncoder
 
 
@@ -107,6 +107,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
                     seen[length] += 1
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place")
             yield record(**{n: (c, pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+        release()
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, place long")
     return staged(pieces, "pieces")

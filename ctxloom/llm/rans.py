@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record, staged, texts, tune
+from .common import record, release, staged, texts, tune
 from .wordcache import TextEncoder
 
 SCALE_BITS = 16
 LANES = 32
 BLOCK_IDS = 8192
-SEGMENT_IDS = 2_000_000  # a segment is closed by the document that reaches this many ids
+SEGMENT_IDS = 1_000_000  # a segment is closed by the document that reaches this many ids
 
 _HEAD = struct.Struct("<4sIQIIIII")
 _LOW16 = np.uint64(0xFFFF)
@@ -182,6 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, segment
                     names, held, size, segment = [], [], 0, segment + 1
         if names:
             yield close()
+        release()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return staged(ordered.mapInArrow(run, "part long, segment long, n_docs long, n_ids long, data binary"), "token_files")
