@@ -18,6 +18,13 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_pieces, piece_digests
+
+    model = vocabulary(PIECE_BPE)
+    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+
+
 def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import token_digests, write_token_files
 
