@@ -37,6 +37,12 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_by_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -86,4 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .urls import ORACLE
+
+    return {"op4_blocked_bloom_urls": ORACLE}
