@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, mix64, staged, texts, tune
 from .components import connected_components
+from .urls import bloom_blocks, possible_hits
 
 WORDS = 5
 SIDE = 18  # keys in each of the two collections
 EACH = 3  # minhashes in a key
 BUCKET = 32  # members that a bucket may compare with each other
 WORD_CACHE = 200_000  # word hashes that a worker remembers
+FILTER_WORDS = 1 << 18  # 64-bit words of the filter of candidates' doc_ids
 ROUNDS = 4  # of buckets formed from shared rest shingles
 
 _rng = np.random.default_rng(20240229)
@@ -124,6 +126,13 @@ def _pairs_within(members: DataFrame, key: list[str], member: Column) -> DataFra
     return first.select(*key, "p", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("q"))
 
 
+def _pairs_with(members: DataFrame, key: list[str], member: Column) -> DataFrame:
+    """Pairs (p, q) of each key with p a member that is `able` (its struct starts with that) and q any other; groups must be small."""
+    lists = members.groupBy(*key).agg(F.collect_list(member).alias("m")).where("exists(m, y -> y.able)")
+    first = lists.select(*key, F.explode(F.filter("m", lambda y: y["able"])).alias("p"), "m")
+    return first.select(*key, "p", F.explode(F.expr("filter(m, y -> y.x <> p.x)")).alias("q"))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with both sets: columns n_a, n_b, inter."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -151,16 +160,22 @@ def _family_links(families: DataFrame, sets: DataFrame) -> tuple[DataFrame, Data
     rest = staged(rest, "rest")
     groups = rest.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("size"), F.max("alone").alias("some"), F.max(F.struct("inter", F.col("x").alias("head"))).alias("best"))
     shared = staged(rest.join(groups.where("size > 1 AND some"), ["leader", "shingle"]), "shared_rest")
-    small = _pairs_within(shared.where(f"size <= {BUCKET}"), ["leader", "shingle"], F.struct("x", "n_a", "inter", "alone"))
-    # pairs of members that both stand with the leader are in one group already
-    rested = small.where("p.alone OR q.alone").groupBy("leader", "p", "q").agg(F.count(F.lit(1)).alias("common"))
-    rested = rested.where("7 * (common + least(p.inter, q.inter)) >= 3 * (p.n_a + q.n_a)").select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+    # only a member with enough shared shingles in and out of the leader can have a link at all
+    least = members.groupBy("leader").agg(F.min("n_a").alias("least_n"))
+    tallies = shared.where("alone").groupBy("leader", "x", "n_a", "inter").agg(F.count(F.lit(1)).alias("any")).join(least, "leader")
+    able = tallies.where("7 * (inter + any) >= 3 * (n_a + greatest(least_n, ceil(0.75 * n_a)))").select("leader", "x", F.lit(True).alias("able"))
+    shared = staged(shared.join(able, ["leader", "x"], "left").withColumn("able", F.coalesce("able", F.lit(False))), "able_rest")
+    small = _pairs_with(shared.where(f"size <= {BUCKET}"), ["leader", "shingle"], F.struct("able", "x", "n_a", "inter"))
+    rested = small.groupBy("leader", "p", "q").agg(F.count(F.lit(1)).alias("common"))
+    rested = rested.where("7 * (common + least(p.inter, q.inter)) >= 3 * (p.n_a + q.n_a)").select(F.least("p.x", "q.x").alias("a"), F.greatest("p.x", "q.x").alias("b"))
     lone = members.where("alone").select("leader", F.col("x").alias("a"), F.col("n_a").alias("n_x"), F.col("inter").alias("with_leader"))
     lone = lone.where("7 * with_leader >= 3 * (n_x + ceil(0.75 * n_x))").select("leader", "a", "n_x", "with_leader", F.explode(F.expr("sequence(cast(ceil(0.75 * n_x) AS int), cast(floor(7 * with_leader / 3) - n_x AS int))")).alias("n_a"))
     short = lone.join(members.select("leader", "n_a", F.col("x").alias("b"), F.col("inter").alias("its")), ["leader", "n_a"]).where("a <> b AND 7 * its >= 3 * (n_x + n_a)")
     short = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _compared(staged(rested.union(short).distinct(), "rest_pairs"), sets).where(_LINKED).select("a", "b")
-    further = shared.where(f"size > {BUCKET}").select("x", F.col("best.head").alias("leader")).distinct()
+    large = shared.where(f"size > {BUCKET}")
+    open_groups = large.where("able").select("leader", "shingle").distinct()
+    further = large.join(open_groups, ["leader", "shingle"], "left_semi").select("x", F.col("best.head").alias("leader")).distinct()
     return found.union(more), further
 
 
@@ -176,7 +191,9 @@ def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFram
     buckets = tables.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("central", F.col("rep").alias("head"))).alias("best")).where("size > 1")
     placed = staged(tables.join(buckets.select("k", "size", F.col("best.head").alias("leader")), "k").select("k", "size", "leader", "rep"), "buckets")
     wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    near = docs.join(wanted, "doc_id")
+    # a Bloom filter of fixed size keeps the texts of other documents out of the shuffle; the join decides
+    near = possible_hits(docs.withColumn("canonical", F.col("doc_id")), bloom_blocks(wanted.select(F.col("doc_id").alias("canonical")), FILTER_WORDS), FILTER_WORDS)
+    near = near.where("maybe_listed").select("doc_id", "text").join(wanted, "doc_id")
     sets = staged(arrow_map(near.select("doc_id", "text"), _sets, "rep long, shingles array<long>"), "sets")
     pairs = _pairs_within(placed.where(f"size <= {BUCKET}"), ["k"], F.col("rep")).select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct()
     links = _compared(staged(pairs, "pairs"), sets).where(_LINKED).select("a", "b")
