@@ -1 +1 @@
-"""functions."""
+"""Column builders: statistics, window features, smoothing, scores."""
