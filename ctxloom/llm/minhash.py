@@ -8,18 +8,19 @@ similarity of at least 75 % are linked, and a group keeps its smallest doc_id.
    the SIDE*SIDE tables of the search are the pairs (left key, right key), so
    324 tables of six minhashes each cost 108 minhashes instead of 1944.  A pair
    at exactly 75 % is missed only if a whole side fails: 2*(1-0.75**3)**18,
-   one in 10,000; at 85 % one in 10**7.  Keys that no other representative has
-   are dropped before the pairs of keys are formed.
+   one in 10,000; at 85 % one in 10**7.  Keys that no other representative of
+   like size has are dropped before the pairs of keys are formed.
 3. Buckets of up to BUCKET members compare their members with each other.
    Larger ones (groups of copies, shared passages) compare every member only
    with the bucket's most central member, its leader.
-4. The exact way for the rest of a large bucket: let x be a member that its
-   leader l does not link.  If x and y are linked, they share at least
-   3/7(|x|+|y|) shingles, of which at most min(|x&l|, |y&l|) lie in l.  So
-   either y shares a shingle with x outside of l - found by joining on
-   (l, shingle) and counting - or y is short enough for |x&l| to reach that
-   bound - found by joining on (l, size).  Shingles outside of l that more than
-   BUCKET members share form buckets of their own, treated alike.
+4. The exact way for the rest of a large bucket (its family).  Shingles outside
+   of the leader l are common if more than BUCKET members have them, else rare.
+   Linked x and y share at least 3/7(|x|+|y|) shingles, of which at most
+   min(|x&l|, |y&l|) lie in l and min(common of x, common of y) are common.
+   Pairs are found by joining on (family, rare shingle) and counting, and, for
+   members that reach the bound without rare shingles, by joining on (family,
+   size).  Before that up to ROUNDS more leaders gather members: pairs that have
+   a leader in common need no comparison, as their group is one already.
 5. Candidates are confirmed on their full sets; components follow from links.
 
 Defined cases: null or blank text has the empty set and links with nothing;
@@ -46,7 +47,7 @@ EACH = 3  # minhashes in a key
 BUCKET = 32  # members that a bucket may compare with each other
 WORD_CACHE = 200_000  # word hashes that a worker remembers
 FILTER_WORDS = 1 << 18  # 64-bit words of the filter of candidates' doc_ids
-ROUNDS = 4  # of buckets formed from shared rest shingles
+ROUNDS = 5  # leaders that a large bucket gets besides its first
 
 _rng = np.random.default_rng(20240229)
 _PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,72 +146,88 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _LINKED = "100 * inter >= 75 * (n_a + n_b - inter)"
 
 
-def _family_links(families: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """families (x, leader) -> (links a, b; further families x, leader): steps 3 and 4 for large buckets."""
-    stars = staged(_compared(families.where("x <> leader").select(F.col("x").alias("a"), F.col("leader").alias("b")).distinct(), sets), "stars")
-    found = stars.where(_LINKED).select("a", "b")
-    # members of leaders that fail to link someone; the leader itself has no rest
-    members = stars.select(F.col("b").alias("leader"), F.col("a").alias("x"), "n_a", "inter", F.expr(f"NOT ({_LINKED})").alias("alone"))
-    troubled = members.groupBy("leader").agg(F.max("alone").alias("some")).where("some").select("leader")
-    members = members.join(troubled, "leader")
-    left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
+#: a member that can be linked without rare shingles
+_INSIDE = "7 * (inter + common) >= 3 * (n_a + least_n)"
+
+
+def _star(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (x, n_a, leader, more) with inter, the shingles each shares with its leader, and whether they are linked."""
     right = sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("sl"))
-    # a linked y with |y&l| = |y| has no rest either, but may still be short: it takes part in the size join only
-    rest = members.join(left, "x").join(right, "leader").select("leader", "x", "n_a", "inter", "alone", F.explode(F.array_except("sx", "sl")).alias("shingle"))
+    left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
+    both = members.join(right, "leader").join(left, "x")
+    out = both.select(*members.columns, F.size("sl").alias("n_b"), F.size(F.array_intersect("sx", "sl")).alias("inter"))
+    return out.withColumn("linked", F.expr(_LINKED))
+
+
+def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """families (family, x, n_a) -> links (a, b): steps 3 and 4 for large buckets, a family being named by its leader."""
+    stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars")
+    links = stars.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b"))
+    troubled = stars.groupBy("family").agg(F.max(~F.col("linked")).alias("some"), F.min("n_a").alias("least_n")).where("some").select("family", "least_n")
+    members = stars.join(troubled, "family").select("family", "x", "n_a", "inter", "linked", "least_n")
+    left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
+    right = sets.select(F.col("rep").alias("family"), F.col("shingles").alias("sl"))
+    # shingles outside of the leader; those that more than BUCKET members have count as the leader's from here on
+    rest = members.join(left, "x").join(right, "family").select("family", "x", F.explode(F.array_except("sx", "sl")).alias("shingle"))
     rest = staged(rest, "rest")
-    groups = rest.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("size"), F.max("alone").alias("some"), F.max(F.struct("inter", F.col("x").alias("head"))).alias("best"))
-    shared = staged(rest.join(groups.where("size > 1 AND some"), ["leader", "shingle"]), "shared_rest")
-    # only a member with enough shared shingles in and out of the leader can have a link at all
-    least = members.groupBy("leader").agg(F.min("n_a").alias("least_n"))
-    tallies = shared.where("alone").groupBy("leader", "x", "n_a", "inter").agg(F.count(F.lit(1)).alias("any")).join(least, "leader")
-    able = tallies.where("7 * (inter + any) >= 3 * (n_a + greatest(least_n, ceil(0.75 * n_a)))").select("leader", "x", F.lit(True).alias("able"))
-    shared = staged(shared.join(able, ["leader", "x"], "left").withColumn("able", F.coalesce("able", F.lit(False))), "able_rest")
-    small = _pairs_with(shared.where(f"size <= {BUCKET}"), ["leader", "shingle"], F.struct("able", "x", "n_a", "inter"))
-    rested = small.groupBy("leader", "p", "q").agg(F.count(F.lit(1)).alias("common"))
-    rested = rested.where("7 * (common + least(p.inter, q.inter)) >= 3 * (p.n_a + q.n_a)").select(F.least("p.x", "q.x").alias("a"), F.greatest("p.x", "q.x").alias("b"))
-    lone = members.where("alone").select("leader", F.col("x").alias("a"), F.col("n_a").alias("n_x"), F.col("inter").alias("with_leader"))
-    lone = lone.where("7 * with_leader >= 3 * (n_x + ceil(0.75 * n_x))").select("leader", "a", "n_x", "with_leader", F.explode(F.expr("sequence(cast(ceil(0.75 * n_x) AS int), cast(floor(7 * with_leader / 3) - n_x AS int))")).alias("n_a"))
-    short = lone.join(members.select("leader", "n_a", F.col("x").alias("b"), F.col("inter").alias("its")), ["leader", "n_a"]).where("a <> b AND 7 * its >= 3 * (n_x + n_a)")
-    short = short.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _compared(staged(rested.union(short).distinct(), "rest_pairs"), sets).where(_LINKED).select("a", "b")
-    large = shared.where(f"size > {BUCKET}")
-    open_groups = large.where("able").select("leader", "shingle").distinct()
-    further = large.join(open_groups, ["leader", "shingle"], "left_semi").select("x", F.col("best.head").alias("leader")).distinct()
-    return found.union(more), further
+    groups = rest.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = staged(rest.join(groups, ["family", "shingle"]), "shared_rest")
+    tallies = shared.groupBy("family", "x").agg(F.count_if(F.col("size") > BUCKET).alias("common"), F.count_if(F.col("size") <= BUCKET).alias("rare"))
+    members = members.join(tallies, ["family", "x"], "left").na.fill(0, ["common", "rare"])
+    least = F.greatest("least_n", F.ceil(0.75 * F.col("n_a"))).alias("least_n")
+    members = staged(members.select("family", "x", "n_a", "inter", "common", "rare", least, F.when(F.col("linked"), F.col("family")).alias("label")), "members")
+    for k in range(ROUNDS):
+        # the next head: at first whoever is nearest to what the family has in common, then whoever is left and lies inside of it
+        choice = members if k == 0 else members.where(_INSIDE).where("label IS NULL")
+        heads = choice.groupBy("family").agg(F.max(F.struct(F.col("inter") + F.col("common"), "x")).alias("best")).select("family", F.col("best.x").alias("leader"))
+        tried = staged(_star(members.where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars")
+        links = links.union(tried.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b")))
+        named = heads.join(members.select("family", F.col("x").alias("leader"), "label"), ["family", "leader"]).select("family", "leader", F.coalesce("label", "leader").alias("new"))
+        won = tried.where("linked").join(named, ["family", "leader"]).select("family", "x", "new").union(named.select("family", "leader", "new"))
+        members = staged(members.join(won, ["family", "x"], "left").withColumn("label", F.coalesce("label", "new")).drop("new"), "members")
+        if members.where(_INSIDE).where("label IS NULL").isEmpty():
+            break
+    # members of the first leader's group have all the links they need, unless one from outside finds them
+    able = members.where("7 * (inter + common + rare) >= 3 * (n_a + least_n) AND NOT label <=> family")
+    small = shared.where(f"size <= {BUCKET}").join(members.select("family", "x", "n_a", "inter", "common", "label"), ["family", "x"])
+    small = small.join(able.select("family", "x", F.lit(True).alias("able")), ["family", "x"], "left").withColumn("able", F.coalesce("able", F.lit(False)))
+    rested = _pairs_with(small, ["family", "shingle"], F.struct("able", "x", "n_a", "inter", "common", "label")).where("NOT coalesce(p.label = q.label, false)")
+    rested = rested.groupBy("family", "p", "q").agg(F.count(F.lit(1)).alias("shared"))
+    rested = rested.where("7 * (shared + least(p.inter, q.inter) + least(p.common, q.common)) >= 3 * (p.n_a + q.n_a)").select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+    sizes = F.explode(F.expr("sequence(cast(least_n AS int), cast(floor(7 * (inter + common) / 3) - n_a AS int))")).alias("n_a")
+    lone = able.where(_INSIDE).select("family", F.col("x").alias("a"), F.col("n_a").alias("n_x"), F.col("inter").alias("inter_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x"), sizes)
+    short = lone.join(members.select("family", "n_a", F.col("x").alias("b"), "inter", "common", "label"), ["family", "n_a"])
+    short = short.where("a <> b AND NOT coalesce(label_x = label, false) AND 7 * (least(inter, inter_x) + least(common, common_x)) >= 3 * (n_x + n_a)").select("a", "b")
+    pairs = rested.union(short).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links.union(_compared(staged(pairs, "rest_pairs"), sets).where(_LINKED).select("a", "b"))
 
 
 def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between representatives of different sets."""
     reps = signatures.join(exact.select(F.col("rep").alias("doc_id"), "one", "two", "n"), ["doc_id", "one", "two", "n"]).dropDuplicates(["doc_id", "one", "two"])
-    sided = reps.select(F.col("doc_id").alias("rep"), F.posexplode("keys").alias("side", "key"))
+    sided = reps.select(F.col("doc_id").alias("rep"), F.col("n").alias("n_rep"), F.posexplode("keys").alias("side", "key"))
     counts = sided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = sided.join(counts, "key")
+    # sizes of linked sets differ by a third at most: each representative stands in two size classes, linked ones share one
+    size_class = F.floor(F.log(F.col("n_rep").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)
+    shared = sided.join(counts, "key").select("rep", "n_rep", "side", F.explode(F.array(size_class, size_class + 1)).alias("class"), "key", "n")
+    classed = shared.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n_class")).where("n_class > 1")
+    shared = shared.join(classed, ["key", "class"])
     left, right = F.collect_list(F.when(F.col("side") < SIDE, F.col("key"))), F.collect_list(F.when(F.col("side") >= SIDE, F.col("key")))
-    sides = shared.groupBy("rep").agg(left.alias("l"), right.alias("r"), F.sum(F.log2("n")).alias("central"))
-    tables = sides.select("rep", "central", F.explode("l").alias("kl"), "r").select("rep", "central", "kl", F.explode("r").alias("kr")).select("rep", "central", F.xxhash64("kl", "kr").alias("k"))
+    sides = shared.groupBy("rep", "n_rep", "class").agg(left.alias("l"), right.alias("r"), F.sum(F.log2("n_class")).alias("central"))
+    tables = sides.select("rep", "n_rep", "class", "central", F.explode("l").alias("kl"), "r").select("rep", "n_rep", "class", "central", "kl", F.explode("r").alias("kr")).select("rep", "n_rep", "central", F.xxhash64("class", "kl", "kr").alias("k"))
+    tables = staged(tables, "tables")
     buckets = tables.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("central", F.col("rep").alias("head"))).alias("best")).where("size > 1")
-    placed = staged(tables.join(buckets.select("k", "size", F.col("best.head").alias("leader")), "k").select("k", "size", "leader", "rep"), "buckets")
-    wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
+    placed = staged(tables.join(buckets.select("k", "size", F.col("best.head").alias("family")), "k").select("k", "size", "family", "rep", "n_rep"), "buckets")
+    pairs = _pairs_within(placed.where(f"size <= {BUCKET}"), ["k"], F.struct("rep", "n_rep")).where("4 * least(p.n_rep, q.n_rep) >= 3 * greatest(p.n_rep, q.n_rep)")
+    pairs = staged(pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).where("a <> b").distinct(), "pairs")
+    families = staged(placed.where(f"size > {BUCKET}").select("family", F.col("rep").alias("x"), F.col("n_rep").alias("n_a")).distinct(), "families")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(families.select("x")).distinct()
     # a Bloom filter of fixed size keeps the texts of other documents out of the shuffle; the join decides
     near = possible_hits(docs.withColumn("canonical", F.col("doc_id")), bloom_blocks(wanted.select(F.col("doc_id").alias("canonical")), FILTER_WORDS), FILTER_WORDS)
     near = near.where("maybe_listed").select("doc_id", "text").join(wanted, "doc_id")
     sets = staged(arrow_map(near.select("doc_id", "text"), _sets, "rep long, shingles array<long>"), "sets")
-    pairs = _pairs_within(placed.where(f"size <= {BUCKET}"), ["k"], F.col("rep")).select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct()
-    links = _compared(staged(pairs, "pairs"), sets).where(_LINKED).select("a", "b")
-    families = placed.where(f"size > {BUCKET}").select(F.col("rep").alias("x"), "leader").distinct()
-    done = None
-    for _ in range(ROUNDS):
-        families = staged(families if done is None else families.join(done, ["x", "leader"], "left_anti"), "families")
-        if families.isEmpty():
-            return links
-        found, further = _family_links(families, sets)
-        links = links.union(found)
-        done = families if done is None else done.union(families)
-        families = further
-    # what still shares shingles in large numbers after all rounds: compared member by member of the same leader
-    rest = staged(families.join(done, ["x", "leader"], "left_anti"), "families")
-    every = rest.join(rest.withColumnRenamed("x", "y"), "leader").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return links.union(_compared(every, sets).where(_LINKED).select("a", "b"))
+    links = _compared(pairs, sets).where(_LINKED).select("a", "b")
+    return links if families.isEmpty() else links.union(_family_links(families, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
