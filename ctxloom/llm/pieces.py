@@ -41,7 +41,7 @@ from .common import arrow_map, texts, tune
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 COMMIT_EVERY = 64  # characters between looks for a common boundary
 
 
