@@ -4,11 +4,11 @@ A document's set is its distinct 5-word shingles; documents with Jaccard
 similarity of at least 75 % are linked, and a group keeps its smallest doc_id.
 
 1. Equal sets collapse into one representative (the smallest doc_id).
-2. Two collections of SIDE keys are computed, each key joining three minhashes;
+2. Two collections of SIDE keys are computed, each key joining four minhashes;
    the SIDE*SIDE tables of the search are the pairs (left key, right key), so
-   324 tables of six minhashes each cost 108 minhashes instead of 1944.  A pair
-   at exactly 75 % is missed only if a whole side fails: 2*(1-0.75**3)**18,
-   one in 10,000; at 85 % one in 10**7.  Keys that no other representative of
+   576 tables of eight minhashes each cost 192 minhashes instead of 4608.  A pair
+   at exactly 75 % is missed only if a whole side fails: 2*(1-0.75**4)**24, two
+   in 10,000; at 80 % one in 100,000, at 85 % one in 10**7.  Keys that no other representative of
    like size has are dropped before the pairs of keys are formed.
 3. Buckets of up to BUCKET members compare their members with each other.
    Larger ones (groups of copies, shared passages) compare every member only
@@ -42,12 +42,12 @@ from .components import connected_components
 from .urls import bloom_blocks, possible_hits
 
 WORDS = 5
-SIDE = 18  # keys in each of the two collections
-EACH = 3  # minhashes in a key
+SIDE = 24  # keys in each of the two collections
+EACH = 4  # minhashes in a key
 BUCKET = 32  # members that a bucket may compare with each other
 WORD_CACHE = 200_000  # word hashes that a worker remembers
 FILTER_WORDS = 1 << 18  # 64-bit words of the filter of candidates' doc_ids
-ROUNDS = 5  # leaders that a large bucket gets besides its first
+ROUNDS = 3  # leaders that a large bucket gets besides its first
 
 _rng = np.random.default_rng(20240229)
 _PLACES = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,8 +167,16 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     members = stars.join(troubled, "family").select("family", "x", "n_a", "inter", "linked", "least_n")
     left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("rep").alias("family"), F.col("shingles").alias("sl"))
-    # shingles outside of the leader; those that more than BUCKET members have count as the leader's from here on
-    rest = members.join(left, "x").join(right, "family").select("family", "x", F.explode(F.array_except("sx", "sl")).alias("shingle"))
+    # shingles outside of the leader, in order; whoever can be linked shares at least `must` of them with someone,
+    # hence one of the first size - must + 1 of both
+    must = F.greatest(F.lit(1), F.ceil(3 * (F.col("n_a") + F.greatest("least_n", F.ceil(0.75 * F.col("n_a")))) / 7 - 1e-9) - F.col("inter"))
+    outside = members.join(left, "x").join(right, "family").select("family", "x", must.alias("must"), F.array_sort(F.array_except("sx", "sl")).alias("rest"))
+    outside = staged(outside, "outside")
+    first = outside.where("size(rest) >= must").select("family", "x", F.explode(F.expr("slice(rest, 1, cast(size(rest) - must + 1 AS int))")).alias("shingle"))
+    met = first.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("family", "shingle")
+    hopeful = first.join(met, ["family", "shingle"]).select("family", "x").distinct()
+    rest = outside.join(hopeful, ["family", "x"]).select("family", "x", F.explode("rest").alias("shingle"))
+    # those that more than BUCKET members have count as the leader's from here on
     rest = staged(rest, "rest")
     groups = rest.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = staged(rest.join(groups, ["family", "shingle"]), "shared_rest")
@@ -180,7 +188,7 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
         # the next head: at first whoever is nearest to what the family has in common, then whoever is left and lies inside of it
         choice = members if k == 0 else members.where(_INSIDE).where("label IS NULL")
         heads = choice.groupBy("family").agg(F.max(F.struct(F.col("inter") + F.col("common"), "x")).alias("best")).select("family", F.col("best.x").alias("leader"))
-        tried = staged(_star(members.where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars")
+        tried = staged(_star((members if k == 0 else members.where(_INSIDE)).where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars")
         links = links.union(tried.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b")))
         named = heads.join(members.select("family", F.col("x").alias("leader"), "label"), ["family", "leader"]).select("family", "leader", F.coalesce("label", "leader").alias("new"))
         won = tried.where("linked").join(named, ["family", "leader"]).select("family", "x", "new").union(named.select("family", "leader", "new"))
@@ -213,7 +221,7 @@ def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFram
     classed = shared.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n_class")).where("n_class > 1")
     shared = shared.join(classed, ["key", "class"])
     left, right = F.collect_list(F.when(F.col("side") < SIDE, F.col("key"))), F.collect_list(F.when(F.col("side") >= SIDE, F.col("key")))
-    sides = shared.groupBy("rep", "n_rep", "class").agg(left.alias("l"), right.alias("r"), F.sum(F.log2("n_class")).alias("central"))
+    sides = shared.groupBy("rep", "n_rep", "class").agg(left.alias("l"), right.alias("r"), F.round(F.sum(F.log2("n")), 6).alias("central"))
     tables = sides.select("rep", "n_rep", "class", "central", F.explode("l").alias("kl"), "r").select("rep", "n_rep", "class", "central", "kl", F.explode("r").alias("kr")).select("rep", "n_rep", "central", F.xxhash64("class", "kl", "kr").alias("k"))
     tables = staged(tables, "tables")
     buckets = tables.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("central", F.col("rep").alias("head"))).alias("best")).where("size > 1")
