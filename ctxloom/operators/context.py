@@ -55,7 +55,7 @@ def combined_folds(per_fold: DataFrame, level: Level, spec: ContextSpec, fold: s
     and one group-by does the rest.
     """
     if folds is not None:
-        others = F.explode(F.array_except(F.array(*map(F.lit, folds)), F.array(F.col(fold).cast("int")))).alias("__to")
+        others = F.explode(F.array_except(F.array(*map(F.lit, folds)), F.array(F.col("__from").cast("int")))).alias("__to")
         per_fold = per_fold.withColumnRenamed(fold, "__from").select(others, *level, *spec.stats, F.col("__from"))
         by = ["__to", *level]
     else:
