@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import math
 import os
 import tempfile
 import uuid
@@ -68,9 +69,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, rows: int | None = None, per_file: int = 250_000) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    rows is an upper estimate where one is known: it keeps small tables in few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / per_file)))
     path = f"{shared_dir(spark).rstrip('/')}/ctxloom/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if path not in _made:

@@ -16,18 +16,18 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     between rounds; nothing but two counters reaches the driver.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = None
+    mark, rows = None, edges.count()
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small.where("u > v"), "links")
+        edges = staged(small.where("u > v"), "links", rows)
         row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark:
             break
-        mark = (row.n, row.h)
+        mark, rows = (row.n, row.h), row.n
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -161,7 +161,8 @@ def _star(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     """families (family, x, n_a) -> links (a, b): steps 3 and 4 for large buckets, a family being named by its leader."""
-    stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars")
+    n = families.count()
+    stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars", n)
     links = stars.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b"))
     troubled = stars.groupBy("family").agg(F.max(~F.col("linked")).alias("some"), F.min("n_a").alias("least_n")).where("some").select("family", "least_n")
     members = stars.join(troubled, "family").select("family", "x", "n_a", "inter", "linked", "least_n")
@@ -171,28 +172,28 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     # hence one of the first size - must + 1 of both
     must = F.greatest(F.lit(1), F.ceil(3 * (F.col("n_a") + F.greatest("least_n", F.ceil(0.75 * F.col("n_a")))) / 7 - 1e-9) - F.col("inter"))
     outside = members.join(left, "x").join(right, "family").select("family", "x", must.alias("must"), F.array_sort(F.array_except("sx", "sl")).alias("rest"))
-    outside = staged(outside, "outside")
+    outside = staged(outside, "outside", n, 20_000)
     first = outside.where("size(rest) >= must").select("family", "x", F.explode(F.expr("slice(rest, 1, cast(size(rest) - must + 1 AS int))")).alias("shingle"))
     met = first.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("family", "shingle")
     hopeful = first.join(met, ["family", "shingle"]).select("family", "x").distinct()
     rest = outside.join(hopeful, ["family", "x"]).select("family", "x", F.explode("rest").alias("shingle"))
     # those that more than BUCKET members have count as the leader's from here on
-    rest = staged(rest, "rest")
+    rest = staged(rest, "rest", 50 * n)
     groups = rest.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = staged(rest.join(groups, ["family", "shingle"]), "shared_rest")
+    shared = staged(rest.join(groups, ["family", "shingle"]), "shared_rest", 50 * n)
     tallies = shared.groupBy("family", "x").agg(F.count_if(F.col("size") > BUCKET).alias("common"), F.count_if(F.col("size") <= BUCKET).alias("rare"))
     members = members.join(tallies, ["family", "x"], "left").na.fill(0, ["common", "rare"])
     least = F.greatest("least_n", F.ceil(0.75 * F.col("n_a"))).alias("least_n")
-    members = staged(members.select("family", "x", "n_a", "inter", "common", "rare", least, F.when(F.col("linked"), F.col("family")).alias("label")), "members")
+    members = staged(members.select("family", "x", "n_a", "inter", "common", "rare", least, F.when(F.col("linked"), F.col("family")).alias("label")), "members", n)
     for k in range(ROUNDS):
         # the next head: at first whoever is nearest to what the family has in common, then whoever is left and lies inside of it
         choice = members if k == 0 else members.where(_INSIDE).where("label IS NULL")
         heads = choice.groupBy("family").agg(F.max(F.struct(F.col("inter") + F.col("common"), "x")).alias("best")).select("family", F.col("best.x").alias("leader"))
-        tried = staged(_star((members if k == 0 else members.where(_INSIDE)).where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars")
+        tried = staged(_star((members if k == 0 else members.where(_INSIDE)).where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars", n)
         links = links.union(tried.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b")))
         named = heads.join(members.select("family", F.col("x").alias("leader"), "label"), ["family", "leader"]).select("family", "leader", F.coalesce("label", "leader").alias("new"))
         won = tried.where("linked").join(named, ["family", "leader"]).select("family", "x", "new").union(named.select("family", "leader", "new"))
-        members = staged(members.join(won, ["family", "x"], "left").withColumn("label", F.coalesce("label", "new")).drop("new"), "members")
+        members = staged(members.join(won, ["family", "x"], "left").withColumn("label", F.coalesce("label", "new")).drop("new"), "members", n)
         if members.where(_INSIDE).where("label IS NULL").isEmpty():
             break
     # members of the first leader's group have all the links they need, unless one from outside finds them
@@ -207,7 +208,7 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     short = lone.join(members.select("family", "n_a", F.col("x").alias("b"), "inter", "common", "label"), ["family", "n_a"])
     short = short.where("a <> b AND NOT coalesce(label_x = label, false) AND 7 * (least(inter, inter_x) + least(common, common_x)) >= 3 * (n_x + n_a)").select("a", "b")
     pairs = rested.union(short).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.union(_compared(staged(pairs, "rest_pairs"), sets).where(_LINKED).select("a", "b"))
+    return links.union(_compared(staged(pairs, "rest_pairs", 10 * n), sets).where(_LINKED).select("a", "b"))
 
 
 def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFrame) -> DataFrame:
