@@ -34,9 +34,9 @@ from .common import record, release, staged, texts, tune
 from .wordcache import TextEncoder
 
 SCALE_BITS = 16
-LANES = 32
+LANES = 64
 BLOCK_IDS = 8192
-SEGMENT_IDS = 1_000_000  # a segment is closed by the document that reaches this many ids
+SEGMENT_IDS = 2_000_000  # a segment is closed by the document that reaches this many ids
 
 _HEAD = struct.Struct("<4sIQIIIII")
 _LOW16 = np.uint64(0xFFFF)
