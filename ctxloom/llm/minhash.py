@@ -162,7 +162,7 @@ def _star(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     """families (family, x, n_a) -> links (a, b): steps 3 and 4 for large buckets, a family being named by its leader."""
     n = families.count()
-    stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars", n)
+    stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars", n, 2_000)
     links = stars.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b"))
     troubled = stars.groupBy("family").agg(F.max(~F.col("linked")).alias("some"), F.min("n_a").alias("least_n")).where("some").select("family", "least_n")
     members = stars.join(troubled, "family").select("family", "x", "n_a", "inter", "linked", "least_n")
@@ -172,7 +172,7 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     # hence one of the first size - must + 1 of both
     must = F.greatest(F.lit(1), F.ceil(3 * (F.col("n_a") + F.greatest("least_n", F.ceil(0.75 * F.col("n_a")))) / 7 - 1e-9) - F.col("inter"))
     outside = members.join(left, "x").join(right, "family").select("family", "x", must.alias("must"), F.array_sort(F.array_except("sx", "sl")).alias("rest"))
-    outside = staged(outside, "outside", n, 20_000)
+    outside = staged(outside, "outside", n, 2_000)
     first = outside.where("size(rest) >= must").select("family", "x", F.explode(F.expr("slice(rest, 1, cast(size(rest) - must + 1 AS int))")).alias("shingle"))
     met = first.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("family", "shingle")
     hopeful = first.join(met, ["family", "shingle"]).select("family", "x").distinct()
@@ -189,7 +189,7 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
         # the next head: at first whoever is nearest to what the family has in common, then whoever is left and lies inside of it
         choice = members if k == 0 else members.where(_INSIDE).where("label IS NULL")
         heads = choice.groupBy("family").agg(F.max(F.struct(F.col("inter") + F.col("common"), "x")).alias("best")).select("family", F.col("best.x").alias("leader"))
-        tried = staged(_star((members if k == 0 else members.where(_INSIDE)).where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars", n)
+        tried = staged(_star((members if k == 0 else members.where(_INSIDE)).where("label IS NULL").join(heads, "family").where("x <> leader").select("family", "x", "n_a", "leader"), sets), "stars", n, 2_000)
         links = links.union(tried.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b")))
         named = heads.join(members.select("family", F.col("x").alias("leader"), "label"), ["family", "leader"]).select("family", "leader", F.coalesce("label", "leader").alias("new"))
         won = tried.where("linked").join(named, ["family", "leader"]).select("family", "x", "new").union(named.select("family", "leader", "new"))
