@@ -1 +1 @@
-"""sources."""
+"""Sources and sinks: tables, files, registries, schemas."""
