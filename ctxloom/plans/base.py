@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import ORDER, QUANTILES
 from ..sources.tables import table
 
-__all__ = ["FOLD", "LINE_FOLD", "SQL_FOLD", "lines", "r", "rounded", "sql_r", "sql_stat", "table"]
+__all__ = ["SQL_FOLD", "line_fold", "lines", "r", "rounded", "sql_r", "sql_stat", "table"]
 
 
 def shift(n: int) -> float:
@@ -42,9 +42,11 @@ def sql_stat(stat: str, y: str) -> str:
     return plain[stat] if stat in plain else quantile(ORDER[stat][0] if stat in QUANTILES else 0.5)
 
 
-#: The fold of a line item, the same in both engines.
-LINE_FOLD = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 5
-FOLD = LINE_FOLD.cast("int")
+def line_fold() -> Column:
+    """The fold of a line item, the same in both engines."""
+    return ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % 5).cast("int")
+
+
 SQL_FOLD = "CAST((l_orderkey * 31 + l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 5 AS INTEGER)"
 
 

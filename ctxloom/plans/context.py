@@ -9,7 +9,7 @@ from ..config import VARIANTS, ContextSpec
 from ..functions.relative import ratio_features
 from ..operators.backoff import backoff_summary
 from ..operators.context import ContextEstimator, time_fold_audit
-from .base import FOLD, SQL_FOLD, r, sql_r, sql_stat, table
+from .base import SQL_FOLD, line_fold, r, sql_r, sql_stat, table
 
 ROW = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 Y = "l_extendedprice"
@@ -151,7 +151,7 @@ def _cf_sql(columns: str, with_key: bool) -> str:
 def _crossfit(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(*ROW, Y)
     spec = ContextSpec(Y, ("l_suppkey",), _CF, strategy="random", n_folds=5)
-    return ContextEstimator(spec, fold_of=lambda d: d.withColumn("fold", FOLD)).fit_transform(df)
+    return ContextEstimator(spec, fold_of=lambda d: d.withColumn("fold", line_fold())).fit_transform(df)
 
 
 @register("cf_random", _cf_sql(f"{sql_r('coalesce(k.mean, g.mean)')} AS l_suppkey_{Y}_mean, {sql_r('coalesce(k.median, g.median)')} AS l_suppkey_{Y}_median, coalesce(k.count, g.count) AS l_suppkey_{Y}_count", True))
