@@ -39,7 +39,7 @@ BLOCK_IDS = 8192
 SEGMENT_IDS = 2_000_000  # a segment is closed by the document that reaches this many ids
 
 _HEAD = struct.Struct("<4sIQIIIII")
-_LOW16 = np.uint64(0xFFFF)
+_LOW16, _SHIFT = np.uint32(0xFFFF), np.uint32(16)
 
 
 class CorruptSegment(ValueError):
@@ -75,19 +75,19 @@ def encode_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarr
         rank = np.full(blocks * steps * lanes, np.argmax(freq), np.uint32)  # the tail is padded by the commonest symbol
         rank[: len(coded)] = where[coded]
         rank = rank.reshape(blocks, steps, lanes)
-        cum = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint64)
-        wide = freq.astype(np.uint64)
-        state = np.full((blocks, lanes), 1 << 16, np.uint64)
+        cum = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint32)
+        state = np.full((blocks, lanes), 1 << 16, np.uint32)  # stays below 2**32 throughout
         words = np.empty((steps, blocks, lanes), np.uint16)
         sent = np.empty((steps, blocks, lanes), bool)
         for t in range(steps - 1, -1, -1):
             s = rank[:, t]
-            f = wide[s]
-            spill = state >= f << np.uint64(16)
+            f = freq[s]
+            high = state >> _SHIFT
+            spill = high >= f
             words[t], sent[t] = (state & _LOW16).astype(np.uint16), spill
-            state = np.where(spill, state >> np.uint64(16), state)
+            state = np.where(spill, high, state)
             q = state // f
-            state = (q << np.uint64(16)) + (state - q * f) + cum[s]
+            state = (q << _SHIFT) + (state - q * f) + cum[s]
         by_block = sent.transpose(1, 0, 2)
         stream = words.transpose(1, 0, 2)[by_block]
         first = np.concatenate([[0], np.cumsum(by_block.reshape(blocks, -1).sum(1))])[:-1]
@@ -119,31 +119,31 @@ def read_segment(data: bytes, only: range | None = None) -> tuple[np.ndarray, np
     chosen = np.arange(blocks)[only.start : only.stop] if only is not None else np.arange(blocks)
     ids = np.zeros(0, "<u4")
     if len(chosen):
-        freq = pairs[:, 1].astype(np.uint64)
+        freq = pairs[:, 1].astype(np.uint32)
         if int(freq.sum()) != 1 << SCALE_BITS:
             raise CorruptSegment("frequency table")
         owner = np.repeat(np.arange(n_symbols, dtype=np.uint32), pairs[:, 1].astype(np.int64))
-        cum = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint64)
-        bias = np.arange(1 << SCALE_BITS, dtype=np.uint64) - cum[owner]
+        cum = np.concatenate([[0], np.cumsum(freq)])[:-1].astype(np.uint32)
+        bias = np.arange(1 << SCALE_BITS, dtype=np.uint32) - cum[owner]
         share = freq[owner]
-        state = table["state"][chosen].astype(np.uint64)
+        state = table["state"][chosen].astype(np.uint32)
         at_word = table["word"][chosen].astype(np.int64)
-        padded = np.concatenate([stream, np.zeros(lanes + 1, "<u2")]).astype(np.uint64)
+        padded = np.concatenate([stream, np.zeros(lanes + 1, "<u2")]).astype(np.uint32)
         rank = np.empty((len(chosen), steps, lanes), np.uint32)
         for t in range(steps):
             slot = state & _LOW16
             rank[:, t] = owner[slot]
-            state = share[slot] * (state >> np.uint64(16)) + bias[slot]
-            need = state < np.uint64(1 << 16)
-            offset = np.cumsum(need, 1)
+            state = share[slot] * (state >> _SHIFT) + bias[slot]
+            need = state <= _LOW16
+            offset = np.cumsum(need, 1, dtype=np.int32)
             word = padded[np.minimum(at_word[:, None] + offset - 1, len(padded) - 1)]
-            state = np.where(need, (state << np.uint64(16)) | word, state)
+            state = np.where(need, (state << _SHIFT) | word, state)
             at_word += offset[:, -1]
         coded = pairs[:, 0][rank.reshape(len(chosen), per)].astype("<u4")
         for row, b in zip(coded, chosen, strict=True):
             if zlib.crc32(row[: min(per, total - b * per)].tobytes()) != table["crc"][b]:
                 raise CorruptSegment(f"block {b}")
-        if (state != np.uint64(1 << 16)).any():
+        if (state != np.uint32(1 << 16)).any():
             raise CorruptSegment("final states")
         ids = coded.reshape(-1)[: total - int(chosen[0]) * per]
         if halves:

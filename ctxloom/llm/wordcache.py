@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks a worker remembers.  When full it keeps what it has (common chunks come first); after
 #: STALE misses in that state it starts over, so that a change of language is followed.
-CACHE_ENTRIES, STALE = 700_000, 20_000_000
+CACHE_ENTRIES, STALE = 1_000_000, 20_000_000
 
 _UNSURE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x00", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
