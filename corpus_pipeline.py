@@ -15,9 +15,13 @@ from ctxloom.llm.secrets import redact_secrets
 
 
 def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id was kept; doc_id is unique in documents."""
-    kept = verdicts.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of docs whose doc_id was kept.
+
+    doc_id is unique in documents; where it is not, rows of one id stay or go
+    together (they stay if one of them is kept), and so do rows without an id.
+    """
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,17 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     out = cp.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_edge_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns, and an empty table pass all stages."""
+    prose = " ".join(f"w{k} the" for k in range(60))
+    rows = [(1, prose, "en", 5, "a"), (1, prose, "en", 5, "a"), (None, prose + " end", None, None, None), (2, None, "en", 0, "b"), (3, "", "en", 0, "b"), (4, "x " * 400, "en", 800, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, kept string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for source in (docs, docs.limit(0)):
+        step = source
+        for name, stage in cp.STAGES[:-1]:
+            step = cp.staged(stage(spark, step, str(tmp_path)), name)
+            assert step.columns == docs.columns
+        assert cp.packing(spark, step, str(tmp_path)).count() >= step.count()
