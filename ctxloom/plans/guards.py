@@ -32,9 +32,10 @@ def guard_pit_mutated(spark, sf_dir):
     return guards.pit_violations(_late(spark, sf_dir)).select("event_id")
 
 
-@register("guard_tight", f"{_J}, m AS (SELECT event_id, published_at - INTERVAL 5 DAY AS p, period_close_ts FROM j WHERE event_id % 10 = 0) SELECT event_id FROM m JOIN s USING (period_close_ts) WHERE p <= previous_close")
+@register("guard_tight", f"{_J}, m AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN published_at - INTERVAL 5 DAY ELSE published_at END AS p, period_close_ts FROM j) SELECT event_id FROM m JOIN s USING (period_close_ts) WHERE p <= previous_close")
 def guard_tight(spark, sf_dir):
-    early = bound(spark, sf_dir).where("event_id % 10 = 0").withColumn("published_at", (F.col("published_at") - F.expr("INTERVAL 5 DAYS")).cast("timestamp_ntz"))
+    moved = F.when(F.col("event_id") % 10 == 0, F.col("published_at") - F.expr("INTERVAL 5 DAYS")).otherwise(F.col("published_at"))
+    early = bound(spark, sf_dir).withColumn("published_at", moved.cast("timestamp_ntz"))
     return guards.tightness_violations(early, sessions(spark, sf_dir)).select("event_id")
 
 
@@ -50,10 +51,10 @@ def guard_prob_sum(spark, sf_dir):
     return guards.prob_sum_violations(a).select("event_id")
 
 
-@register("guard_cache_fresh", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 4 <> 0)")
+@register("guard_cache_fresh", "SELECT doc_id FROM documents WHERE lang = 'en' AND text NOT IN (SELECT text FROM documents WHERE lang <> 'en')")
 def guard_cache_fresh(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("article_key"))
-    return guards.stale_cache_violations(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0")).select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("article_key"))
+    return guards.stale_cache_violations(docs.where("lang <> 'en'"), docs.where("lang = 'en'")).select("doc_id")
 
 
 @register("guard_reproducible", f"{_J}, g AS (SELECT DISTINCT ticker, period_close_ts FROM j) SELECT ticker, period_close_ts, CASE WHEN ticker % 9 = 2 THEN 'missing' ELSE 'differs' END AS problem FROM g WHERE ticker % 9 IN (2, 5)")

@@ -78,11 +78,11 @@ def shuffled_groups(spark, sf_dir):
 
 @register("gbt_walk_forward")
 def gbt_walk_forward(spark, sf_dir):
-    """A short walk-forward over daily closes of events: two folds, one horizon, small trees."""
+    """A short walk-forward over daily closes of events: one horizon, small trees."""
     e = panel(spark, sf_dir)
     daily = e.groupBy(F.col("user_id").alias("ticker"), F.date_trunc("day", "ts").alias("period_close_ts")).agg(F.avg("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
     features = add_technical_features(daily).select("ticker", "period_close_ts", "close", "ret_1d_log", "sma_5", "ema_5", "macd").withColumn("sector", F.col("ticker") % 5)
-    spec = WalkForwardSpec(horizons=(1,), train=14, val=3, test=3, step=4, max_folds=2, trees=3, depth=2)
+    spec = WalkForwardSpec(horizons=(1,), train=14, val=3, test=3, step=4, trees=3, depth=2)
     return forecast.run_walk_forward(features, spec).predictions.select("fold_idx", "split", "ticker", "period_close_ts", "ret_h1", "pred_h1", "pred_h1_q05", "pred_h1_q95")
 
 
