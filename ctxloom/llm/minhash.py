@@ -236,7 +236,10 @@ def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFram
     near = near.where("maybe_listed").select("doc_id", "text").join(wanted, "doc_id")
     sets = staged(arrow_map(near.select("doc_id", "text"), _sets, "rep long, shingles array<long>"), "sets")
     links = _compared(pairs, sets).where(_LINKED).select("a", "b")
-    return links if families.isEmpty() else links.union(_family_links(families, sets))
+    if families.isEmpty():
+        return links
+    members = families.select(F.col("x").alias("rep")).distinct()
+    return links.union(_family_links(families, staged(sets.join(members, "rep", "left_semi"), "family_sets")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
