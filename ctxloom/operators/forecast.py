@@ -14,7 +14,7 @@ from ..config import WalkForwardSpec
 from ..functions.windows import forward_targets, panel
 from .folds import period_rank, walk_forward_folds
 from .guards import design_columns, fold_violations
-from .metrics import accuracy, across_folds, long_short, portfolio, select_horizon
+from .metrics import accuracy, across_folds, comparison, long_short, portfolio, select_horizon
 from .models import Trained, train_model
 
 
@@ -131,3 +131,15 @@ def partial_enrichment(estimator, ts: str):
 
 def ranked_periods(df: DataFrame, ts: str) -> DataFrame:
     return period_rank(df, ts, "period")
+
+
+def run_baseline_vs_context(features: DataFrame, spec: WalkForwardSpec, enrich, **more) -> tuple[WalkForwardResult, WalkForwardResult, DataFrame]:
+    """The same walk-forward without and with enrichment, and test accuracy side by side per horizon and fold."""
+    plain, rich = run_walk_forward(features, spec, **more), run_walk_forward(features, spec, enrich=enrich, **more)
+
+    def per_fold(result: WalkForwardResult) -> DataFrame:
+        test = result.predictions.where("split = 'test'")
+        long = reduce(DataFrame.unionByName, [test.select("fold_idx", F.lit(h).alias("horizon"), F.col(f"ret_h{h}").alias("ret"), F.col(f"pred_h{h}").alias("pred")) for h in spec.horizons])
+        return accuracy(long, "ret", "pred", ["horizon", "fold_idx"])
+
+    return plain, rich, comparison(per_fold(plain), per_fold(rich), ["horizon", "fold_idx"])

@@ -115,3 +115,15 @@ def run_all(frames: dict[str, DataFrame], experiments: list[Experiment], folder:
             r.save(folder)
         out.append(r)
     return out
+
+
+def compare_key_modes(df: DataFrame, e: Experiment) -> dict:
+    """The experiment with its own keys and with detected ones, and the differences."""
+    from dataclasses import replace
+
+    from .levels import detect_keys
+
+    found = tuple(detect_keys(df, (e.target, *e.row_key, *e.numeric, *([e.time_col] if e.time_col else []))))
+    manual, auto = run_experiment(df, e), run_experiment(df, replace(e, keys=found))
+    deltas = {f"{leg}_{k}": getattr(auto, leg)[k] - getattr(manual, leg)[k] for leg in ("baseline", "context") for k in ("rmse", "r2")}
+    return {"manual": asdict(manual), "auto": asdict(auto), "keys": found, "auto_minus_manual": deltas | {"improvement": auto.improvement - manual.improvement}}

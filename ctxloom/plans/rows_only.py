@@ -98,3 +98,19 @@ def stream_context(spark, sf_dir):
     from ..streaming.context import enrich_once
 
     return enrich_once(spark, f"{sf_dir}/orders.parquet")
+
+
+@register("panel_enrichment")
+def panel_enrichment(spark, sf_dir):
+    """Rolling context of daily closes over tickers, segments and months; nations and regions stand for industry and size."""
+    from ..config import HierarchySpec
+    from ..operators.enrich import PanelEnricher
+
+    daily = panel(spark, sf_dir).groupBy(F.col("user_id").alias("ticker"), F.date_trunc("day", "ts").alias("period_close_ts")).agg(F.avg("close").alias("close"))
+    from ..functions.windows import panel as window
+    from ..functions.windows import returns
+
+    features = daily.select("*", *returns("close", window(), (1,)))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.col("c_mktsegment").alias("sector"), F.col("c_nationkey").cast("string").alias("industry"), (F.col("c_nationkey") % 3).cast("string").alias("mktcap_bucket"))
+    out, _ = PanelEnricher(c, HierarchySpec(min_group_size=5, n_folds=3)).fit_transform(features)
+    return out.select("ticker", "period_close_ts", "sector", "ticker_ret_1d_mean", "sector_ret_1d_mean", "sector__time_bucket_ret_1d_mean", "global_ret_1d_mean")
