@@ -177,12 +177,12 @@ class WalkForwardSpec:
 
 # Named sets of statistics.
 VARIANTS = {
-    "sce": DEFAULT_STATS,
+    "full": DEFAULT_STATS,
     "target_mean": ("mean",),
     "mean_count": ("mean", "count"),
     "mean_std_count": ("mean", "std", "count"),
 }
-VARIANT_LABELS = {"sce": "Full context", "target_mean": "Target mean", "mean_count": "Mean and count", "mean_std_count": "Mean, std and count"}
+VARIANT_LABELS = {"full": "Full context", "target_mean": "Target mean", "mean_count": "Mean and count", "mean_std_count": "Mean, std and count"}
 
 
 def variant(name: str) -> tuple[str, ...]:

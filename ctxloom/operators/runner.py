@@ -27,7 +27,7 @@ class Experiment:
     numeric: tuple[str, ...]
     row_key: tuple[str, ...]
     time_col: str | None = None
-    variant: str = "sce"
+    variant: str = "full"
     strategy: str = "random"
     holdout: float = 0.2
     sample: int | None = 50_000

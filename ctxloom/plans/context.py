@@ -36,7 +36,7 @@ def _single(name: str, stats):
     return query
 
 
-_single("ctx_single_mean", VARIANTS["sce"])
+_single("ctx_single_mean", VARIANTS["full"])
 for _v in ("target_mean", "mean_count", "mean_std_count"):
     _single(f"variant_{_v}", VARIANTS[_v])
 
