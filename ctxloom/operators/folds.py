@@ -22,13 +22,21 @@ def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, n
 def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """The row's 0-based place in a global order, without putting all rows into one task.
 
-    Rows are range-partitioned and numbered within partitions; partition sizes -
-    a row each - are accumulated and joined back.  Ties need a full order key.
+    Ranges of the order key are cut at bounds from a fixed sample (the rows of
+    smallest hash), rows are numbered within ranges, and range sizes - a row
+    each - are accumulated and joined back.  The range is a function of the key
+    alone, so recomputed tasks and both branches of the plan agree on it.  Ties
+    need a full order key; nulls come first.
     """
-    parted = df.repartitionByRange(*map(F.col, order)).withColumn("__part", F.spark_partition_id())
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[F.col(c) for c in order])
+    sample = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(16 * ranges)
+    bounds = sample.agg(F.filter(F.array_sort(F.collect_list("__k")), lambda _, k: k % 16 == 15).alias("__bounds"))  # one row
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", key)
+    placed = placed.withColumn("__part", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds", "__key")
     within = Window.partitionBy("__part").orderBy(*order)
-    numbered = parted.withColumn("__at", F.row_number().over(within) - 1)
-    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    numbered = placed.withColumn("__at", F.row_number().over(within) - 1)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     offsets = sizes.select("__part", before.alias("__before"))
     return numbered.join(offsets, "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")

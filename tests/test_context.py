@@ -106,6 +106,10 @@ def test_fold_bounds():
 def test_positions_number_all_rows(spark):
     df = spark.range(5000).selectExpr("id", "pmod(id * 7919, 5000) AS v")
     assert positions(df, ["v"]).where("v <> position").count() == 0
+    wide = spark.range(200_000, numPartitions=7).selectExpr("id", "CASE WHEN id >= 3 THEN pmod(id * 7919, 200000) DIV 50 END AS v")
+    got = positions(wide, ["v", "id"]).orderBy("v", "id")
+    assert got.where("v IS NULL AND position > 2").isEmpty() and got.agg(F.count_distinct("position"), F.max("position")).first()[:] == (200_000, 199_999)
+    assert got.where("v IS NOT NULL AND (position - 3 < v * 50 - 3 OR position > v * 50 + 53)").isEmpty()
 
 
 def test_detected_keys(spark):
