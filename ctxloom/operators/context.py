@@ -41,11 +41,16 @@ def spec_levels(spec: ContextSpec) -> list[Level]:
     return make_levels(spec.keys, spec.interactions, spec.depth, spec.allowed_interactions)
 
 
-def fold_stats(df: DataFrame, level: Level, spec: ContextSpec, fold: str) -> DataFrame:
-    """Statistics of each fold alone: fold, level columns, statistics; size limits hold within a fold."""
+def stats_of(df: DataFrame, level: Level, spec: ContextSpec, fold: str | None = None) -> DataFrame:
+    """A level's statistics, of each fold alone if fold is given; size limits hold within a fold.
+
+    All rows are the largest group there is: their order statistics are always
+    computed by ranges, those of keyed levels as the settings say.
+    """
+    extra = (fold,) if fold else ()
     if level:
-        return level_stats(df, level, spec.target, spec.stats, spec.min_group_size, (fold,))
-    return global_stats(df, spec.target, spec.stats, (fold,))
+        return level_stats(df, level, spec.target, spec.stats, spec.min_group_size, extra, spec.quantiles)
+    return global_stats(df, spec.target, spec.stats, extra, "refined")
 
 
 def combined_folds(per_fold: DataFrame, level: Level, spec: ContextSpec, fold: str, folds: list[int] | None, variance: bool) -> DataFrame:
@@ -80,7 +85,7 @@ def join_level(df: DataFrame, stats: DataFrame, level: Level, target: str, extra
     by = [*extra, *level]
     named = stats.select(*[F.col(k).alias(f"__k_{k}") for k in by], *[F.col(c).alias(column(level, target, c)) for c in stats.columns if c not in by])
     if not by:
-        return df.crossJoin(F.broadcast(named.limit(1)))  # one row
+        return df.join(F.broadcast(named.limit(1)), F.lit(True), "left")  # one row, or none without targets
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
     return df.join(named, condition, "left").drop(*[f"__k_{k}" for k in by])
 
@@ -134,7 +139,7 @@ class ContextEstimator:
     def fit(self, df: DataFrame) -> ContextModel:
         """Statistics of all rows."""
         spec = resolve_keys(df, self.spec)
-        return ContextModel(spec, {x: level_stats(df, x, spec.target, spec.stats, spec.min_group_size) if x else global_stats(df, spec.target, spec.stats) for x in _all_levels(spec)})
+        return ContextModel(spec, {x: stats_of(df, x, spec) for x in _all_levels(spec)})
 
     def fit_transform(self, df: DataFrame) -> tuple[DataFrame, ContextModel]:
         """Out-of-fold context of the rows, and the model for later rows."""
@@ -152,7 +157,7 @@ class ContextEstimator:
     def _random(self, df: DataFrame, spec: ContextSpec) -> tuple[DataFrame, ContextModel]:
         own = self.fold_of is None
         folded = balanced_fold(df, list(self.row_key or df.columns), spec.n_folds, spec.seed, "__fold") if own else self.fold_of(df).withColumnRenamed("fold", "__fold")
-        per_fold = {x: fold_stats(folded, x, spec, "__fold") for x in _all_levels(spec)}
+        per_fold = {x: stats_of(folded, x, spec, "__fold") for x in _all_levels(spec)}
         out = folded
         for level, stats in per_fold.items():
             out = join_level(out, combined_folds(stats, level, spec, "__fold", list(range(spec.n_folds)), True), level, spec.target, ("__fold",))
@@ -176,8 +181,7 @@ class ContextEstimator:
         train, rows = (placed.where(side(F.col("__pos"), bound, s)) for s in ("train", "val"))
         out = rows
         for level in _all_levels(spec):
-            stats = level_stats(train, level, spec.target, spec.stats, spec.min_group_size) if level else global_stats(train, spec.target, spec.stats)
-            out = join_level(out, stats, level, spec.target)
+            out = join_level(out, stats_of(train, level, spec), level, spec.target)
         return _finished(out, spec, cardinalities(rows, spec.keys))
 
 

@@ -49,7 +49,7 @@ def level_stats(df: DataFrame, level: Level, target: str, stats: tuple[str, ...]
         if by:
             both = moments.join(ranked.select(*[F.col(k).alias(f"__k_{k}") for k in by], "__p"), [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by], "left")
         else:
-            both = moments.crossJoin(F.broadcast(ranked.limit(1)))  # one row each
+            both = moments.join(F.broadcast(ranked.limit(1)), F.lit(True), "left")  # one row, or none without values
     else:
         both = df.groupBy(*by).agg(size.alias("__size"), *aggregates(F.col(target), stats))
     return both.where(F.col("__size") >= min_size).select(*by, *unpacked(stats))

@@ -124,3 +124,13 @@ def test_cleanup_reasons_and_replay(spark):
     assert set(c.transform(df).columns) == {"y", "w", *({"u", "v"} - set(c.dropped["correlated"]))} and 0 < c.removal_rate < 1
     e = Cleanup(CleanupSpec(use_vif=True, correlation=0.9999999), "y").fit(df)
     assert "vif" in e.dropped
+
+
+def test_no_targets_and_no_rows(spark):
+    """Without any target all context is null, and no row is lost."""
+    df = spark.createDataFrame([("a", None, 1), ("b", None, 2)], "k string, y double, id int")
+    for stats in (("mean", "median"), ("mean", "q05", "count")):
+        for strategy in ("off", "random"):
+            out, model = ContextEstimator(ContextSpec("y", ("k",), stats, 1, strategy, 3), ("id",)).fit_transform(df)
+            assert out.count() == 2 and out.where("k_y_mean IS NOT NULL").isEmpty() and model.transform(df).count() == 2
+            assert ContextEstimator(ContextSpec("y", ("k",), stats, 1, strategy, 3), ("id",)).fit_transform(df.limit(0))[0].count() == 0
