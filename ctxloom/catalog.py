@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shipping import ship
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -28,9 +31,19 @@ def _load() -> None:
     from . import plans  # noqa: F401  registers on import
 
 
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries by name; each makes the package known to workers before it runs."""
     _load()
-    return dict(_QUERIES)
+    return {name: _shipped(f) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -129,6 +129,11 @@ def advantage(base: float, context: float) -> float:
     return (base - context) / base * 100 if base else 0.0
 
 
+def leakage_signal(out_of_fold: float, in_fold: float) -> float:
+    """Percentage points by which improvement falls when statistics see their own rows: negative if leakage harms unseen rows."""
+    return in_fold - out_of_fold
+
+
 def permuted_target_passes(advantages: list[float], limit: float = 1.0) -> bool:
     return sum(advantages) / len(advantages) < limit
 

@@ -10,7 +10,7 @@ from ..operators import asof, guards
 from ..operators.prepare import alive, requested
 from .base import r, sql_r, table
 from .panel import _frame, _PANEL, panel
-from .sessions import _ARTICLES, _BOUND, _S, _W, articles, bound, sessions
+from .sessions import _ARTICLES, _BOUND, _S, articles, bound, sessions
 
 _J = f"WITH {_S}, {_ARTICLES}, {_BOUND}"
 #: every 50th article is moved a week past its close
@@ -139,5 +139,3 @@ def permuted_column(spark, sf_dir):
     both = p.join(o.withColumnRenamed("o_totalprice", "was"), "o_orderkey")
     return both.agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"), (F.avg((F.col("was") != F.col("o_totalprice")).cast("double")) > 0.9).alias("moved"))
 
-
-assert _W

@@ -29,11 +29,11 @@ def cached_scoring(spark, sf_dir):
     return scored.select("doc_id", "article_key", "score")
 
 
-def _model_rows(spark, sf_dir, spoil=lambda d: d):
+def _model_rows(spark, sf_dir, spoil=lambda d: d, strategy="random"):
     """Enriched training and test rows; spoil changes the training rows before they are enriched."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     split = random_holdout(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
-    spec = ContextSpec("l_extendedprice", ("l_suppkey", "l_returnflag"), ("mean", "std", "count"), min_group_size=3, n_folds=3)
+    spec = ContextSpec("l_extendedprice", ("l_suppkey", "l_returnflag"), ("mean", "std", "count"), min_group_size=3, strategy=strategy, n_folds=3)
     train, test = spoil(split.where("split = 'train'").drop("split")), split.where("split = 'test'").drop("split")
     enriched, model = ContextEstimator(spec, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).fit_transform(train)
     return enriched, model.transform(test), ["l_quantity", "l_discount", "l_tax"], ["l_suppkey_l_extendedprice_mean", "l_returnflag_l_extendedprice_mean"]
@@ -69,6 +69,17 @@ def permuted_target(spark, sf_dir):
     return spark.createDataFrame([(k, v, guards.permuted_target_passes(found)) for k, v in enumerate(found)], "run int, advantage double, passed boolean")
 
 
+@register("crossfit_ab")
+def crossfit_ab(spark, sf_dir):
+    """What in-fold statistics would seem to gain on the training side of the same experiment: the leakage they carry."""
+    found = {}
+    for strategy in ("random", "off"):
+        train, test, base, context = _model_rows(spark, sf_dir, strategy=strategy)
+        found[strategy] = models.two_legs("ridge", train, test, base, context, "l_extendedprice").improvement
+    signal = guards.leakage_signal(found["random"], found["off"])
+    return spark.createDataFrame([(found["random"], found["off"], signal)], "out_of_fold double, in_fold double, leakage_signal_pp double")
+
+
 @register("shuffled_groups")
 def shuffled_groups(spark, sf_dir):
     real = _advantage(spark, sf_dir, lambda d: d)
