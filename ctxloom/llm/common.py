@@ -6,17 +6,16 @@ import atexit
 import contextlib
 import ctypes
 import math
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Rows and bytes a batch may hold from the Parquet reader and on its way to Python; bounds memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
@@ -24,24 +23,6 @@ _made: set[str] = set()
 _local: list[str] = []
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of a cluster, once per application; local workers that find it themselves are left alone."""
-    context = spark.sparkContext
-    root = Path(__file__).resolve().parents[2]
-    near = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
-    if context.applicationId in _shipped or context.master.startswith("local") and root in near:
-        return
-    _shipped.add(context.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="ctxloom-")) / "ctxloom.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for f in sorted((root / "ctxloom").rglob("*.py")):
-            archive.write(f, f.relative_to(root))
-    context.addPyFile(str(target))
-
-
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts, and make the package known to workers."""
     ship(spark)
