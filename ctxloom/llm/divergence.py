@@ -7,6 +7,14 @@ References are the summed histograms of all documents of a language; languages
 beyond the LANGS most frequent, and null, share the reference of all documents.
 A histogram is only judged above a minimum length.
 
+A text without common words is nearer to its reference than a clean text in two
+languages, so the word distance alone cannot tell it.  The common-word histogram
+is therefore judged a second time as two classes, common and other words: a text
+with a smaller share of common words than its reference is rejected beyond
+COMMON_PART of the distance that a text without any has to that reference.
+References with a share below MIN_COMMON_SHARE are of no known language, and
+judge no text this way.
+
 Words are runs of characters other than space and U+0009-U+000D.
 
 Defined cases: null text has no words; it fails the base rules.  A null doc_id
@@ -27,6 +35,7 @@ from .minhash import _words
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50  # base rules
 MIN_CHARS, MIN_COMMON_WORDS = 200, 100  # below these a histogram is not judged
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.42
+COMMON_PART, MIN_COMMON_SHARE = 0.36, 0.1  # of labelled documents of 100+ words, good ones reach 0.29, junk starts at 0.41
 LANGS = 64
 
 # Frequent function words of the known languages, most frequent first.
@@ -113,6 +122,14 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(empty, 0, np.sqrt(np.maximum((parts[0] + parts[1]) / 2, 0)))
 
 
+def lacks_common(common: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Whether the rows of a common-word table have too few common words for those of the reference table."""
+    p, q = (np.stack([x[:, :-1].sum(1), x[:, -1]], 1) for x in (common, reference))
+    share, usual = (x[:, 0] / np.maximum(x.sum(1), 1) for x in (p, q))
+    none = np.tile([0, 1], (len(p), 1))
+    return (usual >= MIN_COMMON_SHARE) & (share < usual) & (js_distance(p, q) > COMMON_PART * js_distance(none, q))
+
+
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -148,10 +165,10 @@ def judge_quality(docs: DataFrame) -> DataFrame:
         langs = [x if x in known else None for x in batch.column(1).to_pylist()]
         n_words, repeat = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 6))
         classes, common = (np.array(batch.column(k).to_pylist()) for k in (7, 8))
-        chars = js_distance(classes, np.array([known[x][0] for x in langs]))
-        words = js_distance(common, np.array([known[x][1] for x in langs]))
+        usual = np.array([known[x][1] for x in langs])
+        chars, words = js_distance(classes, np.array([known[x][0] for x in langs])), js_distance(common, usual)
         failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-        odd = (classes.sum(1) >= MIN_CHARS) & (chars > MAX_CHAR_DISTANCE) | (n_words >= MIN_COMMON_WORDS) & (words > MAX_WORD_DISTANCE)
+        odd = (classes.sum(1) >= MIN_CHARS) & (chars > MAX_CHAR_DISTANCE) | (n_words >= MIN_COMMON_WORDS) & (words > MAX_WORD_DISTANCE) | (n_words >= MIN_WORDS) & lacks_common(common, usual)
         columns = [batch.column(0), *batch.columns[2:7], pa.array(failed), pa.array(np.round(chars, 6)), pa.array(np.round(words, 6)), pa.array(~(failed | odd))]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
 

@@ -70,3 +70,26 @@ def test_edge_rows(spark):
     got = dv.judge_quality(df).collect()
     assert len(got) == 6 and [r.kept for r in got if r.doc_id in (1, 2, 3)] == [False] * 3
     assert dv.judge_quality(df.limit(0)).count() == 0
+
+
+def prose(lang, n, other, every=4):
+    """n words, every fourth one a common word of the language."""
+    common = dv.COMMON_WORDS[lang].split()
+    return " ".join(common[(k * 7 // every) % len(common)] if k % every == 0 else f"{other}{k}" for k in range(n))
+
+
+def test_texts_without_common_words(spark):
+    rows = [(lang, 1, prose(lang, 300, f"w{k}x")) for lang in dv.COMMON_WORDS for k in range(20)]
+    rows += [(lang, 0, " ".join(f"v{k}x" for k in range(n))) for lang in dv.COMMON_WORDS for n in (60, 100, 1000)]
+    rows += [("en", 1, prose("en", 150, "w") + " " + prose("de", 150, "x")), (None, 1, prose("en", 300, "w")), (None, 0, " ".join(f"u{k}y" for k in range(300)))]
+    rows += [("xx", 1, " ".join(f"z{j}q{k}" for k in range(300))) for j in range(3)]  # a language without these words
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, good int, text string")
+    kept = {r.doc_id: r.kept for r in dv.judge_quality(df).collect()}
+    assert [(k, r[1]) for k, r in enumerate(rows) if kept[k] != bool(r[1])] == []
+
+
+def test_labelled_junk_is_rejected(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in op6_divergence_rules(spark, sf).collect() if r.n_words >= 100 and not r.base_failed]
+    assert [r.doc_id for r in rows if r.doc_id in labels and r.kept != (labels[r.doc_id] == 1)] == []
