@@ -2,8 +2,11 @@
 
 Base kinds are patterns.  The method adds kind `random`: a run of key-like
 characters that costs many tokens for its length under a byte-pair vocabulary
-is no language, so it is taken for a secret, unless it is a digest of known
-length, a UUID, a number, or an identifier made of plain words and numbers.
+is no language, so it is taken for a secret.  Only then a digest of known
+length, a UUID, a number, and an identifier are left out; an identifier is one
+whose own parts are cheap: at least half of its letters stand in words that take
+a token for three letters or more, or between separators that are SHORT apart.
+Alphabets and gene sequences cost as much as keys and count as random.
 
 Spans count code points, ends are exclusive; a span is the whole match.
 Added spans never overlap base spans.
@@ -27,6 +30,7 @@ from .common import arrow_map, texts, tune
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24  # characters
 MIN_RANDOM, MAX_CHARS_PER_TOKEN = 20, 2.0
+MIN_WORD, MIN_WORD_CHARS_PER_TOKEN, SHORT = 4, 3, 3  # of the parts of an identifier
 
 # The base patterns; keywords in either case, ASCII letters only.
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -80,24 +84,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def known_shape(run: str) -> bool:
+def known_shape(run: str, vocabulary: Vocabulary) -> bool:
     """A digest, UUID, number, or identifier rather than a random string."""
-    if run.isalpha() or run.isdigit() or _UUID.fullmatch(run):
+    if _UUID.fullmatch(run) or len(run) in _DIGESTS and _ALL_HEX.fullmatch(run):
         return True
-    if len(run) in _DIGESTS and _ALL_HEX.fullmatch(run):
-        return True
-    parts = [p for piece in re.split(r"[+/_=-]+", run) for p in _PART.findall(piece)]
-    letters = [p for p in parts if p.isalpha()]
-    return not letters or sum(map(len, letters)) / len(letters) >= 4
+    letters = plain = 0
+    for piece in re.split(r"[+/_=-]+", run):
+        for part in filter(str.isalpha, _PART.findall(piece)):
+            letters += len(part)
+            if len(piece) <= SHORT or len(part) >= MIN_WORD and is_word(part, vocabulary):
+                plain += len(part)
+    return 2 * plain >= letters
+
+
+def is_word(part: str, vocabulary: Vocabulary) -> bool:
+    """Whether letters are cheap in tokens as they are, in lower case, or after a space."""
+    low = part.lower()
+    return any(MIN_WORD_CHARS_PER_TOKEN * vocabulary.tokens(x) <= len(part) for x in (part, low, f" {low}"))
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], vocabulary: Vocabulary) -> list[tuple[str, int, int]]:
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
-        if not any(c.isdigit() for c in run) or known_shape(run) or any(a < m.end() and m.start() < b for _, a, b in taken):
+        if any(a < m.end() and m.start() < b for _, a, b in taken):
             continue
-        if len(run) < MAX_CHARS_PER_TOKEN * vocabulary.tokens(run):
+        if len(run) < MAX_CHARS_PER_TOKEN * vocabulary.tokens(run) and not known_shape(run, vocabulary):
             out.append(("random", m.start(), m.end()))
     return out
 

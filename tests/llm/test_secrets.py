@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +35,19 @@ def test_random_strings_and_known_shapes():
     assert base == every and len(base) == 1
 
 
+def test_random_keys_of_any_alphabet():
+    v, rng = secret_vocabulary(), random.Random(5)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (low + up, low, up, up + "234567", low + digits, up + digits, low + up + digits, low + up + digits + "+/", low + up + digits + "-_"):
+        for n in (20, 32, 47):
+            keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(200)]
+            exposed = [k for k in keys if n < sc.MAX_CHARS_PER_TOKEN * v.tokens(k)]
+            found = [k for k in exposed if sc.random_spans(f"see {k} here", [], v) == [("random", 4, 4 + n)]]
+            assert len(exposed) > 170 and len(found) > 0.99 * len(exposed), alphabet
+    for text in ("report_2024_11_26_13_45_07", "SQL_ATTR_ODBC_CURSORS_V2", "TLS_ECDHE_RSA_WITH_AES_256_GCM_SHA384", "/2024/11/26/how-to-do-it-in-10-steps", "a_b_c_d_e_f_g_h_i_j_k_l", "+49-30-1234567-89-12", "en_US-UTF-8_de_DE-UTF-8", hashlib.sha256(b"x").hexdigest().upper()):
+        assert len(text) < sc.MAX_CHARS_PER_TOKEN * v.tokens(text) and sc.random_spans(text, [], v) == [], text
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
