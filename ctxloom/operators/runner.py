@@ -30,7 +30,7 @@ class Experiment:
     variant: str = "full"
     strategy: str = "random"
     holdout: float = 0.2
-    sample: int | None = 50_000
+    sample: int | None = None  # rows to keep, if not all
     model: str = "gradient_boosting"
     n_folds: int = 5
     seed: int = 42

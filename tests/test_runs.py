@@ -20,6 +20,13 @@ def test_experiment_improves_on_groups(spark, tmp_path):
     assert runner.run_all({}, [e], str(tmp_path)) == [] and (tmp_path / "failures.jsonl").exists()
 
 
+def test_experiment_keeps_all_rows_unless_asked(spark):
+    df, e = rows(spark, 60_000), runner.Experiment("toy", "y", ("g",), ("x",), ("id",), variant="mean_count", model="ridge", n_folds=3)
+    train, test = runner.split_rows(df, e)
+    assert e.sample is None and train.count() + test.count() == 60_000
+    assert runner.run_experiment(df, e).context["n"] == test.count() > 11_000
+
+
 def test_search_and_pruning(spark):
     df = rows(spark, 400).selectExpr("x", "double(substr(g, 2)) AS c_mean", "double(pmod(id, 3)) AS c_count", "y")
     train, val, test = df.randomSplit([0.6, 0.2, 0.2], 1)
