@@ -3,8 +3,10 @@
 Base counts and rules per document, then two histograms - character classes and
 the common words of the known languages - are compared with the reference of
 the document's language by the Jensen-Shannon distance (base 2, 0 to 1).
-References are the summed histograms of all documents of a language; languages
-beyond the LANGS most frequent, and null, share the reference of all documents.
+References are the summed histograms of all documents of a language, in a table
+of one row per language; documents without one have the reference of all
+documents.  The references of the LANGS most frequent languages go to the tasks
+as they are, the others by a join, in which no language is a large share of rows.
 A histogram is only judged above a minimum length.
 
 A text without common words is nearer to its reference than a clean text in two
@@ -146,27 +148,37 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, f"doc_id long, lang string, {_COUNTS}, classes array<long>, common array<long>")
 
 
-def references(counts: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """lang -> (class counts, common-word counts) of the LANGS most frequent languages; None: of all documents."""
+def references(counts: DataFrame) -> DataFrame:
+    """lang, n, usual_classes, usual_common: the documents of a language and their summed histograms, null for those without one."""
     width = (len(_CLASS_NAMES), len(_VOCABULARY) + 1)
-    sums = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c, n in zip(("classes", "common"), width, strict=True) for k in range(n)]
-    by_lang = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
-    whole = counts.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    take = lambda r: (np.array([r[f"classes{k}"] or 0 for k in range(width[0])]), np.array([r[f"common{k}"] or 0 for k in range(width[1])]))
-    return {r.lang: take(r) for r in by_lang if r.lang is not None} | {None: take(whole)}
+    sums = [F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(f"usual_{c}") for c, n in zip(("classes", "common"), width, strict=True)]
+    return counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def whole(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(class counts, common-word counts) of all documents."""
+    width = (len(_CLASS_NAMES), len(_VOCABULARY) + 1)
+    found = known.agg(*[F.array(*[F.coalesce(F.sum(F.col(f"usual_{c}")[k]), F.lit(0)) for k in range(n)]).alias(c) for c, n in zip(("classes", "common"), width, strict=True)]).first()
+    return np.array(found.classes), np.array(found.common)
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, char_distance, word_distance, kept for every document (doc_id, text, lang)."""
     counts = staged(quality_counts(docs), "counts")
-    known = references(counts)
+    table = staged(references(counts), "references")
+    named = table.where("lang IS NOT NULL")
+    frequent = named.orderBy(F.desc("n"), "lang").limit(LANGS + 1).collect()
+    known = {r.lang: (np.array(r.usual_classes), np.array(r.usual_common)) for r in frequent[:LANGS]} | {None: whole(table)}
+    if len(frequent) > LANGS:
+        here = F.coalesce(F.col("lang").isin([x for x in known if x is not None]), F.lit(True))
+        counts = counts.where(~here).join(named.where(~here).drop("n"), "lang").select(*counts.columns, "usual_classes", "usual_common").unionByName(counts.where(here), allowMissingColumns=True)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs = [x if x in known else None for x in batch.column(1).to_pylist()]
+        joined = [(np.array(a), np.array(b)) if a else None for a, b in zip(*(batch.column(k).to_pylist() for k in (9, 10)), strict=True)] if batch.num_columns > 9 else [None] * batch.num_rows
+        usual_classes, usual = map(np.array, zip(*(r or known[x] for r, x in zip(joined, batch.column(1).to_pylist(), strict=True)), strict=True))
         n_words, repeat = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 6))
         classes, common = (np.array(batch.column(k).to_pylist()) for k in (7, 8))
-        usual = np.array([known[x][1] for x in langs])
-        chars, words = js_distance(classes, np.array([known[x][0] for x in langs])), js_distance(common, usual)
+        chars, words = js_distance(classes, usual_classes), js_distance(common, usual)
         failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
         odd = (classes.sum(1) >= MIN_CHARS) & (chars > MAX_CHAR_DISTANCE) | (n_words >= MIN_COMMON_WORDS) & (words > MAX_WORD_DISTANCE) | (n_words >= MIN_WORDS) & lacks_common(common, usual)
         columns = [batch.column(0), *batch.columns[2:7], pa.array(failed), pa.array(np.round(chars, 6)), pa.array(np.round(words, 6)), pa.array(~(failed | odd))]

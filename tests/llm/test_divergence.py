@@ -93,3 +93,18 @@ def test_labelled_junk_is_rejected(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in op6_divergence_rules(spark, sf).collect() if r.n_words >= 100 and not r.base_failed]
     assert [r.doc_id for r in rows if r.doc_id in labels and r.kept != (labels[r.doc_id] == 1)] == []
+
+
+def test_every_language_has_its_own_reference(spark):
+    """Rare languages are judged as they would be alone, however many languages there are."""
+    rare = [(f"r{k:03}", " ".join(f"слово{j}к{k}" for j in range(120))) for k in range(30)]
+    many = [(f"m{k:03}", prose("en", 120, f"w{j}")) for k in range(dv.LANGS + 6) for j in range(2)]
+    rows = [*enumerate([*rare, *many, ("en", prose("en", 300, "w")), (None, prose("en", 300, "w"))])]
+    df = spark.createDataFrame([(k, *r) for k, r in rows], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in dv.judge_quality(df).collect()}
+    assert len(got) == len(rows) and [(k, x) for k, (x, _) in rows if x and not got[k].kept] == []
+    count = [dv.document_counts(t)[5:] for _, (_, t) in rows]
+    for k, (lang, _) in rows:
+        classes, common = (sum(c[i] for c, (_, (x, _)) in zip(count, rows) if lang is None or x == lang) for i in (0, 1))
+        assert abs(got[k].char_distance - dv.js_distance(count[k][0][None], classes[None])[0]) < 1e-5
+        assert abs(got[k].word_distance - dv.js_distance(count[k][1][None], common[None])[0]) < 1e-5
