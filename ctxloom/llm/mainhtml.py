@@ -9,7 +9,9 @@ references are decoded.
 
 Blocks end at every block-level tag and at <br>.  Script, style and similar raw
 elements and comments hold no text.  Unclosed elements end with the container
-they stand in.
+they stand in; the text of an option ends at the next tag but its own inline ones.
+A word in a wrapper's class does not make the outermost article or main element
+furniture, unless the wrapper is hidden or of a kind that holds other articles.
 
 Defined cases: null or empty html gives an empty text; a page without main
 blocks gives an empty text; null url and page_id stay null; repeated rows give
@@ -35,11 +37,16 @@ _HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?t
 _PIECE = re.compile(r"[a-z]+")
 
 # Element names of the markup language by what they mean here.
-RAW = frozenset("script style noscript template textarea iframe svg math object select title option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("annotation annotation-xml script style noscript template textarea iframe svg object select title".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meta link q s samp small span strike strong sub sup time tt u var wbr "
+    "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside form menu button dialog fieldset header".split())
 ARTICLE = frozenset("article main".split())
+# Wrappers whose articles are not the page's own.
+OTHERS = frozenset("nav footer aside menu button dialog comment comments reply replies disqus discussion related recommended promo promotion".split())
 # Words in class, id and role that mark page furniture.
 MARKED = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu topbar toolbar header masthead "
@@ -61,16 +68,20 @@ def flat_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
     text: list[tuple[str, bool]] = []  # runs of the open block, and whether they are in a link
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, furniture, article
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, furniture (2: an article inside is too), article
     link = 0
 
+    def boiler() -> bool:
+        first = next((k for k, s in enumerate(stack) if s[0] in ARTICLE), 0)
+        return any(s[1] == 2 or s[1] and k >= first for k, s in enumerate(stack))
+
     def close() -> None:
         if not text:
             return
         whole = " ".join("".join(t for t, _ in text).split())
         if whole:
             linked = sum(len(t.split()) for t, a in text if a)
-            out.append(Block(whole, whole.count(" ") + 1, linked, any(s[1] for s in stack), any(s[2] for s in stack)))
+            out.append(Block(whole, whole.count(" ") + 1, linked, boiler(), any(s[2] for s in stack)))
         text.clear()
 
     at = 0
@@ -90,7 +101,14 @@ def flat_blocks(page: str) -> list[Block]:
             if not ending and not attributes.endswith("/"):
                 close_at = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = close_at.end() if close_at else len(page)
+            if not name.startswith("annotation"):  # these stand inside formulas
+                close()
+            continue
+        if name == "option" and not ending:
             close()
+            while (end := _TAG.search(page, at)) and (not (inner := (end[2] or end[5] or "").lower()) or inner in INLINE):
+                at = end.end()
+            at = end.start() if end else len(page)  # its text is passed over up to here
             continue
         if name == "a":
             link = 0 if ending else 1
@@ -111,10 +129,11 @@ def flat_blocks(page: str) -> list[Block]:
             stack.pop()  # these end where the next of their kind begins
         marks = {w for g in _NAMES.findall(attributes) for part in g for w in _PIECE.findall(part.lower())}
         within = any(s[2] for s in stack)
-        furniture = bool(marks & MARKED) or name in BOILER and not (name == "header" and within) or bool(_HIDDEN.search(attributes))
+        hidden = bool(_HIDDEN.search(attributes))
+        furniture = bool(marks & MARKED) or name in BOILER and not (name == "header" and within) or hidden
         if name in ("html", "body", *ARTICLE):
-            furniture = bool(_HIDDEN.search(attributes)) or name in ARTICLE and bool(marks & {"comment", "comments"})
-        stack.append((name, furniture, name in ARTICLE or "articlebody" in attributes.lower()))
+            furniture = hidden or name in ARTICLE and bool(marks & {"comment", "comments"})
+        stack.append((name, furniture + (furniture and (hidden or name in OTHERS or bool(marks & OTHERS))), name in ARTICLE or "articlebody" in attributes.lower()))
     close()
     return out
 

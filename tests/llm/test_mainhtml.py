@@ -28,6 +28,17 @@ def test_page_without_article_elements():
     assert mh.main_text(page) == f"Headline of the story\n{para.strip()}\n{para.strip()}"
 
 
+def test_markup_around_an_article_does_not_lose_it():
+    body = "<article><h1>Title of it</h1><p>" + "word " * 30 + "</p></article>"
+    want = "Title of it\n" + ("word " * 30).strip()
+    for before in ("<datalist><option value=a><option value=b></datalist>", "<datalist><option value=a>A<option>B <b>bold</b>", "<datalist><option>A</option><option>B</option></datalist>", "<div class='layout has-sidebar'>", "<div class=search><div id=widgets><form>"):
+        assert mh.main_text(f"<body>{before}{body}") == want, before
+    for before in ("<div hidden>", "<div class=comments>", "<aside>", "<div class=related>", "<main><div class=sidebar>"):
+        assert "Title of it" not in mh.main_text(f"<body>{before}{body}"), before
+    math = "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2 in source</annotation></math> holds for all of the values.</p></article>"
+    assert mh.main_text(math) == "Where x=2 holds for all of the values."
+
+
 def test_tree_learns_its_table_and_held_out_rows():
     x, y = mh.labelled_table()
     assert (mh.TREE.predict(x) == y).mean() > 0.95
