@@ -4,9 +4,11 @@ Two generative models over hashed n-grams are counted: the target model on a
 bounded, documented sample of labelled good rows (LABELS rows, smallest hash of
 doc_id first), the raw model on all documents.  N-grams are byte trigrams and
 pairs of word shapes (case, length class, last byte, whether the word repeats
-the one before).  A document's log weight is the sum of log(target / raw) over
-its n-grams, each ratio shrunk towards 1 where the target sample would hardly
-have seen the n-gram.
+the one before, told by length and two sums of its bytes).  A document's log weight is that of a passage of PASSAGE bytes
+of it: the mean of log(target / raw) over its n-grams, times PASSAGE, each ratio
+shrunk towards 1 where the target sample would hardly have seen the n-gram.  So
+weights do not grow with the length of a text, and the noise below matters for
+documents between the two models, whatever their length.
 
 Resampling without replacement is Gumbel top-k: key = log weight + Gumbel noise
 (a fixed function of seed and doc_id), the k largest keys are kept.  k is the
@@ -14,9 +16,12 @@ number of target-like documents that the weights themselves imply, the sum of
 their logistic values.  The k-th key is found exactly by rounds of
 counting in ever narrower ranges of keys, so nothing is sorted or collected.
 
-Defined cases: null text is empty, has weight 0 and competes by noise alone; a
-null doc_id has noise of its own; repeated rows get equal keys, and rows tied at
-the k-th key are all kept; without good labels nothing is rejected.
+Defined cases: null text is empty, has weight 0 and competes by noise alone; the
+noise of a null doc_id is a function of its text; repeated rows get equal keys,
+and rows tied at the k-th key are all kept (none if k is 0); without good labels
+nothing is rejected; an empty table gives an empty table.  Texts are read in
+parts of PART characters, cut at white space where there is some (n-grams across
+such a cut are not counted), so memory does not grow with a text's length.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ LABELS = 20_000  # labelled good rows the target model is fitted on
 TRIGRAMS, SHAPES = 1 << 14, 1 << 12  # hash buckets
 SHRINK = 5.0  # pseudo-counts added to both sides of every ratio
 OVERLAP = 4.0  # n-grams that each character takes part in: the sum is divided by it
+PASSAGE = 500  # bytes of text whose weight decides
+PART = 1 << 20  # characters whose n-grams are held at once
 SEED = 17
 
 _SPACE = np.zeros(256, bool)
@@ -83,21 +90,44 @@ def hashed_ngrams(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return code, starts[:-1], shapes, at[:-1]
 
 
+def in_parts(docs: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in groups of at most PART characters: (place of the document, text), long texts cut at white space."""
+    places: list[int] = []
+    held: list[str] = []
+    size = 0
+    for place, text in enumerate(docs):
+        at = 0
+        while True:
+            end = min(len(text), at + PART)
+            if end < len(text):
+                end = next((c for w in " \n\t" if (c := text.rfind(w, at + PART // 2, end)) > 0), end)
+            if held and size + end - at > PART:
+                yield places, held
+                places, held, size = [], [], 0
+            places.append(place)
+            held.append(text[at:end])
+            size += end - at
+            at = end
+            if at >= len(text):
+                break
+    if held:
+        yield places, held
+
+
 def ngram_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(target, raw) counts by bucket over docs (text, target): each task sends a row per bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, TRIGRAMS + SHAPES), np.int64)
         for batch in batches:
-            rows = texts(batch.column(0))
-            if not rows:
-                continue
-            code, at, shape, shape_at = hashed_ngrams(rows)
-            good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for own, first in ((code, at), (shape, shape_at)):
-                total[1] += np.bincount(own, minlength=TRIGRAMS + SHAPES)
-                if good.any():
-                    total[0] += np.bincount(own[np.repeat(good, np.diff(np.append(first, len(own))))], minlength=TRIGRAMS + SHAPES)
+            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for places, parts in in_parts(texts(batch.column(0))):
+                code, at, shape, shape_at = hashed_ngrams(parts)
+                good = target[places]
+                for own, first in ((code, at), (shape, shape_at)):
+                    total[1] += np.bincount(own, minlength=TRIGRAMS + SHAPES)
+                    if good.any():
+                        total[0] += np.bincount(own[np.repeat(good, np.diff(np.append(first, len(own))))], minlength=TRIGRAMS + SHAPES)
         there = np.flatnonzero(total[1])
         yield record(bucket=(there, pa.int64()), target=(total[0][there], pa.int64()), raw=(total[1][there], pa.int64()))
 
@@ -119,18 +149,21 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out / OVERLAP
 
 
-def gumbel(doc_id: str, seed: int):
-    """Standard Gumbel noise as a fixed function of seed and doc_id, in SQL."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(doc_id), F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def gumbel(seed: int):
+    """Standard Gumbel noise as a fixed function of seed and doc_id, or of the text where there is no doc_id, in SQL."""
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed + 1), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    uniform = (F.pmod(spread, F.lit(1 << 52)) + 0.5) / float(1 << 52)
     return -F.log(-F.log(uniform))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value of a double column, exactly, by counting in ever narrower ranges.
+    """The k-th largest (k at least 1) value of a double column, exactly, by counting in ever narrower ranges.
 
     Each round splits the range that holds it into 4096 slots and keeps one of
     them, so only slot counts reach the driver.
     """
+    if k < 1:
+        raise ValueError("k starts at 1")
     low, high = keys.agg(F.min(column), F.max(column)).first()
     while low < high:
         step = (high - low) / 4096
@@ -145,7 +178,7 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
 
 
 def importance_weights(docs: DataFrame, labels: DataFrame, label_rows: int = LABELS) -> DataFrame:
-    """docs with log_weight: the log ratio of target to raw model of the whole text."""
+    """docs with log_weight: the log ratio of target to raw model, from all n-grams of the text, for PASSAGE bytes of it."""
     tune(docs.sparkSession)
     good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
     good = F.broadcast(good.select(F.col("doc_id").alias("good_id")))  # label_rows rows at most
@@ -153,8 +186,12 @@ def importance_weights(docs: DataFrame, labels: DataFrame, label_rows: int = LAB
     ratio = log_ratios(*ngram_counts(marked))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        code, at, shape, shape_at = hashed_ngrams(texts(batch.column(batch.schema.get_field_index("text"))))
-        weight = np.add.reduceat(ratio[code], at) + np.add.reduceat(ratio[shape], shape_at)
+        weight, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        for places, parts in in_parts(texts(batch.column(batch.schema.get_field_index("text")))):
+            code, at, shape, shape_at = hashed_ngrams(parts)
+            np.add.at(weight, places, np.add.reduceat(ratio[code], at) + np.add.reduceat(ratio[shape], shape_at))
+            np.add.at(size, places, np.diff(np.append(at, len(code))))
+        weight *= PASSAGE / size
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(weight, 9))], schema=batch.schema.append(pa.field("log_weight", pa.float64())))
 
     return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("log_weight", DoubleType())]))
@@ -163,10 +200,9 @@ def importance_weights(docs: DataFrame, labels: DataFrame, label_rows: int = LAB
 def select_by_importance(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, log_weight, key, kept) for every document."""
     weights = importance_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    keyed = staged(weights.select("doc_id", "log_weight").withColumn("key", F.round(F.col("log_weight") + gumbel("doc_id", seed), 9)), "keys")
+    keyed = staged(weights.select("doc_id", "log_weight", F.round(F.col("log_weight") + gumbel(seed), 9).alias("key")), "keys")
     n, share = keyed.agg(F.count(F.lit(1)), F.sum(1 / (1 + F.exp(-F.greatest(F.least(F.col("log_weight"), F.lit(500.0)), F.lit(-500.0)))))).first()
     fitted = labels.where("quality = 1").limit(1).count() > 0
     k = round(share or 0) if fitted else n
-    least = kth_largest(keyed, "key", k) if k < n else None
-    kept = F.lit(k >= n) if least is None else F.col("key") >= F.lit(least)
+    kept = F.col("key") >= F.lit(kth_largest(keyed, "key", k)) if 0 < k < n else F.lit(k >= n)
     return keyed.withColumn("kept", kept)

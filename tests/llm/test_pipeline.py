@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     before, after = steps["quality_classifier"][0], rows(steps["quality_classifier"][1])
     weights = brute_weights(before, {d for d, q in labels.items() if q == 1})
-    sure = {d for (d, _), w in zip(before, weights) if w > 20}, {d for (d, _), w in zip(before, weights) if w < -20}
+    sure = {d for (d, _), w in zip(before, weights) if w > 8}, {d for (d, _), w in zip(before, weights) if w < -10}
     kept = {d for d, _ in after}
     assert sure[0] <= kept and not sure[1] & kept and set(after) <= set(before)
     before, after = steps["quality_rules"][0], rows(steps["quality_rules"][1])
