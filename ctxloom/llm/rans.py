@@ -184,7 +184,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, segment
             yield close()
         release()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that share an id, or have none, are ranged by their texts, so they need not be one task's
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return staged(ordered.mapInArrow(run, "part long, segment long, n_docs long, n_ids long, data binary"), "token_files")
 
 

@@ -4,7 +4,8 @@ A byte-pair tokenizer that first splits text by a pattern encodes the pieces
 independently, so the ids of a text are those of its chunks joined, wherever a
 chunk border is certain to be a piece border.  Each distinct chunk goes through
 the tokenizer library once per worker; texts whose white space makes borders
-uncertain go through the library whole.
+uncertain, or that hold the string of a special token, go through the library
+whole.
 """
 
 from __future__ import annotations
@@ -80,33 +81,39 @@ class ChunkIds(dict):
         return ids
 
 
-_loaded: dict[str, tuple[ChunkIds, bool]] = {}
+_loaded: dict[tuple[str, bool], tuple[ChunkIds, bool, tuple[str, ...]]] = {}
 
 
 class TextEncoder:
-    """ids(text) for a tokenizers file, special token strings being ordinary text.
+    """ids(text) for a tokenizers file, as the library gives them without adding special tokens.
 
-    Pickles as its path; a worker loads the file on first use.
+    The string of a special token in a text becomes that token, unless plain_specials is set: then it is ordinary text.
+    Pickles as its settings; a worker loads the file on first use.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, plain_specials: bool = False):
+        self.path, self.plain_specials = path, plain_specials
 
-    def _state(self) -> tuple[ChunkIds, bool]:
-        if self.path not in _loaded:
+    def _state(self) -> tuple[ChunkIds, bool, tuple[str, ...]]:
+        key = self.path, self.plain_specials
+        if key not in _loaded:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(self.path)
-            t.encode_special_tokens = True
+            t.encode_special_tokens = self.plain_specials
+            added = [x.content for x in t.get_added_tokens_decoder().values()]
+            special = () if self.plain_specials else tuple(added)
             dtype = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
             spaceless = t.normalizer is not None and t.encode("a b", add_special_tokens=False).ids == t.encode("a   \n b", add_special_tokens=False).ids
-            _loaded[self.path] = ChunkIds(t, dtype, spaceless), spaceless
-        return _loaded[self.path]
+            _loaded[key] = ChunkIds(t, dtype, spaceless), spaceless, special
+        return _loaded[key]
 
     def ids(self, text: str) -> np.ndarray:
         """The ids as unsigned 32-bit integers."""
-        cache, spaceless = self._state()
-        if spaceless:  # white space is dropped, so words are independent
+        cache, spaceless, special = self._state()
+        if any(x in text for x in special):
+            packed = cache.whole(text)
+        elif spaceless:  # white space is dropped, so words are independent
             packed = b"".join(map(cache.__getitem__, text.split())) if not _CONTROL_SPACE.search(text) else cache.whole(text)
         elif any(x in text for x in _UNSURE) or not text.isascii() and _WIDE_SPACE.search(text):
             packed = cache.whole(text)

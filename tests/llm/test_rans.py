@@ -37,7 +37,6 @@ def brute(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(BYTE_BPE))
-    t.encode_special_tokens = True
     at, out = 0, []
     for name, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -47,7 +46,7 @@ def brute(rows):
 
 
 def test_edge_rows(spark):
-    rows = [(5, "b  c\n\n d"), (None, "x"), (3, None), (9, ""), (1, "the and. " * 4000), (4, "é\tü <|endoftext|>")]
+    rows = [(5, "b  c\n\n d"), (None, "x"), (3, None), (9, ""), (1, "the and. " * 4000), (4, "é\tü <|endoftext|>"), (6, "a <|endoftext|> b<|EndOfText|>"), (7, "Long text. " * 900_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int")
     files = write_token_files(df, vocabulary(BYTE_BPE), 2, segment_ids=50)
     got = [tuple(r)[:4] for r in token_digests(files).collect()]
@@ -56,6 +55,25 @@ def test_edge_rows(spark):
     assert token_digests(write_token_files(df.limit(0), vocabulary(BYTE_BPE), 2)).count() == 0
 
 
+def test_special_strings():
+    from ctxloom.llm.wordcache import TextEncoder
+
+    text = "a <|endoftext|> b"
+    assert 50256 in TextEncoder(vocabulary(BYTE_BPE)).ids(text) and 50256 not in TextEncoder(vocabulary(BYTE_BPE), plain_specials=True).ids(text)
+
+
+def test_rows_without_an_id_are_many_tasks(spark):
+    df = spark.createDataFrame([(None, f"text {k} " * 40) for k in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_token_files(df, vocabulary(BYTE_BPE), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 1
+    rows = sorted((r.start, r.n_tokens) for r in token_digests(files).collect())
+    assert len(rows) == 400 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:], strict=False))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
