@@ -3,7 +3,8 @@
 A document's set is its distinct 5-word shingles; documents with Jaccard
 similarity of at least 75 % are linked, and a group keeps its smallest doc_id.
 
-1. Equal sets collapse into one representative (the smallest doc_id).
+1. Equal sets - equal size and equal 128-bit BLAKE2 digests of the whole sorted
+   set - collapse into one representative (the smallest doc_id).
 2. Two collections of SIDE keys are computed, each key joining four minhashes;
    the SIDE*SIDE tables of the search are the pairs (left key, right key), so
    576 tables of eight minhashes each cost 192 minhashes instead of 4608.  A pair
@@ -24,22 +25,27 @@ similarity of at least 75 % are linked, and a group keeps its smallest doc_id.
 5. Candidates are confirmed on their full sets; components follow from links.
 
 Defined cases: null or blank text has the empty set and links with nothing;
-rows that repeat a doc_id are separate rows; a row with a null doc_id takes the
-component of the rows with its set (null if none has an id) and is kept if that
-is null.
+repeated rows and rows that share an id are one document of each of their texts.
+A row without an id takes part like any other, named by a hash of its text: its
+component is the smallest doc_id reachable, and it is not kept; where a whole
+group has no id, its component is null and one row of it is kept.  An empty table
+gives an empty table.  A text's set is held whole, 8 bytes for each shingle.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import arrow_map, mix64, staged, texts, tune
+from .common import arrow_map, hot_join, mix64, staged, texts, tune, unstaged
 from .components import connected_components
-from .urls import bloom_blocks, possible_hits
+from .urls import bloom_rows, possible_hits
 
 WORDS = 5
 SIDE = 24  # keys in each of the two collections
@@ -98,19 +104,16 @@ def collection_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """key, text and any other columns -> the others, n, one, two, keys."""
     sets = [shingle_set(t) for t in texts(batch.column(1))]
     sizes = np.array(list(map(len, sets)))
     full = [s for s in sets if len(s)]
-    keys = np.zeros((len(sets), 2 * SIDE), np.uint64)
-    one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-    if full:
-        flat, starts = np.concatenate(full), np.cumsum([0, *map(len, full)])[:-1]
-        keys[sizes > 0] = collection_keys(full)
-        one[sizes > 0] = np.add.reduceat(flat, starts)
-        two[sizes > 0] = np.add.reduceat(mix64(flat ^ _SHORT[0]), starts)
+    keys = collection_keys(full) if full else np.zeros((0, 2 * SIDE), np.uint64)
+    digests = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
     cuts = np.where(sizes > 0, 2 * SIDE, 0)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cuts)]), pa.int32()), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc_id", "n", "one", "two", "keys"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cuts)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+    names = [x for x in batch.schema.names if x != "text"]
+    return pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(sizes, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], names=[*names, "n", "one", "two", "keys"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +157,7 @@ def _star(members: DataFrame, sets: DataFrame) -> DataFrame:
     """members (x, n_a, leader, more) with inter, the shingles each shares with its leader, and whether they are linked."""
     right = sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("sl"))
     left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
-    both = members.join(right, "leader").join(left, "x")
+    both = hot_join(members, right, "leader", "x").join(left, "x")
     out = both.select(*members.columns, F.size("sl").alias("n_b"), F.size(F.array_intersect("sx", "sl")).alias("inter"))
     return out.withColumn("linked", F.expr(_LINKED))
 
@@ -165,13 +168,13 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     stars = staged(_star(families.where("x <> family").withColumn("leader", F.col("family")), sets), "stars", n, 2_000)
     links = stars.where("linked").select(F.col("x").alias("a"), F.col("leader").alias("b"))
     troubled = stars.groupBy("family").agg(F.max(~F.col("linked")).alias("some"), F.min("n_a").alias("least_n")).where("some").select("family", "least_n")
-    members = stars.join(troubled, "family").select("family", "x", "n_a", "inter", "linked", "least_n")
+    members = hot_join(stars, troubled, "family", "x").select("family", "x", "n_a", "inter", "linked", "least_n")
     left = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("rep").alias("family"), F.col("shingles").alias("sl"))
     # shingles outside of the leader, in order; whoever can be linked shares at least `must` of them with someone,
     # hence one of the first size - must + 1 of both
     must = F.greatest(F.lit(1), F.ceil(3 * (F.col("n_a") + F.greatest("least_n", F.ceil(0.75 * F.col("n_a")))) / 7 - 1e-9) - F.col("inter"))
-    outside = members.join(left, "x").join(right, "family").select("family", "x", must.alias("must"), F.array_sort(F.array_except("sx", "sl")).alias("rest"))
+    outside = hot_join(members, right, "family", "x").join(left, "x").select("family", "x", must.alias("must"), F.array_sort(F.array_except("sx", "sl")).alias("rest"))
     outside = staged(outside, "outside", n, 2_000)
     first = outside.where("size(rest) >= must").select("family", "x", F.explode(F.expr("slice(rest, 1, cast(size(rest) - must + 1 AS int))")).alias("shingle"))
     met = first.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("family", "shingle")
@@ -211,10 +214,10 @@ def _family_links(families: DataFrame, sets: DataFrame) -> DataFrame:
     return links.union(_compared(staged(pairs, "rest_pairs", 10 * n), sets).where(_LINKED).select("a", "b"))
 
 
-def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between representatives of different sets."""
-    reps = signatures.join(exact.select(F.col("rep").alias("doc_id"), "one", "two", "n"), ["doc_id", "one", "two", "n"]).dropDuplicates(["doc_id", "one", "two"])
-    sided = reps.select(F.col("doc_id").alias("rep"), F.col("n").alias("n_rep"), F.posexplode("keys").alias("side", "key"))
+def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """Confirmed links (a, b) between representatives of different sets; adds the staged tables it reads to made."""
+    reps = signatures.join(exact.select(F.col("rep").alias("key"), "one", "two", "n"), ["key", "one", "two", "n"]).dropDuplicates(["key", "one", "two"])
+    sided = reps.select(F.col("key").alias("rep"), F.col("n").alias("n_rep"), F.posexplode("keys").alias("side", "key"))
     counts = sided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # sizes of linked sets differ by a third at most: each representative stands in two size classes, linked ones share one
     size_class = F.floor(F.log(F.col("n_rep").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)
@@ -227,31 +230,46 @@ def near_duplicate_links(docs: DataFrame, signatures: DataFrame, exact: DataFram
     tables = staged(tables, "tables")
     buckets = tables.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("central", F.col("rep").alias("head"))).alias("best")).where("size > 1")
     placed = staged(tables.join(buckets.select("k", "size", F.col("best.head").alias("family")), "k").select("k", "size", "family", "rep", "n_rep"), "buckets")
+    unstaged(tables)
     pairs = _pairs_within(placed.where(f"size <= {BUCKET}"), ["k"], F.struct("rep", "n_rep")).where("4 * least(p.n_rep, q.n_rep) >= 3 * greatest(p.n_rep, q.n_rep)")
     pairs = staged(pairs.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).where("a <> b").distinct(), "pairs")
     families = staged(placed.where(f"size > {BUCKET}").select("family", F.col("rep").alias("x"), F.col("n_rep").alias("n_a")).distinct(), "families")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(families.select("x")).distinct()
+    unstaged(placed)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(families.select("x")).distinct()
     # a Bloom filter of fixed size keeps the texts of other documents out of the shuffle; the join decides
-    near = possible_hits(docs.withColumn("canonical", F.col("doc_id")), bloom_blocks(wanted.select(F.col("doc_id").alias("canonical")), FILTER_WORDS), FILTER_WORDS)
-    near = near.where("maybe_listed").select("doc_id", "text").join(wanted, "doc_id")
-    sets = staged(arrow_map(near.select("doc_id", "text"), _sets, "rep long, shingles array<long>"), "sets")
+    near = possible_hits(docs.select("key", "text", F.col("key").alias("canonical")), bloom_rows(wanted.select(F.col("key").alias("canonical")), FILTER_WORDS), FILTER_WORDS)
+    near = near.where("maybe_listed").select("key", "text").join(wanted, "key")
+    sets = staged(arrow_map(near.select("key", "text"), _sets, "rep long, shingles array<long>"), "sets")
+    made += [pairs, families, sets]
     links = _compared(pairs, sets).where(_LINKED).select("a", "b")
     if families.isEmpty():
         return links
     members = families.select(F.col("x").alias("rep")).distinct()
-    return links.union(_family_links(families, staged(sets.join(members, "rep", "left_semi"), "family_sets")))
+    made.append(staged(sets.join(members, "rep", "left_semi"), "family_sets"))
+    return links.union(_family_links(families, made[-1]))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text), and the columns to carry."""
     tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = staged(arrow_map(docs, _signatures, "doc_id long, n long, one long, two long, keys array<long>"), "signatures")
-    exact = signatures.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
+    name = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(name, F.xxhash64(F.lit(5), "text")).alias("key"), "text", name.alias("doc_id"), *carry)
+    kept_fields = [f for f in docs.schema.fields if f.name != "text"]
+    found = StructType([*kept_fields, *(StructField(x, LongType()) for x in ("n", "one", "two")), StructField("keys", ArrayType(LongType()))])
+    signatures = staged(arrow_map(docs, _signatures, found).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    exact = signatures.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("rep"), F.min("doc_id").alias("least"), F.min("row").alias("first"))
     exact = staged(exact, "exact")
-    links = near_duplicate_links(docs, signatures, exact.where("rep IS NOT NULL"))
-    component = connected_components(links)
-    classes = exact.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("component", "rep").alias("class"))
-    out = signatures.select("doc_id", "n", "one", "two").join(classes, ["one", "two", "n"], "left")
-    own = F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    made: list[DataFrame] = []
+    component = connected_components(near_duplicate_links(docs, signatures, exact, made))
+    unstaged(*made)
+    classes = exact.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", "least", "first", F.coalesce("component", "rep").alias("class"))
+    if exact.where("rep <> least OR least IS NULL").isEmpty():  # every name is an id
+        classes = classes.select("one", "two", "n", F.col("class").alias("component_id"), F.lit(None).cast("long").alias("first"))
+    else:
+        tops = classes.groupBy("class").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+        classes = classes.drop("least", "first").join(tops, "class").drop("class")
+    classes = staged(classes, "classes")
+    rows = signatures.select("doc_id", *carry, "n", "one", "two", "row")
+    linked = hot_join(rows.where("n > 0"), classes, ["one", "two", "n"], "row")
+    out = linked.select("doc_id", *carry, F.col("n").alias("n_shingles"), "component_id", F.when(F.col("component_id").isNull(), F.col("row") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return out.unionByName(rows.where("n = 0").select("doc_id", *carry, F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

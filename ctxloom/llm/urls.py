@@ -5,11 +5,12 @@ whose path starts with its path; the longest rule wins.  Every other URL is
 looked up in a list of canonical URLs: a blocked Bloom filter - one 64-bit word
 per block, four bits per listed URL, all in the block its hash names - passes
 possible hits to an exact hash join, which removes false positives.  URLs that
-the filter rules out are never shuffled.
+the filter rules out are never shuffled, however long the list.
 
-The filter has BITS bits per listed URL.  It is broadcast while it has at most
-BROADCAST_BLOCKS words (its size follows from the length of the list, which is
-counted first); beyond that it is joined by block number.
+The filter has BITS bits per listed URL, stored as rows of ROW words.  Its size
+follows from the length of the list, which is counted first; it is broadcast in
+pieces of at most PIECE_ROWS rows (about 12 MB), one after another.  Executors
+hold about 3 bytes of it for each listed URL.
 
 Canonical form: scheme, fragment, a leading `www.` and tracking parameters
 (utm_*, ref) go, the host is lower-cased, a final slash goes.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BITS = 16
-BROADCAST_BLOCKS = 1 << 19  # 8 bytes of filter and 8 of number each
+ROW = 16  # words of the filter in one row
+PIECE_ROWS = 1 << 16  # rows of the filter in one broadcast
 INLINE_RULES = 200  # more rules are joined by host suffix
 
 # The rules of the query, (action, rule).
@@ -96,17 +98,23 @@ def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(key), F.lit(blocks)), reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, word): the non-zero words of the filter of listed (canonical)."""
+def bloom_rows(listed: DataFrame, blocks: int) -> DataFrame:
+    """(filter_row, words): the filter of listed (canonical), ROW words in a row; rows of zeros are left out."""
     block, mask = _block_and_mask(F.col("canonical"), blocks)
-    return listed.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    placed = listed.select(F.floor(block / ROW).alias("filter_row"), F.pmod(block, F.lit(ROW)).alias("place"), mask.alias("mask"))
+    words = F.array(*[F.coalesce(F.bit_or(F.when(F.col("place") == k, F.col("mask"))), F.lit(0).cast("long")) for k in range(ROW)])
+    return placed.groupBy("filter_row").agg(words.alias("words"))
 
 
-def possible_hits(urls: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
-    """urls with maybe_listed: whether the filter has all bits of the canonical URL."""
+def possible_hits(urls: DataFrame, rows: DataFrame, blocks: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """urls with maybe_listed: whether the filter (its rows are read once for each piece) has all bits of the canonical URL."""
     block, mask = _block_and_mask(F.col("canonical"), blocks)
-    words = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words
-    marked = urls.select("*", block.alias("block"), mask.alias("mask")).join(words, "block", "left")
+    marked = urls.select("*", F.floor(block / ROW).alias("filter_row"), (F.pmod(block, F.lit(ROW)) + 1).cast("int").alias("place"), mask.alias("mask"), F.lit(0).cast("long").alias("word"))
+    pieces = math.ceil(blocks / ROW / piece_rows)
+    for k in range(pieces):
+        piece = rows if pieces == 1 else rows.where(F.col("filter_row").between(k * piece_rows, (k + 1) * piece_rows - 1))
+        found = F.coalesce(F.element_at("words", F.col("place")), F.col("word"))
+        marked = marked.join(F.broadcast(piece), "filter_row", "left").select(*urls.columns, "filter_row", "place", "mask", found.alias("word"))
     hit = F.coalesce(F.col("canonical").isNotNull() & (F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")), F.lit(False))
     return marked.select(*urls.columns, hit.alias("maybe_listed"))
 
@@ -119,7 +127,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     if not n:
         return urls.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"), F.lit(False).alias("listed"))
     blocks = math.ceil(n * BITS / 64)
-    marked = possible_hits(urls, bloom_blocks(known, blocks), blocks)
+    rows = bloom_rows(known, blocks)
+    marked = possible_hits(urls, rows if blocks <= ROW * PIECE_ROWS else staged(rows, "filter"), blocks)
     ruled_out = marked.where("NOT maybe_listed").select("page_id", "host", "path", "rule", "action", F.lit(False).alias("listed"))
     exact = marked.where("maybe_listed").join(known.withColumn("hit", F.lit(True)), "canonical", "left")
     exact = exact.select("page_id", "host", "path", "rule", "action", F.coalesce("hit", F.lit(False)).alias("listed"))

@@ -1,7 +1,7 @@
 import random
 import re
 
-from ctxloom.llm import minhash
+from ctxloom.llm import common, components, minhash
 from ctxloom.llm.minhash import near_duplicates
 from ctxloom.llm.queries import op5_minhash_near_dedup
 
@@ -77,3 +77,26 @@ def test_edge_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "q w"), (1, "q w"), (None, "lone words")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(odd).collect()), key=str) == [(1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True)]
+    # near copies without an id belong to the id they copy; of a group without any id one row stays
+    words = [f"w{k}" for k in range(80)]
+    copies = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in (3, 3, 40)]
+    rows = [(7, " ".join(words)), *((None, c) for c in copies), *((None, c.upper().replace("W", "v")) for c in copies)]
+    got = near_duplicates(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, tag int"), carry=("tag",)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.tag < 4} == {(7, 7, True), (None, 7, False)}
+    assert [r.component_id for r in got if r.tag > 3] == [None] * 3 and sum(r.kept for r in got if r.tag > 3) == 1
+
+
+def test_heavy_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 50)
+    monkeypatch.setattr(components, "HEAVY", 50)
+    many = spark.range(1000).selectExpr("CASE WHEN id < 700 THEN 1 ELSE id END AS u", "id AS v")
+    one = spark.range(900).selectExpr("id AS u", "id * 2 AS w")
+    got = common.hot_join(many, one, "u", "v")
+    assert got.columns == many.join(one, "u").columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, "u").collect()))
+    star = spark.range(1, 400).selectExpr("0 AS a", "id AS b").union(spark.range(1000, 1300).selectExpr("id AS a", "id + 1 AS b"))
+    found = dict(map(tuple, components.connected_components(star).collect()))
+    assert all(found[k] == 0 for k in range(400)) and all(found[k] == 1000 for k in range(1000, 1301))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: k % 50] + [f"x{k}"] + words[k % 50 + 1 :])) for k in range(300)] + [(400 + k, " ".join(words)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == brute(rows)

@@ -37,12 +37,14 @@ def test_filter_passes_all_and_join_removes_the_rest(spark, monkeypatch):
     listed = u.with_parts(pages.where("page_id % 7 = 0").select("url")).select("canonical")
     keys = {r.canonical for r in listed.collect()}
     assert "h0.test/p?b=0" in keys
-    for limit in (1 << 19, 0):
-        monkeypatch.setattr(u, "BROADCAST_BLOCKS", limit)
+    hits = u.possible_hits
+    for piece in (1 << 16, 7):
+        monkeypatch.setattr(u, "PIECE_ROWS", piece)
+        monkeypatch.setattr(u, "possible_hits", lambda *a, n=piece: hits(*a, n))
         rows = u.filter_urls(pages, listed, ()).collect()
         assert len(rows) == 6000 and {r.page_id for r in rows if r.verdict == "block"} == {k for k in range(6000) if f"h{k % 3000}.test/p?b={k % 2}" in keys}
     blocks = len(keys) // 4
-    passed = u.possible_hits(u.with_parts(pages.select("page_id", "url")), u.bloom_blocks(listed.distinct(), blocks), blocks).where("maybe_listed").count()
+    passed = hits(u.with_parts(pages.select("page_id", "url")), u.bloom_rows(listed.distinct(), blocks), blocks).where("maybe_listed").count()
     assert passed < 6000 * 0.5
 
 
