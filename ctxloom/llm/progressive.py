@@ -14,9 +14,13 @@ coefficient arrays (spectral selection, successive approximation, end-of-band
 runs, restarts), in bulk where a scan has constant width and else symbol by
 symbol; then inverse-transformed, chroma upsampled, and turned into RGB.
 
+Files are stored as a Parquet column, compressed as a whole, and read back from
+there; decode_media gives the RGB tensors to be stored the same way.
+
 Defined cases: null text is empty, whose payload is 64 zero bytes; a null doc_id
 stays null; repeated rows give repeated results; an unreadable file raises
-BadImage.
+BadImage; an empty table gives an empty table.  A text is one image, held whole:
+some 60 bytes of arrays for each of its bytes while it is coded.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts, tune
+from .common import arrow_map, staged, texts, tune
 
 BLOCK = 64
 WIDEST = 4095  # MCUs in a row; 16 times that stays under the format's 65,535 pixels
@@ -525,6 +529,11 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """encode_media as a stored table."""
+    return staged(encode_media(docs), "media", compression="zstd", **{"parquet.compression.codec.zstd.level": "5"})
+
+
 def decode_media(media: DataFrame) -> DataFrame:
     """(doc_id, height, width, tensor): RGB tensors, rows of pixels, three bytes each; null media gives nulls."""
 

@@ -76,9 +76,9 @@ def op8_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .progressive import encode_media, media_digests
+    from .progressive import media_digests, stored_media
 
-    return media_digests(encode_media(table(spark, sf_dir, "documents")))
+    return media_digests(stored_media(table(spark, sf_dir, "documents")))
 
 
 def op10_block_tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,17 @@ def test_query(spark):
         r = rows.pop(name)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes > 0
+        media = p.encode_payload(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        if len(payload) < 4000:
+            image = p.read_coefficients(media)
+            tensor = p.rgb_tensor(image).astype(int)
+            height, width, n = *tensor.shape[:2], tensor.size // 3
+            mean = [sum(tensor[:, :, c].ravel().tolist()) / n for c in range(3)]
+            flat = tensor.ravel().tolist()
+            spread = (sum(x * x for x in flat) / len(flat) - (sum(flat) / len(flat)) ** 2) ** 0.5
+            size, colours, sd = r.feature.split(";")
+            assert size == f"{width}x{height}" and np.allclose([float(x) for x in colours[4:].split(",")], mean, atol=1e-4) and abs(float(sd[3:]) - spread) < 1e-4
     assert not rows
 
 
