@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from .common import arrow_map, mix64, staged, texts, tune
 from .minhash import _words
@@ -132,20 +133,22 @@ def lacks_common(common: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return (usual >= MIN_COMMON_SHARE) & (share < usual) & (js_distance(p, q) > COMMON_PART * js_distance(none, q))
 
 
-_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and both histograms of every document."""
+def quality_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, the base counts, and both histograms of every document, and the columns to carry."""
     tune(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", *carry)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [document_counts(t) for t in texts(batch.column(2))]
         numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
         lists = [pa.array([r[k].tolist() for r in rows], pa.list_(pa.int64())) for k in (5, 6)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers, *lists], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers, *lists, *batch.columns[3:]], names=["doc_id", "lang", *_COUNTED, "classes", "common", *carry])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), run, f"doc_id long, lang string, {_COUNTS}, classes array<long>, common array<long>")
+    types = [StructField(c, LongType()) for c in _COUNTED] + [StructField(c, ArrayType(LongType())) for c in ("classes", "common")]
+    return arrow_map(named, run, StructType([*named.schema.fields[:2], *types, *named.schema.fields[3:]]))
 
 
 def references(counts: DataFrame) -> DataFrame:
@@ -162,26 +165,31 @@ def whole(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found.classes), np.array(found.common)
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
-    """doc_id, base counts, base_failed, char_distance, word_distance, kept for every document (doc_id, text, lang)."""
-    counts = staged(quality_counts(docs), "counts")
+def judge_quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, base counts, base_failed, char_distance, word_distance, kept for every document (doc_id, text, lang), and the columns to carry."""
+    counts = staged(quality_counts(docs, carry), "counts")
     table = staged(references(counts), "references")
     named = table.where("lang IS NOT NULL")
     frequent = named.orderBy(F.desc("n"), "lang").limit(LANGS + 1).collect()
     known = {r.lang: (np.array(r.usual_classes), np.array(r.usual_common)) for r in frequent[:LANGS]} | {None: whole(table)}
     if len(frequent) > LANGS:
         here = F.coalesce(F.col("lang").isin([x for x in known if x is not None]), F.lit(True))
-        counts = counts.where(~here).join(named.where(~here).drop("n"), "lang").select(*counts.columns, "usual_classes", "usual_common").unionByName(counts.where(here), allowMissingColumns=True)
+        joined = counts.where(~here).join(named.where(~here).drop("n"), "lang")
+        counts = joined.select(*counts.columns, "usual_classes", "usual_common").unionByName(counts.where(here), allowMissingColumns=True)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        joined = [(np.array(a), np.array(b)) if a else None for a, b in zip(*(batch.column(k).to_pylist() for k in (9, 10)), strict=True)] if batch.num_columns > 9 else [None] * batch.num_rows
-        usual_classes, usual = map(np.array, zip(*(r or known[x] for r, x in zip(joined, batch.column(1).to_pylist(), strict=True)), strict=True))
-        n_words, repeat = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 6))
-        classes, common = (np.array(batch.column(k).to_pylist()) for k in (7, 8))
+        at = batch.schema.names.index
+        own = [[None] * batch.num_rows] * 2 if "usual_common" not in batch.schema.names else [batch.column(at(c)).to_pylist() for c in ("usual_classes", "usual_common")]
+        usual_classes, usual = map(np.array, zip(*((a, b) if a else known[x] for a, b, x in zip(*own, batch.column(1).to_pylist(), strict=True)), strict=True))
+        n_words, repeat = (batch.column(at(c)).to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
+        classes, common = (np.array(batch.column(at(c)).to_pylist()) for c in ("classes", "common"))
         chars, words = js_distance(classes, usual_classes), js_distance(common, usual)
         failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
         odd = (classes.sum(1) >= MIN_CHARS) & (chars > MAX_CHAR_DISTANCE) | (n_words >= MIN_COMMON_WORDS) & (words > MAX_WORD_DISTANCE) | (n_words >= MIN_WORDS) & lacks_common(common, usual)
-        columns = [batch.column(0), *batch.columns[2:7], pa.array(failed), pa.array(np.round(chars, 6)), pa.array(np.round(words, 6)), pa.array(~(failed | odd))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"])
+        judged = [pa.array(failed), pa.array(np.round(chars, 6)), pa.array(np.round(words, 6)), pa.array(~(failed | odd))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(at(c)) for c in (*_COUNTED, *carry)), *judged], names=out.fieldNames())
 
-    return arrow_map(counts, run, f"doc_id long, {_COUNTS}, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    fields = {f.name: f for f in counts.schema.fields}
+    verdicts = [StructField("base_failed", BooleanType()), StructField("char_distance", DoubleType()), StructField("word_distance", DoubleType()), StructField("kept", BooleanType())]
+    out = StructType([*(fields[c] for c in ("doc_id", *_COUNTED, *carry)), *verdicts])
+    return arrow_map(counts, run, out)

@@ -197,10 +197,10 @@ def importance_weights(docs: DataFrame, labels: DataFrame, label_rows: int = LAB
     return arrow_map(docs, run, StructType([*docs.schema.fields, StructField("log_weight", DoubleType())]))
 
 
-def select_by_importance(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_weight, key, kept) for every document."""
-    weights = importance_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    keyed = staged(weights.select("doc_id", "log_weight", F.round(F.col("log_weight") + gumbel(seed), 9).alias("key")), "keys")
+def select_by_importance(docs: DataFrame, labels: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, log_weight, key, kept) for every document, and the columns to carry."""
+    weights = importance_weights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry), labels)
+    keyed = staged(weights.select("doc_id", *carry, "log_weight", F.round(F.col("log_weight") + gumbel(seed), 9).alias("key")), "keys")
     n, share = keyed.agg(F.count(F.lit(1)), F.sum(1 / (1 + F.exp(-F.greatest(F.least(F.col("log_weight"), F.lit(500.0)), F.lit(-500.0)))))).first()
     fitted = labels.where("quality = 1").limit(1).count() > 0
     k = round(share or 0) if fitted else n

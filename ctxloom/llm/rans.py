@@ -14,8 +14,10 @@ Segment layout (little-endian):
   blocks x (u64 first word, u32 crc32, lanes x u32 state)
   u16 words
 
-Nulls and ties: a null text is empty (one id: the end id); a null doc_id sorts
-first and comes back null; equal doc_ids keep separate rows, in file order.
+Defined cases: a null text is empty (one id: the end id); a null doc_id sorts
+first and comes back null; equal doc_ids keep separate rows, in file order, by a
+hash of their texts; an empty table gives no files.  A segment is closed once it
+holds SEGMENT_IDS ids, so a longer text is a segment of its own, held whole.
 """
 
 from __future__ import annotations

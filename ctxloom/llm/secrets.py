@@ -12,7 +12,8 @@ Spans count code points, ends are exclusive; a span is the whole match.
 Added spans never overlap base spans.
 
 Defined cases: null text is empty and has no spans; repeated rows give repeated
-results; a null doc_id stays null.
+results; a null doc_id stays null; an empty table gives an empty table.  A text of
+any length is read whole by patterns that hold nothing but their matches.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -63,6 +64,59 @@ def test_query(spark):
         assert abs(r.char_distance - dv.js_distance(c[None], a[None])[0]) < 1e-5 and abs(r.word_distance - dv.js_distance(w[None], b[None])[0]) < 1e-5
 
 
+def histograms(text):
+    """Character classes and common words of a text, counted one at a time."""
+    classes, common = Counter(), Counter()
+    for c in text:
+        classes["beyond" if ord(c) > 127 else next((k for k, chars in dv.CLASSES.items() if c in chars), "other")] += 1
+    known = {w for words in dv.COMMON_WORDS.values() for w in words.split()}
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        bare = word[:-1] if word[-1] in ",." else word
+        common[next((w for w in (bare, bare.lower()) if w in known and bare in (w, w.capitalize())), None)] += 1
+    return classes, common
+
+
+def distance(p, q):
+    p, q = ({k: v / max(1, sum(c.values())) for k, v in c.items()} for c in (p, q))
+    if not any(p.values()) or not any(q.values()):
+        return 0.0
+    mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    return (sum(v * math.log2(v / mid[k]) for c in (p, q) for k, v in c.items() if v) / 2) ** 0.5
+
+
+def two_parts(common):
+    return Counter({"common": sum(v for k, v in common.items() if k is not None), "other": common[None]})
+
+
+def test_verdicts_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {k: histograms(d.text) for k, d in docs.items()}
+    usual = {}
+    for k, d in docs.items():
+        for own, more in zip(usual.setdefault(d.lang, (Counter(), Counter())), found[k]):
+            own.update(more)
+    rejected = 0
+    for r in op6_divergence_rules(spark, sf).collect():
+        (classes, common), (all_classes, all_common) = found[r.doc_id], usual[docs[r.doc_id].lang]
+        n = sum(common.values())
+        own, whole = two_parts(common), two_parts(all_common)
+        share, usual_share = own["common"] / max(1, n), whole["common"] / sum(whole.values())
+        odd = sum(classes.values()) >= 200 and distance(classes, all_classes) > 0.3
+        odd |= n >= 100 and distance(common, all_common) > 0.42
+        odd |= n >= 50 and usual_share >= 0.1 and share < usual_share and distance(own, whole) > 0.36 * distance(Counter(other=1), whole)
+        assert r.kept == (not r.base_failed and not odd), r.doc_id
+        rejected += odd and not r.base_failed
+    assert rejected > 20
+
+
+def test_a_text_of_ten_megabytes(spark):
+    long = " ".join(f"w{k} the" for k in range(900_000))
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, prose("en", 300, "w"), "en", "b")], "doc_id long, text string, lang string, tag string")
+    got = {r.tag: r for r in dv.judge_quality(df, carry=("tag",)).collect()}
+    assert got["a"].n_words == 1_800_000 and got["a"].n_repeat_words == 0 and got["b"].doc_id == 2
+
+
 def test_edge_rows(spark):
     prose = "the end of it and that is for on with as was be by this are from at or an other word here " * 1
     rows = [(1, None, None), (2, "", "en"), (None, prose * 9, "xx"), (3, "@@ ~~ `` ^^ {} " * 500, "en"), (4, " ".join(f"w{k} the" for k in range(400)), "en"), (4, " ".join(f"w{k} the" for k in range(400)), "en")]

@@ -40,9 +40,14 @@ def test_run(spark):
 
 
 def test_edge_rows(spark, tmp_path):
-    """Nulls, empty and repeated rows, extra columns, and an empty table pass all stages."""
+    """Nulls, empty and repeated rows, shared ids, extra columns, a text of 10 MB and an empty table pass all stages."""
     prose = " ".join(f"w{k} the" for k in range(60))
-    rows = [(1, prose, "en", 5, "a"), (1, prose, "en", 5, "a"), (None, prose + " end", None, None, None), (2, None, "en", 0, "b"), (3, "", "en", 0, "b"), (4, "x " * 400, "en", 800, "c")]
+    other = " ".join(f"v{k} of" for k in range(60))
+    long = " ".join(f"x{k} and" for k in range(900_000))
+    rows = [
+        (1, prose, "en", 5, "a"), (1, prose, "en", 5, "b"), (None, prose + " end", None, None, "near 1"), (None, other, "en", 5, "c"), (None, other, "en", 5, "d"), (None, other + " end", "en", 5, "e"),
+        (2, None, "en", 0, "null"), (3, "", "en", 0, "empty"), (4, "x " * 400, "en", 800, "bad"), (None, "x " * 400, "en", 800, "bad"), (5, long, "zz", len(long), "long"), (5, "y " * 400, "en", 800, "bad"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, kept string")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for source in (docs, docs.limit(0)):
@@ -51,3 +56,7 @@ def test_edge_rows(spark, tmp_path):
             step = cp.staged(stage(spark, step, str(tmp_path)), name)
             assert step.columns == docs.columns
         assert cp.packing(spark, step, str(tmp_path)).count() >= step.count()
+    rules = cp.quality_rules(spark, docs, str(tmp_path))
+    assert sorted(r.kept for r in rules.collect()) == ["a", "b", "c", "d", "e", "long", "near 1"]
+    left = [(r.doc_id, r.kept) for r in cp.near_dedup(spark, rules, str(tmp_path)).collect()]
+    assert len(left) == 3 and {(None, "c"), (None, "d"), (None, "e")} & set(left) and (5, "long") in left and sum(i == 1 for i, _ in left) == 1

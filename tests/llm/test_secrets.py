@@ -48,6 +48,57 @@ def test_random_keys_of_any_alphabet():
         assert len(text) < sc.MAX_CHARS_PER_TOKEN * v.tokens(text) and sc.random_spans(text, [], v) == [], text
 
 
+def brute_random(text, base, encode):
+    """Runs of key characters, by walking over the text, that cost a token for less than two characters and are of no known shape."""
+    allowed = set(string.ascii_letters + string.digits + "+/_=-")
+    runs, start = [], None
+    for k, c in enumerate(text + " "):
+        if c in allowed:
+            start = k if start is None else start
+        elif start is not None:
+            runs.append((start, k))
+            start = None
+    cheap = lambda w: any(len(w) >= 3 * len(encode(x)) for x in (w, w.lower(), " " + w.lower()))
+    out = []
+    for a, b in runs:
+        run = text[a:b]
+        if b - a < 20 or any(x < b and a < y for _, x, y in base) or b - a >= 2 * len(encode(run)):
+            continue
+        digits = run.replace("-", "")
+        if len(run) == 36 and [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and set(digits.lower()) <= set("0123456789abcdef"):
+            continue
+        if len(run) in (32, 40, 56, 64, 96, 128) and (set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF")):
+            continue
+        letters = plain = 0
+        for piece in re.split("[^A-Za-z0-9]+", run):
+            for word in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", piece):
+                letters += len(word)
+                plain += len(word) * (len(piece) <= 3 or len(word) >= 4 and cheap(word))
+        if 2 * plain < letters:
+            out.append(("random", a, b))
+    return out
+
+
+def test_planted_keys_and_added_spans_against_brute_force(spark):
+    """Keys planted in whole documents: recall, false hits, and the same spans as the walk over the text."""
+    v, rng = secret_vocabulary(), random.Random(8)
+    encode = lambda t: range(v.tokens(t))
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    planted = hits = other = 0
+    for k, text in enumerate(docs[:400]):
+        words = text.split(" ")
+        key = "".join(rng.choices((string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase + "234567")[k % 3], k=rng.randrange(24, 64)))
+        at = rng.randrange(len(words) + 1)
+        text = " ".join([*words[:at], key, *words[at:]])
+        base, every = sc.all_spans(text, v)
+        added = [s for s in every if s not in base]
+        assert added == brute_random(text, base, encode)
+        planted += 1
+        hits += any(text[a:b] == key for _, a, b in added)
+        other += sum(text[a:b] != key for _, a, b in added)
+    assert hits >= 0.9 * planted and other <= 0.01 * planted
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
