@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Defined cases of every stage: a null text is empty (and fails the quality rules);
+extra columns pass through, whatever their names; an empty table stays empty.
+Rows are told apart by doc_id and a hash of the text, so a row without an id, or
+with another row's, has verdicts of its own; of rows that agree in both, verdicts
+agree, and near_dedup keeps one.  Texts of any length are judged, changed and
+packed whole; memory is that of a few arrays for each character of one text.
+"""
 
 from __future__ import annotations
 
@@ -14,29 +22,42 @@ from ctxloom.llm.queries import WORD_BPE, secret_vocabulary, vocabulary
 from ctxloom.llm.secrets import redact_secrets
 
 
-def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id was kept.
+#: names that no table of documents has
+KEY = "_ctxloom_text_key"
+
 
-    doc_id is unique in documents; where it is not, rows of one id stay or go
-    together (they stay if one of them is kept), and so do rows without an id.
-    """
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("text"))
+
+
+def _chosen(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs (with KEY) whose verdict is kept."""
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col(KEY).alias("_kept_key")).distinct()
+    return docs.join(kept, (F.col(KEY) == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").drop(KEY)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
-    return _chosen(docs, select_by_importance(docs, table(spark, sf_dir, "labels")))
+    """Documents that importance resampling selects; without labelled good rows, all."""
+    docs = _keyed(docs)
+    return _chosen(docs, select_by_importance(docs, table(spark, sf_dir, "labels"), carry=(KEY,)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and stay near their language's histograms."""
-    return _chosen(docs, judge_quality(docs))
+    docs = _keyed(docs)
+    return _chosen(docs, judge_quality(docs, carry=(KEY,)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    return _chosen(docs, near_duplicates(docs))
+    """One document of each group of near-duplicates: the smallest doc_id, or any where none has an id."""
+    docs = _keyed(docs)
+    verdicts = staged(near_duplicates(docs, carry=(KEY,)), "verdicts")
+    kept = _chosen(docs.withColumn("_again", F.col(KEY)), verdicts).withColumnRenamed("_again", KEY)
+    repeated = staged(verdicts.where("n_shingles > 0").groupBy("doc_id", KEY).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"), F.col(KEY).alias("_key")), "repeated", 1)
+    if repeated.isEmpty():
+        return kept.drop(KEY)
+    same = (F.col(KEY) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", KEY]).unionByName(kept.join(repeated, same, "left_anti")).drop(KEY)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
