@@ -42,11 +42,11 @@ def test_run(spark):
 def test_edge_rows(spark, tmp_path):
     """Nulls, empty and repeated rows, shared ids, extra columns, a text of 10 MB and an empty table pass all stages."""
     prose = " ".join(f"w{k} the" for k in range(60))
-    other = " ".join(f"v{k} of" for k in range(60))
+    other = " ".join(f"v{k} the" for k in range(60))
     long = " ".join(f"x{k} and" for k in range(900_000))
     rows = [
-        (1, prose, "en", 5, "a"), (1, prose, "en", 5, "b"), (None, prose + " end", None, None, "near 1"), (None, other, "en", 5, "c"), (None, other, "en", 5, "d"), (None, other + " end", "en", 5, "e"),
-        (2, None, "en", 0, "null"), (3, "", "en", 0, "empty"), (4, "x " * 400, "en", 800, "bad"), (None, "x " * 400, "en", 800, "bad"), (5, long, "zz", len(long), "long"), (5, "y " * 400, "en", 800, "bad"),
+        (1, prose, "en", 5, "a"), (1, prose, "en", 5, "b"), (None, prose + " end", "en", None, "near 1"), (None, other, "en", 5, "c"), (None, other, "en", 5, "d"), (None, other + " end", "en", 5, "e"),
+        (2, None, None, 0, "null"), (3, "", "en", 0, "empty"), (4, "x " * 400, "qq", 800, "bad"), (None, "x " * 400, "qq", 800, "bad"), (5, long, "zz", len(long), "long"), (5, "y " * 400, "qq", 800, "bad"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, kept string")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
