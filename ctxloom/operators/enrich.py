@@ -15,9 +15,9 @@ SECTOR_COLUMNS = ("sector", "industry", "mktcap_bucket")
 SENTIMENT_COLUMNS = ("sentiment_score", "sentiment_pos", "sentiment_neg", "sentiment_neu")
 
 
-def build_features(prices: DataFrame, sentiment: DataFrame | None = None, spec: FeatureSpec = FeatureSpec(), lags: LagSpec = LagSpec(), key: str = "ticker", ts: str = "period_close_ts", long_series: bool = False) -> DataFrame:
+def build_features(prices: DataFrame, sentiment: DataFrame | None = None, spec: FeatureSpec = FeatureSpec(), lags: LagSpec = LagSpec(), key: str = "ticker", ts: str = "period_close_ts") -> DataFrame:
     """Technical features, optional sentiment per (key, ts) filled by 0 with a flag, and lags of both."""
-    out = add_technical_features(prices, spec, key, ts, long_series)
+    out = add_technical_features(prices, spec, key, ts)
     columns = [c for c in out.columns if c not in prices.columns]
     if sentiment is not None:
         wanted = [c for c in (*SENTIMENT_COLUMNS, "n_articles") if c in sentiment.columns]

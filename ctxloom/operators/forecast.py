@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WalkForwardSpec
+from ..functions.aggregates import quantiles_of
 from ..functions.windows import forward_targets, panel
-from .folds import period_rank, walk_forward_folds
+from .folds import period_rank, side, time_bounds, walk_forward_folds
 from .guards import design_columns, fold_violations
+from .lineage import cut
 from .metrics import accuracy, across_folds, comparison, long_short, portfolio, select_horizon
 from .models import Trained, train_model
 
@@ -22,17 +24,17 @@ from .models import Trained, train_model
 class HeadModels:
     sector: dict[int, Trained] = field(default_factory=dict)
     residual: dict[int, Trained] = field(default_factory=dict)
-    fill: dict[int, float] = field(default_factory=dict)  # mean sector forecast of the training rows
-    spread: dict[int, dict[float, float]] = field(default_factory=dict)  # residual quantiles
+    fill: dict[int, float] = field(default_factory=dict)  # mean held-out sector forecast
+    spread: dict[int, dict[float, float]] = field(default_factory=dict)  # quantiles of held-out errors
 
 
 def _params(spec: WalkForwardSpec) -> dict:
     return {"maxIter": spec.trees, "maxDepth": spec.depth, "stepSize": spec.rate}
 
 
-def sector_rows(df: DataFrame, features: list[str], label: str, sector: str, ts: str) -> DataFrame:
+def sector_rows(df: DataFrame, features: list[str], label: str, sector: str, ts: str, *more: str) -> DataFrame:
     """Sector means of features and label per time."""
-    return df.groupBy(sector, ts).agg(*[F.avg(c).alias(c) for c in features], F.avg(label).alias(label))
+    return df.groupBy(sector, ts, *more).agg(*[F.avg(c).alias(c) for c in features], F.avg(label).alias(label))
 
 
 def _scored(t: Trained, df: DataFrame, name: str, keep: list[str]) -> DataFrame:
@@ -40,23 +42,39 @@ def _scored(t: Trained, df: DataFrame, name: str, keep: list[str]) -> DataFrame:
     return t.model.transform(rows).select(*keep, F.col("prediction").alias(name))
 
 
+def _held_out(model: str, ranked: DataFrame, features: list[str], label: str, params: dict | None, keep: list[str], n_folds: int, gap: int) -> DataFrame:
+    """keep and __p: forecasts of rows (with __period) by models that saw only earlier periods, the gap left out; rows before the first block have none."""
+    low, high = ranked.agg(F.min("__period"), F.max("__period")).first()
+    at = F.col("__period") - F.lit(low)
+    parts = []
+    for b in time_bounds(0 if low is None else high - low + 1, n_folds, gap=gap, rolling=True):
+        fitted = train_model(model, ranked.where(side(at, b, "train")), features, label, params=params)
+        parts.append(_scored(fitted, ranked.where(side(at, b, "val")), "__p", keep))
+    return cut(reduce(DataFrame.unionByName, parts))
+
+
 def fit_heads(train: DataFrame, features: list[str], spec: WalkForwardSpec, sector: str = "sector", ts: str = "period_close_ts", model: str = "gradient_boosting") -> HeadModels:
-    """Per horizon: sector means forecast first, the rest per instrument out of time folds, then residual quantiles."""
+    """Per horizon: sector means are forecast first, then what they leave of each instrument, then the spread.
+
+    The residual head learns from sector forecasts that were held out in rolling
+    folds over the training periods, and the spread is that of its own held-out
+    errors; labels that reach into a held-out block are left out of its training
+    window.  Too few periods for that raise ValueError.
+    """
     out = HeadModels()
     params = _params(spec) if model == "gradient_boosting" else None
     for h in spec.horizons:
         label = f"ret_h{h}"
-        rows = train.where(F.col(label).isNotNull())
-        sectors = sector_rows(rows, features, label, sector, ts)
+        rows = cut(period_rank(train.where(F.col(label).isNotNull()), ts))
+        sectors = cut(sector_rows(rows, features, label, sector, ts, "__period"))
         out.sector[h] = train_model(model, sectors, features, label, params=params)
-        forecast = _scored(out.sector[h], sectors, "__s", [sector, ts])
-        out.fill[h] = forecast.agg(F.avg("__s")).first()[0] or 0.0
-        joined = rows.join(forecast, [sector, ts], "left").withColumn("__s", F.coalesce("__s", F.lit(out.fill[h])))
-        rest = joined.withColumn("__rest", F.col(label) - F.col("__s"))
+        forecast = _held_out(model, sectors, features, label, params, [sector, ts], spec.oof_folds, h)
+        out.fill[h] = forecast.agg(F.avg("__p")).first()[0] or 0.0
+        rest = cut(rows.join(forecast, [sector, ts]).withColumn("__rest", F.col(label) - F.col("__p")).drop("__p"))
         out.residual[h] = train_model(model, rest, features, "__rest", params=params)
-        errors = out.residual[h].model.transform(rest.select(*[F.col(c).cast("double").alias(c) for c in features], "__rest")).select((F.col("__rest") - F.col("prediction")).alias("e"))
-        q = errors.agg(F.percentile_approx("e", list(spec.quantiles), 10_000)).first()[0] or [0.0] * len(spec.quantiles)
-        out.spread[h] = dict(zip(spec.quantiles, q, strict=True))
+        errors = _held_out(model, rest, features, "__rest", params, ["__rest"], spec.oof_folds, h).select((F.col("__rest") - F.col("__p")).alias("e"))
+        q = quantiles_of(errors, [], "e", tuple(spec.quantiles)).first()
+        out.spread[h] = dict(zip(spec.quantiles, q["__p"] if q else [0.0] * len(spec.quantiles), strict=True))
     return out
 
 
@@ -93,7 +111,8 @@ def run_walk_forward(features: DataFrame, spec: WalkForwardSpec, key: str = "tic
     folds = walk_forward_folds(features, ts, spec.train, spec.val, spec.test, spec.step)
     if not fold_violations(folds).isEmpty():
         raise ValueError("folds overlap or do not advance")
-    bounds = folds.orderBy("fold_idx").limit(spec.max_folds or 1_000_000).collect()  # one row per fold
+    ordered = folds.orderBy("fold_idx")
+    bounds = (ordered.limit(spec.max_folds) if spec.max_folds else ordered).collect()  # one row per fold
     parts = []
     for b in bounds:
         cut = lambda lo, hi: features.where(F.col(ts).between(F.lit(lo), F.lit(hi)))

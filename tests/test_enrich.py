@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ import ctxloom
 from ctxloom.config import FeatureSpec, HierarchySpec, LagSpec, WalkForwardSpec
 from ctxloom.operators import datasets
 from ctxloom.operators.enrich import PanelEnricher, build_features
-from ctxloom.operators.forecast import run_baseline_vs_context
+from ctxloom.operators.forecast import fit_heads, predict_heads, run_baseline_vs_context
 
 from .test_panel import T0, prices
 
@@ -49,12 +50,29 @@ def test_enricher_and_partial_refit(spark):
 
 def test_walk_forward_both_legs(spark):
     p = prices(spark, 40, ("A", "B", "C")).select("ticker", "period_close_ts", "close", (F.col("close") % 7).alias("x"), F.lit("s").alias("sector"))
-    spec = WalkForwardSpec(horizons=(1,), train=20, val=5, test=5, step=5)
+    spec = WalkForwardSpec(horizons=(1,), train=20, val=5, test=5, step=5, oof_folds=2)
     plain, _, deltas = run_baseline_vs_context(p, spec, lambda sides: {k: d.withColumn("z", F.col("x") * 2) for k, d in sides.items()}, model="ridge")
     assert deltas.count() == plain.folds.count() == 3 and plain.horizon == 1
     assert plain.predictions.where("split = 'test' AND pred_h1 IS NULL").isEmpty() and plain.accuracy.first().n_folds == 3
 
 
+def test_heads_learn_from_held_out_forecasts(spark):
+    """Labels are noise that deep trees can learn by heart: in-sample errors would be near zero, held-out ones are the noise itself."""
+    rng = random.Random(4)
+    def rows(first, n):
+        return spark.createDataFrame([(f"T{i}", T0 + dt.timedelta(days=first + k), "s" + str(i % 2), rng.random(), rng.random(), rng.gauss(0, 1)) for k in range(n) for i in range(12)], "ticker string, period_close_ts timestamp, sector string, a double, b double, ret_h1 double")
+    spec = WalkForwardSpec(horizons=(1,), train=40, val=5, test=5, step=5, trees=3, depth=5, rate=0.5, oof_folds=2)
+    heads = fit_heads(rows(0, 45), ["a", "b"], spec)
+    low, high = heads.spread[1][0.05], heads.spread[1][0.95]
+    assert low < -1 and high > 1
+    truth = rows(200, 60)
+    p = predict_heads(heads, truth, ["a", "b"], spec, ["ticker", "period_close_ts"]).join(truth.select("ticker", "period_close_ts", "ret_h1"), ["ticker", "period_close_ts"])
+    inside = p.selectExpr("avg(CAST(ret_h1 BETWEEN pred_h1_q05 AND pred_h1_q95 AS double))").first()[0]
+    assert truth.count() == p.count() and 0.8 < inside < 0.98
+    with pytest.raises(ValueError):
+        fit_heads(rows(0, 3), ["a", "b"], spec)
+
+
 def test_retail_tables(spark):
     train = spark.createDataFrame([(1, 5, "2015-07-31", 100, 10, 1, 1, "0", "1"), (1, 4, "2015-07-30", 0, 0, 0, 1, "0", "1"), (2, 5, "2015-07-31", 50, 5, 1, 0, "a", "0")], "Store int, DayOfWeek int, Date string, Sales int, Customers int, Open int, Promo int, StateHoliday string, SchoolHoliday string")
     store = spark.createDataFrame([(1, "c", "a", 1270.0, 0), (2, "a", "a", None, 1)], "Store int, StoreType string, Assortment string, CompetitionDistance double, Promo2 int")
