@@ -73,7 +73,7 @@ def forward_targets(close: str, w: WindowSpec, horizons: tuple[int, ...]) -> lis
     return [F.ln(F.try_divide(F.lead(F.col(close), n).over(w), F.col(close))).alias(f"ret_h{n}") for n in horizons]
 
 
-def add_technical_features(prices: DataFrame, spec: FeatureSpec = FeatureSpec(), key: str = "ticker", ts: str = "period_close_ts", long_series: bool = False) -> DataFrame:
+def add_technical_features(prices: DataFrame, spec: FeatureSpec = FeatureSpec(), key: str = "ticker", ts: str = "period_close_ts") -> DataFrame:
     """All technical features in two steps over one partitioning: helpers, then features."""
     w = panel(key, ts)
     close = F.col("close")
@@ -82,7 +82,7 @@ def add_technical_features(prices: DataFrame, spec: FeatureSpec = FeatureSpec(),
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - previous), F.abs(F.col("low") - previous))
     helped = prices.select("*", log_return(close, w).alias("__lr"), F.greatest(change, F.lit(0.0)).alias("__up0"), F.greatest(-change, F.lit(0.0)).alias("__down0"), change.alias("__change"), true_range.alias("__tr"))
     helped = helped.select("*", F.when(F.col("__change").isNotNull(), F.col("__up0")).alias("__up"), F.when(F.col("__change").isNotNull(), F.col("__down0")).alias("__down"))
-    smoothed, names = ewm_columns(helped, key, ts, spec, long_series)
+    smoothed, names = ewm_columns(helped, key, ts, spec)
     out = smoothed.select(
         *prices.columns, *returns("close", w, spec.returns), *sma("close", w, spec.sma), *names,
         *volatility("__lr", w, spec.volatility), volume_zscore("volume", w, spec.volume_z), *bollinger("close", w, *spec.bollinger),

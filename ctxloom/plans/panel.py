@@ -106,8 +106,8 @@ def _past(columns: dict[str, str], inner: str) -> str:
     return f"WITH e AS ({_PANEL}), {inner} SELECT user_id, ts, {lagged} FROM y WINDOW w AS (PARTITION BY user_id ORDER BY ts)"
 
 
-def _technical(spark, sf_dir, names, **more):
-    return _named(add_technical_features(panel(spark, sf_dir), FeatureSpec(), "user_id", "ts", **more), names)
+def _technical(spark, sf_dir, names):
+    return _named(add_technical_features(panel(spark, sf_dir), FeatureSpec(), "user_id", "ts"), names)
 
 
 @register("ema", _past({f"ema_{n}": f"e{n}" for n in (5, 10, 21, 63)}, f"y AS (SELECT user_id, ts, {', '.join(f'{_ewm("close", 2 / (n + 1))} AS e{n}' for n in (5, 10, 21, 63))} FROM e)"))
@@ -140,9 +140,3 @@ _ATR = _past({"atr_14": "v"}, f"p AS (SELECT *, lag(close, 1) OVER (PARTITION BY
 @register("atr", _ATR)
 def atr(spark, sf_dir):
     return _technical(spark, sf_dir, ["atr_14"])
-
-
-@register("atr_long_series", _ATR)
-def atr_long_series(spark, sf_dir):
-    """The grouped one-pass form for long series."""
-    return _technical(spark, sf_dir, ["atr_14"], long_series=True)

@@ -1,11 +1,12 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.config import FeatureSpec, LagSpec
-from ctxloom.functions.ewm import ewm_series
+from ctxloom.functions.ewm import with_smoothed
 from ctxloom.functions.windows import add_technical_features, apply_lags, forward_targets, panel
 from ctxloom.operators import asof, guards, metrics
 from ctxloom.operators.linalg import t_two_sided
@@ -36,11 +37,38 @@ def test_features_use_the_past_only(spark):
     assert guards.passed(guards.lookahead_violations(a, b, ["ticker", "period_close_ts"], names))
 
 
-def test_both_smoothing_forms_agree(spark):
-    df = prices(spark).withColumn("close", F.when(F.dayofmonth("period_close_ts") % 9 != 0, F.col("close")))
-    names = ["ema_5", "rsi_14", "macd", "macd_signal", "macd_hist", "atr_14"]
-    a, b = (add_technical_features(df, long_series=x).select("ticker", "period_close_ts", *names) for x in (False, True))
-    assert guards.passed(guards.lookahead_violations(a, b, ["ticker", "period_close_ts"], names, 1e-9))
+def ewm_series(values, alpha):
+    """The recurrence, one value after another."""
+    out, y, weight = [], None, 1.0
+    for v in values:
+        if y is not None:
+            weight *= 1 - alpha
+        if v is not None and v == v:
+            y = v if y is None else (weight * y + alpha * v) / (weight + alpha)
+            weight = 1.0
+        out.append(y)
+    return out
+
+
+def test_smoothing_against_the_recurrence(spark):
+    """Long series with nulls at the start, alone and in runs, over many blocks, and a sudden change of scale."""
+    rng = random.Random(3)
+    series = {}
+    for t in ("A", "B", "C"):
+        values = [None if rng.random() < 0.2 or k < 3 or 500 < k < 900 else 100 + rng.gauss(0, 5) for k in range(3000)]
+        values[2000:2010] = [1e9] * 10
+        series[t] = values
+    series["D"] = [5.0, None, 7.0]
+    series["E"] = [None, None]
+    rows = [(t, T0 + dt.timedelta(days=k), v) for t, values in series.items() for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "ticker string, period_close_ts timestamp, x double")
+    alphas = {"fast": 0.9, "mid": 2 / 6, "slow": 1 / 14, "slower": 2 / 64, "own": 1.0}
+    got = with_smoothed(df, "ticker", "period_close_ts", {n: ("x", a) for n, a in alphas.items()}).orderBy("period_close_ts").collect()
+    for t, values in series.items():
+        own = [r for r in got if r.ticker == t]
+        for n, alpha in alphas.items():
+            for r, want in zip(own, ewm_series(values, alpha), strict=True):
+                assert r[n] == (want if want is None else pytest.approx(want, rel=1e-9)), (t, n, r.period_close_ts)
 
 
 def test_smoothing_decays_across_nulls():
