@@ -62,7 +62,7 @@ class ContextSpec:
     cleanup: CleanupSpec | None = None
     min_keys: int = 1
     pooled_store: bool = False
-    quantiles: str = "percentile"  # of keyed levels; "refined" where a key may hold a large share of all rows
+    quantiles: str = "auto"  # of keyed levels: "refined" where a group is too large to be held in one task, else "percentile"
     exclude: tuple[str, ...] = ()
 
     def __post_init__(self):
@@ -81,8 +81,8 @@ class ContextSpec:
                 raise ValueError(f"{name} must be at least 1")
         if self.gap < 0:
             raise ValueError("gap must not be negative")
-        if self.quantiles not in ("percentile", "refined"):
-            raise ValueError("quantiles is percentile or refined")
+        if self.quantiles not in ("auto", "percentile", "refined"):
+            raise ValueError("quantiles is auto, percentile or refined")
         if self.depth < 1:
             raise ValueError("depth must be at least 1")
         if unknown := set(self.fold_features) - set(FOLD_FEATURES):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import EPSILON, ContextSpec
 from ..functions.relative import relative_features
-from .backoff import apply_backoff, column
+from .backoff import apply_backoff, column, fallback_chain
 from .cleanup import Cleanup
 from .folds import balanced_fold, positions, side, time_bounds
 from .levels import Level, cardinalities, detect_keys, global_stats, level_name, level_stats, make_levels
@@ -44,13 +44,13 @@ def spec_levels(spec: ContextSpec) -> list[Level]:
 def stats_of(df: DataFrame, level: Level, spec: ContextSpec, fold: str | None = None) -> DataFrame:
     """A level's statistics, of each fold alone if fold is given; size limits hold within a fold.
 
-    All rows are the largest group there is: their order statistics are always
-    computed by ranges, those of keyed levels as the settings say.
+    Order statistics of groups too large to be held in one task are computed by
+    ranges, unless the settings say otherwise for keyed levels.
     """
     extra = (fold,) if fold else ()
     if level:
         return level_stats(df, level, spec.target, spec.stats, spec.min_group_size, extra, spec.quantiles)
-    return global_stats(df, spec.target, spec.stats, extra, "refined")
+    return global_stats(df, spec.target, spec.stats, extra, "refined" if spec.quantiles == "refined" else "auto")
 
 
 def combined_folds(per_fold: DataFrame, level: Level, spec: ContextSpec, fold: str, folds: list[int] | None, variance: bool) -> DataFrame:
@@ -86,6 +86,8 @@ def join_level(df: DataFrame, stats: DataFrame, level: Level, target: str, extra
     named = stats.select(*[F.col(k).alias(f"__k_{k}") for k in by], *[F.col(c).alias(column(level, target, c)) for c in stats.columns if c not in by])
     if not by:
         return df.join(F.broadcast(named.limit(1)), F.lit(True), "left")  # one row, or none without targets
+    if not level:
+        named = F.broadcast(named)  # one row per fold
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by])
     return df.join(named, condition, "left").drop(*[f"__k_{k}" for k in by])
 
@@ -166,22 +168,38 @@ class ContextEstimator:
         return out, ContextModel(spec, {x: combined_folds(s, x, spec, "__fold", None, True) for x, s in per_fold.items()})
 
     def _in_time(self, df: DataFrame, spec: ContextSpec) -> tuple[DataFrame, ContextModel]:
+        """All folds in one pass: each row goes to every training window that holds it, statistics carry their fold."""
         placed = positions(df, [spec.time_col, *spec.tie_cols], "__pos")
         bounds = time_bounds(df.count(), spec.n_folds, spec.test_size, spec.gap, spec.max_train_size, spec.strategy == "rolling")
-        joined = [self._window(placed, spec, b) for b in bounds]
-        first, last = bounds[0]["val_start"], bounds[-1]["val_end"]
-        rest = placed.where((F.col("__pos") < first) | (F.col("__pos") >= last))
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in joined[0].schema if f.name not in placed.columns]
-        parts = [*joined, rest.select("*", *blank)]
-        out = reduce(DataFrame.unionByName, parts).drop("__pos")
-        return out, ContextEstimator(spec).fit(df)
-
-    def _window(self, placed: DataFrame, spec: ContextSpec, bound: dict[str, int]) -> DataFrame:
-        train, rows = (placed.where(side(F.col("__pos"), bound, s)) for s in ("train", "val"))
+        pos = F.col("__pos")
+        windows = F.filter(F.array(*[F.when(side(pos, b, "train"), F.lit(b["fold"])) for b in bounds]), lambda k: k.isNotNull())
+        train = placed.select(*dict.fromkeys([*spec.keys, spec.target]), F.explode(windows).alias("__fold"))
+        rows = placed.withColumn("__fold", F.coalesce(*[F.when(side(pos, b, "val"), F.lit(b["fold"])) for b in bounds])).drop("__pos")
         out = rows
         for level in _all_levels(spec):
-            out = join_level(out, stats_of(train, level, spec), level, spec.target)
-        return _finished(out, spec, cardinalities(rows, spec.keys))
+            out = join_level(out, stats_of(train, level, spec, "__fold"), level, spec.target, ("__fold",))
+        parts = [_finished(out if folds is None else out.where(F.col("__fold").isin(folds) if folds else F.col("__fold").isNull()), spec, cardinality) for folds, cardinality in _fold_groups(rows, spec)]
+        whole = reduce(DataFrame.unionByName, parts)
+        # rows in no validation block stay blank
+        held = [c if c in df.columns else F.when(F.col("__fold").isNotNull(), F.col(f"`{c}`")).alias(c) for c in whole.columns if c != "__fold"]
+        return whole.select(*held), ContextEstimator(spec).fit(df)
+
+
+def _fold_groups(rows: DataFrame, spec: ContextSpec) -> list[tuple[list[int] | None, dict[str, int]]]:
+    """Folds whose keys' cardinalities give the same fallback chains, with these cardinalities; None: all rows alike."""
+    if not spec.keys:
+        return [(None, {})]
+    levels = spec_levels(spec)
+    counts = [(F.count_distinct(F.col(k)) + F.max(F.col(k).isNull().cast("int"))).alias(k) for k in spec.keys]
+    groups: dict[tuple, tuple[list[int], dict[str, int]]] = {}
+    for row in rows.where("__fold IS NOT NULL").groupBy("__fold").agg(*counts).collect():  # one row per fold
+        cardinality = {k: row[k] for k in spec.keys}
+        chains = tuple(tuple(fallback_chain(x, cardinality, set(levels))) for x in levels)
+        groups.setdefault(chains, ([], cardinality))[0].append(row["__fold"])
+    if len(groups) <= 1:
+        return [(None, next(iter(groups.values()))[1] if groups else dict.fromkeys(spec.keys, 0))]
+    found = list(groups.values())
+    return [*found, ([], found[0][1])]
 
 
 def time_fold_audit(df: DataFrame, spec: ContextSpec) -> DataFrame:
@@ -189,8 +207,8 @@ def time_fold_audit(df: DataFrame, spec: ContextSpec) -> DataFrame:
     placed = positions(df, [spec.time_col, *spec.tie_cols], "__pos")
     bounds = time_bounds(df.count(), spec.n_folds, spec.test_size, spec.gap, spec.max_train_size, spec.strategy == "rolling")
     t, pos = F.col(spec.time_col), F.col("__pos")
-    rows = []
+    found = []
     for b in bounds:
         tr, va = side(pos, b, "train"), side(pos, b, "val")
-        rows.append(placed.agg(F.lit(b["fold"]).alias("fold"), F.count_if(tr).alias("train_size"), F.count_if(va).alias("val_size"), F.max(F.when(tr, t)).alias("train_max"), F.min(F.when(va, t)).alias("val_min"), F.max(F.when(va, t)).alias("val_max")))
-    return reduce(DataFrame.unionByName, rows)
+        found.append(F.struct(F.lit(b["fold"]).alias("fold"), F.count_if(tr).alias("train_size"), F.count_if(va).alias("val_size"), F.max(F.when(tr, t)).alias("train_max"), F.min(F.when(va, t)).alias("val_min"), F.max(F.when(va, t)).alias("val_max")))
+    return placed.agg(F.array(*found).alias("folds")).select(F.inline("folds"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import MOMENTS, aggregates, probabilities, refined_quantiles, unpacked
+from ..functions.aggregates import MOMENTS, aggregates, group_is_large, probabilities, refined_quantiles, unpacked
 
 Level = tuple[str, ...]  # () is all rows
 
@@ -33,15 +33,18 @@ def merged_keys(hierarchy: tuple[str, ...], more: tuple[str, ...]) -> tuple[str,
     return tuple(dict.fromkeys([*hierarchy, *more]))
 
 
-def level_stats(df: DataFrame, level: Level, target: str, stats: tuple[str, ...], min_size: int = 1, extra: tuple[str, ...] = (), quantiles: str = "percentile") -> DataFrame:
+def level_stats(df: DataFrame, level: Level, target: str, stats: tuple[str, ...], min_size: int = 1, extra: tuple[str, ...] = (), quantiles: str = "auto") -> DataFrame:
     """Statistics of one level: extra and level columns, then one column per statistic.
 
     Null keys are a group of their own; null targets are skipped.  The size that
     min_size is held against is the number of targets if `count` is among the
     statistics, else the number of rows.  quantiles="refined" computes order
-    statistics without holding a group in one task.
+    statistics without holding a group in one task, "auto" does so if a count
+    finds a group too large for that; both give the same values.
     """
     by = [*extra, *level]
+    if quantiles == "auto":
+        quantiles = "refined" if probabilities(stats) and group_is_large(df, by) else "percentile"
     size = F.count(F.col(target)) if "count" in stats else F.count(F.lit(1))
     if quantiles == "refined" and (p := probabilities(stats)):
         moments = df.groupBy(*by).agg(size.alias("__size"), *aggregates(F.col(target), tuple(s for s in stats if s in MOMENTS)))
@@ -55,7 +58,7 @@ def level_stats(df: DataFrame, level: Level, target: str, stats: tuple[str, ...]
     return both.where(F.col("__size") >= min_size).select(*by, *unpacked(stats))
 
 
-def global_stats(df: DataFrame, target: str, stats: tuple[str, ...], extra: tuple[str, ...] = (), quantiles: str = "percentile") -> DataFrame:
+def global_stats(df: DataFrame, target: str, stats: tuple[str, ...], extra: tuple[str, ...] = (), quantiles: str = "auto") -> DataFrame:
     """One row (per extra) of statistics of all non-null targets."""
     return level_stats(df.where(F.col(target).isNotNull()), (), target, stats, 1, extra, quantiles)
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import quantiles_of
 from .cleanup import finite
 
 
@@ -73,7 +74,9 @@ def unseen(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: list[str], by_rows_of: DataFrame | None = None) -> DataFrame:
     """Nulls as the exact median of all rows (or of the rows of another frame)."""
-    row = (by_rows_of if by_rows_of is not None else df).agg(*[F.median(c).alias(c) for c in columns]).first()
+    rows = by_rows_of if by_rows_of is not None else df
+    found = {c: quantiles_of(rows, [], c, (0.5,)).first() for c in columns}
+    row = {c: x and x["__p"][0] for c, x in found.items()}
     return df.select(*[F.coalesce(F.col(c), F.lit(row[c])).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 

@@ -53,9 +53,9 @@ def rollup_table(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def target_profile(rows: DataFrame, y: str, probs: tuple[float, ...]) -> DataFrame:
     """(probability, value) of the target's exact percentiles, without gathering the target in one task."""
-    from ..functions.aggregates import refined_quantiles
+    from ..functions.aggregates import quantiles_of
 
-    p = refined_quantiles(rows, [], y, probs)
+    p = quantiles_of(rows, [], y, probs)
     return p.select(F.posexplode("__p").alias("k", "value")).select(F.get(F.array(*map(F.lit, probs)), F.col("k")).alias("probability"), "value")
 
 

@@ -40,7 +40,7 @@ def _sql_selected(stats, y):
 
 @register("agg_global_all", f"SELECT {_sql_selected(STATS, Y)} FROM lineitem")
 def agg_global_all(spark, sf_dir):
-    return global_stats(lines(spark, sf_dir, Y), Y, STATS, quantiles="refined").select(*_selected(STATS))
+    return global_stats(lines(spark, sf_dir, Y), Y, STATS).select(*_selected(STATS))
 
 
 @register("agg_combined", f"SELECT l_returnflag, l_linestatus, {_sql_selected(STATS, Y)} FROM lineitem GROUP BY ALL")

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ctxloom.config import CleanupSpec, ContextSpec, LagSpec, WalkForwardSpec, variant
+from ctxloom.functions import aggregates
 from ctxloom.functions.aggregates import STATS, refined_quantiles
 from ctxloom.operators.backoff import apply_backoff, fallback_chain
 from ctxloom.operators.cleanup import Cleanup, parse_feature
@@ -87,6 +88,21 @@ def test_refined_quantiles_are_exact(spark, values, slots):
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))
 
 
+def test_refined_quantiles_with_outliers_and_one_group(spark, monkeypatch):
+    """One group holds all rows; outliers of any size leave the other values in many ranges."""
+    df = spark.range(4000).selectExpr("'g' AS g", "CASE WHEN id = 7 THEN 1e300 WHEN id = 9 THEN -1e200 WHEN id % 10 = 0 THEN 0.0 ELSE pmod(id * 7919, 4001) / 4001 - 0.3 END AS y")
+    probs = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+    want = df.agg(F.percentile("y", F.array(*map(F.lit, probs)))).first()[0]
+    for keys in (["g"], []):
+        got = refined_quantiles(df, keys, "y", probs).first()["__p"]
+        assert all(a == pytest.approx(b, rel=1e-12, abs=1e-12) for a, b in zip(got, want))
+    monkeypatch.setattr(aggregates, "HELD_AT_ONCE", 100)
+    assert aggregates.group_is_large(df, ["g"]) and not aggregates.group_is_large(df.limit(50), [])
+    assert level_stats(df, ("g",), "y", ("median", "count")).first()["median"] == pytest.approx(want[3])
+    assert aggregates.quantiles_of(df, [], "y", probs).first()["__p"][3] == pytest.approx(want[3])
+    assert aggregates.quantiles_of(df.where("y IS NULL"), [], "y", probs).first() is None
+
+
 def test_all_statistics_of_a_known_group(spark):
     df = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4)] + [("g", None)], "k string, y double")
     r = level_stats(df, ("k",), "y", STATS).first()
