@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A small lexicon.
+# A small lexicon; the last word of each occurs in the invented prose of the test tables.
 POSITIVE = ("gain", "growth", "beat", "strong", "rise", "profit", "record", "good", "the")
 NEGATIVE = ("loss", "fall", "miss", "weak", "drop", "risk", "fraud", "bad", "of")
 

@@ -46,8 +46,8 @@ def melbourne(raw: DataFrame) -> DataFrame:
     return fill_median(sold.withColumns(named), numbers).select(*MELBOURNE)
 
 
-def m5_panel(calendar: DataFrame, sales: DataFrame, prices: DataFrame, history_days: int = 365) -> DataFrame:
-    """Daily demand of stores and departments with calendar, mean price, state flag, and past-only lags; rows without full lags go."""
+def m5_panel(calendar: DataFrame, sales: DataFrame, prices: DataFrame, history_days: int = 0) -> DataFrame:
+    """Daily demand of stores and departments with calendar, mean price, state flag, and past-only lags; rows without full lags go. history_days keeps that many last days only."""
     days = [c for c in sales.columns if c.startswith("d_")]
     days = days[-history_days:] if history_days > 0 else days
     ids = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]

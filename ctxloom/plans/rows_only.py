@@ -10,23 +10,24 @@ from ..functions.scores import LexiconScorer, score_cached, score_with
 from ..functions.windows import add_technical_features
 from ..operators import forecast, guards, models
 from ..operators.context import ContextEstimator
-from ..operators.folds import random_holdout
+from ..operators.folds import random_holdout, selection_split
 from .base import r, table
 from .panel import panel
+from .sessions import ARTICLE_KEY_SQL, _lexicon_sql
 
 
-@register("lexicon_sentiment_udf")
+@register("lexicon_sentiment_udf", _lexicon_sql())
 def lexicon_sentiment_udf(spark, sf_dir):
     """The batched scorer; the same numbers as lexicon_sentiment gives in SQL expressions."""
     return table(spark, sf_dir, "documents").select("doc_id", score_with(LexiconScorer(), F.col("text")).alias("s")).select("doc_id", *[r(F.col(f"s.{k}"), 6).alias(k) for k in ("pos", "neg", "neu", "score")])
 
 
-@register("cached_scoring")
+@register("cached_scoring", f"WITH s AS ({_lexicon_sql()}), k AS ({ARTICLE_KEY_SQL}) SELECT doc_id, article_key, score FROM s JOIN k USING (doc_id)")
 def cached_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     empty = spark.createDataFrame([], "article_key string, model_name string, model_revision string, pos double, neg double, neu double, score double")
     scored, _ = score_cached(docs, empty, LexiconScorer())
-    return scored.select("doc_id", "article_key", "score")
+    return scored.select("doc_id", "article_key", r("score", 6).alias("score"))
 
 
 def _model_rows(spark, sf_dir, spoil=lambda d: d, strategy="random"):
@@ -50,7 +51,8 @@ def ridge_fit(spark, sf_dir):
 @register("feature_search")
 def feature_search(spark, sf_dir):
     train, test, base, context = _model_rows(spark, sf_dir)
-    fit, val = train.randomSplit([0.8, 0.2], 7)
+    split = selection_split(train, _KEY, 0.2, tail=False)
+    fit, val = (split.where(F.col("split") == s).drop("split") for s in ("train", "val"))
     found = models.FeatureSearch(base, context, "l_extendedprice").run(fit, val, test, n_random=1)
     return spark.createDataFrame([(x.strategy, len(x.features), x.validation_rmse, x.strategy == found.best.strategy) for x in found.results], "strategy string, n_features int, validation_rmse double, best boolean")
 
@@ -93,7 +95,7 @@ def gbt_walk_forward(spark, sf_dir):
     e = panel(spark, sf_dir)
     daily = e.groupBy(F.col("user_id").alias("ticker"), F.date_trunc("day", "ts").alias("period_close_ts")).agg(F.avg("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
     features = add_technical_features(daily).select("ticker", "period_close_ts", "close", "ret_1d_log", "sma_5", "ema_5", "macd").withColumn("sector", F.col("ticker") % 5)
-    spec = WalkForwardSpec(horizons=(1,), train=14, val=3, test=3, step=4, trees=3, depth=2)
+    spec = WalkForwardSpec(horizons=(1,), train=14, val=3, test=3, step=3, trees=3, depth=2, oof_folds=2)
     return forecast.run_walk_forward(features, spec).predictions.select("fold_idx", "split", "ticker", "period_close_ts", "ret_h1", "pred_h1", "pred_h1_q05", "pred_h1_q95")
 
 

@@ -104,7 +104,10 @@ def lexicon_sentiment(spark, sf_dir):
     return scored.select("doc_id", *[r(F.col(f"s.{k}"), 6).alias(k) for k in ("pos", "neg", "neu", "score")])
 
 
-@register("article_key_sha", "SELECT doc_id, sha256(unhex(printf('%016x', octet_length(encode(text)))) || encode(text) || unhex('0000000000000007') || encode('lexicon') || unhex('0000000000000001') || encode('1')) AS article_key FROM documents")
+ARTICLE_KEY_SQL = "SELECT doc_id, sha256(unhex(printf('%016x', octet_length(encode(text)))) || encode(text) || unhex('0000000000000007') || encode('lexicon') || unhex('0000000000000001') || encode('1')) AS article_key FROM documents"
+
+
+@register("article_key_sha", ARTICLE_KEY_SQL)
 def article_key_sha(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", article_key(F.col("text"), F.lit("lexicon"), F.lit("1")).alias("article_key"))
 
