@@ -99,11 +99,19 @@ def importances(model: PipelineModel, features: list[str]) -> dict[str, float]:
 
 
 def train_model(name: str, train: DataFrame, features: list[str], target: str, test: DataFrame | None = None, params: dict | None = None, seed: int = 42, drop_incomplete: bool = False) -> Trained:
-    """Fit on train, score on both; infinite features are missing, missing ones are imputed unless their rows are dropped."""
+    """Fit on train, score on both; infinite features are missing, missing ones are imputed unless their rows are dropped.
+
+    A feature without any value in the training rows is left out; its importance is 0.
+    """
     ready = lambda df: (lambda d: d.na.drop(subset=features) if drop_incomplete else d)(finite(df.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in [*features, target]]), features))
     rows = ready(train)
-    fitted = build_model(name, features, target, params, seed).fit(rows)
-    return Trained(fitted, features, scores(fitted.transform(rows), target), scores(fitted.transform(ready(test)), target) if test is not None else None, importances(fitted, features))
+    counts = rows.agg(*[F.count(c).alias(c) for c in features]).first()
+    usable = [c for c in features if counts[c]]
+    if not usable:
+        raise ValueError("no feature has a value in the training rows")
+    fitted = build_model(name, usable, target, params, seed).fit(rows)
+    weights = {c: 0.0 for c in features} | importances(fitted, usable)
+    return Trained(fitted, usable, scores(fitted.transform(rows), target), scores(fitted.transform(ready(test)), target) if test is not None else None, weights)
 
 
 @dataclass

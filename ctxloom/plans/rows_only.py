@@ -95,7 +95,7 @@ def gbt_walk_forward(spark, sf_dir):
     e = panel(spark, sf_dir)
     daily = e.groupBy(F.col("user_id").alias("ticker"), F.date_trunc("day", "ts").alias("period_close_ts")).agg(F.avg("close").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
     features = add_technical_features(daily).select("ticker", "period_close_ts", "close", "ret_1d_log", "sma_5", "ema_5", "macd").withColumn("sector", F.col("ticker") % 5)
-    spec = WalkForwardSpec(horizons=(1,), train=14, val=3, test=3, step=3, trees=3, depth=2, oof_folds=2)
+    spec = WalkForwardSpec(horizons=(1,), train=20, val=3, test=3, step=3, trees=3, depth=2, oof_folds=2)
     return forecast.run_walk_forward(features, spec).predictions.select("fold_idx", "split", "ticker", "period_close_ts", "ret_h1", "pred_h1", "pred_h1_q05", "pred_h1_q95")
 
 
