@@ -15,8 +15,8 @@ Segment layout (little-endian):
   u16 words
 
 Defined cases: a null text is empty (one id: the end id); a null doc_id sorts
-first and comes back null; equal doc_ids keep separate rows, in file order, by a
-hash of their texts; an empty table gives no files.  A segment is closed once it
+first and comes back null; equal doc_ids keep separate rows, in file order; an
+empty table gives no files.  A segment is closed once it
 holds SEGMENT_IDS ids, so a longer text is a segment of its own, held whole.
 """
 
@@ -186,9 +186,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, segment
             yield close()
         release()
 
-    # rows that share an id, or have none, are ranged by their texts, so they need not be one task's
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows without an id are ranged by their place, so they need not be one task's; no text is read for that
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_place")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("*", place)
+    ordered = docs.repartitionByRange("doc_id", "_place").sortWithinPartitions("doc_id", "_place").drop("_place")
     return staged(ordered.mapInArrow(run, "part long, segment long, n_docs long, n_ids long, data binary"), "token_files")
 
 
