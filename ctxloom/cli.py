@@ -1,4 +1,4 @@
-"""Command line: list and check datasets, run guards; exit code 1 on violations."""
+"""Command line: list and check datasets, run experiments and guards; exit code 1 on violations and failures."""
 
 from __future__ import annotations
 
@@ -26,6 +26,9 @@ def main(args: list[str] | None = None) -> int:
     query = sub.add_parser("query")
     query.add_argument("name")
     query.add_argument("data")
+    run = sub.add_parser("run")
+    run.add_argument("names", nargs="*")
+    run.add_argument("--out")
     guard = sub.add_parser("guard")
     guard.add_argument("name", choices=["pit", "folds", "repeated"])
     guard.add_argument("path")
@@ -41,6 +44,13 @@ def main(args: list[str] | None = None) -> int:
         found = registry.verify()
         print(json.dumps(found))
         return int(not all(found.values()))
+    elif a.command == "run":
+        from .operators.runner import run_registered
+
+        wanted = a.names or [n for n in registry.names() if "experiment" in registry.info(n).settings]
+        done = run_registered(session(), registry, wanted, a.out)
+        print("\n".join(f"{r.name} {r.improvement:.2f} %" for r in done))
+        return int(len(done) < len(wanted))
     elif a.command == "query":
         from .catalog import queries
 

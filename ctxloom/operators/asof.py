@@ -20,15 +20,16 @@ def bind_forward(articles: DataFrame, sessions: DataFrame, published: str = "pub
 
     Without early_to_first, articles before the first session are dropped unless
     published at its close; with it they bind to it.  The search is an equi-join
-    on the day, so neither side is crossed: each session offers itself on the
-    days since the one before it, each article asks on its day.
+    on the hour, so neither side is crossed and a busy day is many keys: each
+    session offers itself in the hours since the one before it, each article
+    asks in its hour.
     """
-    day = lambda c: F.to_date(c)
+    hour = lambda c: F.date_diff(F.to_date(c), F.lit("1970-01-01").cast("date")) * 24 + F.hour(c)
     first = sessions.where("previous_close IS NULL").select("period_close_ts")
     later = sessions.where("previous_close IS NOT NULL")
-    offered = later.select("*", F.explode(F.sequence(day("previous_close"), day("period_close_ts"))).alias("__day"))
-    asked = articles.withColumn("__day", day(published))
-    bound = asked.join(offered, (asked["__day"] == offered["__day"]) & (F.col(published) > F.col("previous_close")) & (F.col(published) <= F.col("period_close_ts")))
+    offered = later.select("*", F.explode(F.sequence(hour("previous_close"), hour("period_close_ts"))).alias("__hour"))
+    asked = articles.withColumn("__hour", hour(published))
+    bound = asked.join(offered, (asked["__hour"] == offered["__hour"]) & (F.col(published) > F.col("previous_close")) & (F.col(published) <= F.col("period_close_ts")))
     out = bound.select(*articles.columns, "period_close_ts")
     opening = articles.crossJoin(F.broadcast(first.limit(1)))  # one row
     opening = opening.where(F.col(published) <= F.col("period_close_ts") if early_to_first else F.col(published) == F.col("period_close_ts"))

@@ -19,8 +19,8 @@ def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, n
     return numbered.withColumn(name, F.pmod("__pos", F.lit(n_folds)).cast("int")).drop("__h", "__pos")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """The row's 0-based place in a global order, without putting all rows into one task.
+def positions(df: DataFrame, order: list[str], name: str = "position", weight: str | None = None) -> DataFrame:
+    """The row's 0-based place in a global order, or the weight before it, without putting all rows into one task.
 
     Ranges of the order key are cut at bounds from a fixed sample (the rows of
     smallest hash), rows are numbered within ranges, and range sizes - a row
@@ -33,15 +33,23 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
     sample = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(16 * ranges)
     bounds = sample.agg(F.filter(F.array_sort(F.collect_list("__k")), lambda _, k: k % 16 == 15).alias("__bounds"))  # one row
     placed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", key)
-    placed = placed.withColumn("__part", F.size(F.filter("__bounds", lambda b: b <= F.col("__key")))).drop("__bounds", "__key")
+    placed = placed.withColumn("__part", _bounds_up_to(F.col("__bounds"), F.col("__key"), ranges)).drop("__bounds", "__key")
     within = Window.partitionBy("__part").orderBy(*order)
-    numbered = placed.withColumn("__at", F.row_number().over(within) - 1)
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    at = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(within) - 1
+    numbered = placed.withColumn("__at", at)
+    sizes = placed.groupBy("__part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     offsets = sizes.select("__part", before.alias("__before"))
     return numbered.join(offsets, "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
+def _bounds_up_to(bounds: Column, key: Column, most: int) -> Column:
+    """How many of at most `most` sorted bounds do not exceed the key, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    fits = lambda at, step: (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
 def time_bounds(n: int, n_folds: int, test_size: int | None = None, gap: int = 0, max_train: int | None = None, rolling: bool = False) -> list[dict[str, int]]:
     """Position bounds [train_start, train_end) and [val_start, val_end) of expanding or rolling folds over n ordered rows."""
     widest = max(1, n // (n_folds + 1))

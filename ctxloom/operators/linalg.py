@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,7 @@ def _corr(a: Column, b: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> np.ndarray:
     """Symmetric matrix with NaN where undefined; spearman ranks columns first (average ranks)."""
     if method == "spearman":
-        df = df.select(*[_average_rank(c).alias(c) for c in columns])
+        df = _ranked(df, columns)
     n = len(columns)
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
     out = np.eye(n)
@@ -36,9 +36,17 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
     return out
 
 
-def _average_rank(c: str) -> Column:
-    w = Window.orderBy(c)
-    return F.when(F.col(c).isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2)
+def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as average ranks: distinct values are counted, placed by the counts before them, and joined back."""
+    from .folds import positions
+
+    out = df.select(*columns)
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+        placed = positions(counts, ["__value"], "__below", "__n")
+        ranks = placed.select("__value", (F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
+        out = out.join(ranks, F.col(c) == F.col("__value"), "left").withColumn(c, F.col("__rank")).drop("__value", "__rank")
+    return out
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int]:

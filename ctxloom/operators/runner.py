@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from dataclasses import asdict, dataclass, field
-from pathlib import Path
+import warnings
+from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ContextSpec, variant
-from ..sources.files import append_jsonl, write_json
+from ..sources.files import append_json, write_json
+from ..sources.registry import Dataset, Registry
+from ..sources.storage import Storage
 from .context import ContextEstimator
 from .folds import random_holdout, sample_rows, temporal_holdout
 from .guards import promotion
@@ -54,8 +56,8 @@ class Result:
 
     def save(self, folder: str) -> None:
         write_json(asdict(self), f"{folder}/{self.name}.json")
-        append_jsonl({"name": self.name, "improvement": self.improvement, **self.metadata}, f"{folder}/runs.jsonl")
-        Path(folder, f"{self.name}.md").write_text(report(self))
+        append_json({"name": self.name, "improvement": self.improvement, **self.metadata}, f"{folder}/runs.jsonl")
+        Storage().write_text(f"{folder}/{self.name}.md", report(self))
 
 
 def report(r: Result) -> str:
@@ -101,14 +103,15 @@ def run_experiment(df: DataFrame, e: Experiment) -> Result:
 
 
 def run_all(frames: dict[str, DataFrame], experiments: list[Experiment], folder: str | None = None, diagnostics: dict | None = None) -> list[Result]:
-    """Every experiment over its frame; failures are recorded, not fatal. The gate goes into the metadata."""
+    """Every experiment over its frame; failures are warned of and recorded, not fatal. The gate goes into the metadata."""
     out = []
     for e in experiments:
         try:
             r = run_experiment(frames[e.name], e)
         except Exception as error:
+            warnings.warn(f"{e.name} failed: {str(error)[:500]}", stacklevel=2)
             if folder:
-                append_jsonl({"name": e.name, "error": str(error)[:500]}, f"{folder}/failures.jsonl")
+                append_json({"name": e.name, "error": str(error)[:500]}, f"{folder}/failures.jsonl")
             continue
         r.metadata["gate"] = promotion(diagnostics or {})
         if folder:
@@ -117,6 +120,23 @@ def run_all(frames: dict[str, DataFrame], experiments: list[Experiment], folder:
     return out
 
 
+def experiment_of(d: Dataset) -> Experiment:
+    """The experiment that a dataset's file describes in its [experiment] section; target and time column default to the dataset's."""
+    given = {"name": d.name, "target": d.target, "time_col": d.time_col} | d.settings.get("experiment", {})
+    if unknown := set(given) - {f.name for f in fields(Experiment)}:
+        raise ValueError(f"{d.name}: unknown settings {sorted(unknown)}")
+    if missing := [k for k in ("target", "keys", "numeric", "row_key") if not given.get(k)]:
+        raise ValueError(f"{d.name}: missing settings {missing}")
+    return Experiment(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def run_registered(spark: SparkSession, registry: Registry, names: list[str] | None = None, folder: str | None = None) -> list[Result]:
+    """The experiments of the named datasets, or of all that describe one."""
+    found = [registry.info(n) for n in names or registry.names()]
+    chosen = [d for d in found if names or "experiment" in d.settings]
+    return run_all({d.name: spark.read.parquet(d.path) for d in chosen}, [experiment_of(d) for d in chosen], folder)
+
+
 def compare_key_modes(df: DataFrame, e: Experiment) -> dict:
     """The experiment with its own keys and with detected ones, and the differences."""
     from dataclasses import replace

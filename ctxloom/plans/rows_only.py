@@ -11,7 +11,7 @@ from ..functions.windows import add_technical_features
 from ..operators import forecast, guards, models
 from ..operators.context import ContextEstimator
 from ..operators.folds import random_holdout, selection_split
-from .base import r, table
+from .base import r, sql_r, table
 from .panel import panel
 from .sessions import ARTICLE_KEY_SQL, _lexicon_sql
 
@@ -99,18 +99,26 @@ def gbt_walk_forward(spark, sf_dir):
     return forecast.run_walk_forward(features, spec).predictions.select("fold_idx", "split", "ticker", "period_close_ts", "ret_h1", "pred_h1", "pred_h1_q05", "pred_h1_q95")
 
 
-@register("stream_decayed_windows")
+_WEIGHT = "exp(-(epoch_us(w + INTERVAL 1 HOUR) - epoch_us(ts)) / 86400e6 / 5)"
+
+
+@register("stream_decayed_windows", f"SELECT event_type, w AS window_start, {sql_r(f'sum({_WEIGHT} * value) / sum({_WEIGHT})', 6)} AS value, count(*) AS n_events FROM (SELECT *, date_trunc('hour', ts) AS w FROM events) GROUP BY event_type, w")
 def stream_decayed_windows(spark, sf_dir):
     from ..streaming.windows import decayed_windows_once
 
-    return decayed_windows_once(spark, f"{sf_dir}/events.parquet")
+    windows = decayed_windows_once(spark, f"{sf_dir}/events.parquet")
+    return windows.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), r("value", 6).alias("value"), "n_events")
+
+
+_PRIORITY = "OVER (PARTITION BY o_orderpriority)"
 
 
-@register("stream_context")
+@register("stream_context", f"SELECT o_orderkey, {sql_r(f'avg(o_totalprice) {_PRIORITY}')} AS o_orderpriority_o_totalprice_mean, count(o_totalprice) {_PRIORITY} AS o_orderpriority_o_totalprice_count FROM orders")
 def stream_context(spark, sf_dir):
     from ..streaming.context import enrich_once
 
-    return enrich_once(spark, f"{sf_dir}/orders.parquet")
+    out = enrich_once(spark, f"{sf_dir}/orders.parquet")
+    return out.withColumn("o_orderpriority_o_totalprice_mean", r("o_orderpriority_o_totalprice_mean"))
 
 
 @register("panel_enrichment")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import shutil
 import tomllib
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import Storage
+
 MARKER = ".ctxloom_store"
 
 
@@ -80,40 +82,50 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256("|".join(map(str, [*sorted(df.columns), *row])).encode()).hexdigest()
 
 
+def _instant(text: str) -> datetime:
+    """An ISO date or time; without an offset it is UTC."""
+    t = datetime.fromisoformat(text)
+    return t if t.tzinfo else t.replace(tzinfo=UTC)
+
+
 class Store:
-    """A folder that may be overwritten because it carries a marker and lies within a root."""
+    """A folder on shared storage that may be overwritten because it carries a marker and lies within a root."""
 
-    def __init__(self, root: str, name: str):
-        self.root = Path(root).resolve()
-        self.path = (self.root / name).resolve()
-        if self.root not in self.path.parents:
-            raise ValueError(f"{self.path} lies outside of {self.root}")
+    def __init__(self, root: str, name: str, spark: SparkSession | None = None):
+        if ":" in name or not all(part.strip(".") for part in name.split("/")):
+            raise ValueError(f"{name!r} is no name within {root}")
+        self.spark = spark
+        self.path = f"{root.rstrip('/')}/{name}"
+        self.marker, self.meta_path = f"{self.path}/{MARKER}", f"{self.path}.meta.json"
 
     @property
-    def meta_path(self) -> Path:
-        return self.path.parent / f"{self.path.name}.meta.json"
+    def storage(self) -> Storage:
+        return Storage(self.spark)
 
     def clear(self) -> None:
         """Remove the folder if it is a store; anything else is left alone."""
-        if not self.path.exists():
+        if not self.storage.exists(self.path):
             return
-        if self.path == self.root or not (self.path / MARKER).exists():
+        if not self.storage.exists(self.marker):
             raise PermissionError(f"{self.path} carries no {MARKER}")
-        shutil.rmtree(self.path)
+        self.storage.delete(self.meta_path)
+        self.storage.delete(self.path)
 
     def write(self, df: DataFrame, ts: str, window: tuple[str, str] | None = None) -> dict:
+        """Marker first, facts about the stored rows last: a write that broke off can be cleared, and covers nothing."""
         from .files import write_partitioned
 
         self.clear()
-        write_partitioned(df, str(self.path), ts)
-        (self.path / MARKER).touch()
-        meta = {"rows": df.count(), "sha256": content_hash(df), "window": list(window) if window else None}
-        self.meta_path.write_text(json.dumps(meta))
+        self.storage.write_text(self.marker, "")
+        write_partitioned(df, self.path, ts, mode="append")
+        stored = df.sparkSession.read.parquet(self.path).select(*df.columns)
+        meta = {"rows": stored.count(), "sha256": content_hash(stored), "window": list(window) if window else None}
+        self.storage.write_text(self.meta_path, json.dumps(meta))
         return meta
 
     def covers(self, start: str, end: str) -> bool:
         """Whether what is stored spans the window, so nothing needs to be fetched."""
-        if not self.meta_path.exists() or not (self.path / MARKER).exists():
+        if not self.storage.exists(self.meta_path) or not self.storage.exists(self.marker):
             return False
-        window = json.loads(self.meta_path.read_text()).get("window")
-        return bool(window) and window[0] <= start and end <= window[1]
+        window = json.loads(self.storage.read_text(self.meta_path)).get("window")
+        return bool(window) and _instant(window[0]) <= _instant(start) and _instant(end) <= _instant(window[1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import ContextSpec
 from ..operators.context import ContextEstimator, ContextModel
@@ -20,7 +21,7 @@ def enrich_once(spark: SparkSession, path: str) -> DataFrame:
     """Orders enriched as a stream by the context of their priorities."""
     static = spark.read.parquet(path)
     model = ContextEstimator(ContextSpec("o_totalprice", ("o_orderpriority",), ("mean", "count"), strategy="off")).fit(static)
-    model.cardinality = {"o_orderpriority": 5}
+    model.cardinality = {"o_orderpriority": static.agg(F.count_distinct("o_orderpriority")).first()[0]}
     folder, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", name).parquet(folder)
-    return run_once(enrich_stream(stream, model).select("o_orderkey", "o_orderpriority_o_totalprice_mean", "o_orderpriority_o_totalprice_count"), "append")
+    return run_once(enrich_stream(stream, model).select("o_orderkey", "o_orderpriority_o_totalprice_mean", "o_orderpriority_o_totalprice_count"))

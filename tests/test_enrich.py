@@ -87,3 +87,24 @@ def test_demand_panel(spark):
     out = datasets.m5_panel(calendar, sales, price).orderBy("date").collect()
     assert str(out[0].date) == "2024-01-29" and len(out) == 7 and out[0].demand == 30.0 and out[0].lag_7 == 23.0 and out[0].rolling_mean_7 == 26.0
     assert out[1].event_name_1 == "Fest" and out[0].event_name_1 == "none" and {r.avg_sell_price for r in out} == {3.0} and out[0].snap_state == 1
+
+
+def test_ranks_and_weighted_positions(spark):
+    import random
+
+    import pandas as pd
+
+    from ctxloom.operators.folds import positions
+    from ctxloom.operators.linalg import correlation_matrix
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1.0, 2.0, 5.0]), float(rng.randrange(40)), rng.random() ** 3) for k in range(700)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double").repartition(5)
+    want = pd.DataFrame(rows, columns=["k", "a", "b", "c"])[["a", "b"]]
+    want = want.rank().corr().loc["a", "b"]
+    assert abs(correlation_matrix(df, ["a", "b"], "spearman")[0, 1] - want) < 1e-9
+    got = {r.k: r.at for r in positions(df.select("k", (df.k % 3 + 1).alias("w")), ["k"], "at", "w").collect()}
+    total = 0
+    for k in range(700):
+        assert got[k] == total
+        total += k % 3 + 1

@@ -1,10 +1,12 @@
 import pytest
 
 from ctxloom.config import ContextSpec, HierarchySpec
+from ctxloom.sources.registry import Registry
 from ctxloom.functions.scores import LexiconScorer, score_cached
 from ctxloom.operators import models, runner
 from ctxloom.operators.forecast import partial_enrichment
 from ctxloom.operators.context import ContextEstimator
+from ctxloom.sources.registry import Registry
 
 
 def rows(spark, n=900):
@@ -54,3 +56,18 @@ def test_enrichment_of_later_blocks(spark):
     sides = partial_enrichment(estimator, "id")({"train": df.where("id < 200"), "val": df.where("id BETWEEN 200 AND 249"), "test": df.where("id >= 250")})
     assert all("g_y_mean" in d.columns for d in sides.values()) and sides["test"].where("g_y_mean IS NULL").count() == 0
     assert HierarchySpec().context().strategy == "rolling"
+
+
+def test_experiments_from_files(spark, tmp_path):
+    rows(spark).write.parquet(str(tmp_path / "toy.parquet"))
+    (tmp_path / "toy.toml").write_text('[data]\npath = "toy.parquet"\ntarget = "y"\n[experiment]\nkeys = ["g"]\nnumeric = ["x"]\nrow_key = ["id"]\nvariant = "mean_count"\nmodel = "ridge"\nn_folds = 3\n')
+    (tmp_path / "plain.toml").write_text('[data]\npath = "nowhere.parquet"\n')
+    registry = Registry(str(tmp_path))
+    assert runner.experiment_of(registry.info("toy")).keys == ("g",)
+    with pytest.raises(ValueError, match="missing settings"):
+        runner.experiment_of(registry.info("plain"))
+    found = runner.run_registered(spark, registry, folder=str(tmp_path / "out"))
+    assert [r.name for r in found] == ["toy"] and spark.read.json(str(tmp_path / "out" / "runs.jsonl")).first()["name"] == "toy"
+    (tmp_path / "odd.toml").write_text('[data]\npath = "x"\n[experiment]\nkey = 1\n')
+    with pytest.raises(ValueError, match="unknown settings"):
+        runner.experiment_of(registry.info("odd"))
