@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,16 @@ def lookahead_violations(features: DataFrame, recomputed: DataFrame, keys: list[
     return both.select(*keys, each).select(*keys, "v.*").where(differs(F.col("stored"), F.col("recomputed"), tolerance))
 
 
+def spoiled_violations(prices: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str], ts: str, cut: str, names: list[str], values: list[str]) -> DataFrame:
+    """Rows up to a cut whose indicators change once the values from the cut on are changed: those looked ahead, or at their own row.
+
+    cut is a column of prices, one time per group; build makes the indicators, and keeps ts and cut.
+    """
+    changed = prices.withColumns({v: F.when(F.col(ts) >= F.col(cut), F.col(v) * 3 + 7).otherwise(F.col(v)) for v in values})
+    seen = lambda d: build(d).where(F.col(ts) <= F.col(cut))
+    return lookahead_violations(seen(prices), seen(changed), keys, names)
+
+
 def pit_violations(joined: DataFrame, published: str = "published_at", close: str = "period_close_ts") -> DataFrame:
     """Articles published after the close they are bound to, or without one."""
     return joined.where(F.col(published).isNull() | F.col(close).isNull() | (F.col(published) > F.col(close)))
@@ -105,9 +116,10 @@ def fold_violations(folds: DataFrame) -> DataFrame:
     return folds.select("fold_idx", problems)
 
 
-def survivors(universe: DataFrame, delisted: str = "delisted_at") -> DataFrame:
-    """How many rows have a readable end date: a universe without any holds survivors alone."""
-    return universe.agg(F.count(F.expr(f"try_to_date({delisted})")).alias("n_delisted"))
+def survivors(universe: DataFrame, delisted: str = "delisted_at", least: int = 13) -> DataFrame:
+    """How many rows have a readable end date, and whether that is enough: a universe with hardly any holds survivors alone."""
+    n = F.count(F.expr(f"try_to_date({delisted})"))
+    return universe.agg(n.alias("n_delisted"), (n >= least).alias("passed"))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -127,3 +127,8 @@ def typical_price(df: DataFrame) -> DataFrame:
 def star(fact: DataFrame, dims: list[tuple[DataFrame, list[str], str]]) -> DataFrame:
     """fact joined to dimensions (frame, keys, join kind) in turn."""
     return reduce(lambda f, d: f.join(d[0], d[1], d[2]), dims, fact)
+
+
+def common_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both frames with only the rows whose key the other has as well."""
+    return left.join(right.select(*keys), keys, "left_semi"), right.join(left.select(*keys), keys, "left_semi")

@@ -63,6 +63,12 @@ def split_summary(rows: DataFrame, split: str, y: str) -> DataFrame:
     return rows.groupBy(split).agg(F.min(y).alias("min"), F.max(y).alias("max"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.count(y).alias("n"))
 
 
+def split_differences(rows: DataFrame, split: str, y: str, sides: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """One row: how far mean and deviation of y lie apart between two sides of a split."""
+    of = lambda f, s: f(F.when(F.col(split) == s, F.col(y)))
+    return rows.agg(*[F.abs(of(f, sides[0]) - of(f, sides[1])).alias(n) for n, f in (("mean_difference", F.avg), ("std_difference", F.stddev_samp))])
+
+
 def feature_usage(results: DataFrame, features: str, score: str, tie: str, k: int = 20) -> DataFrame:
     """How many of the k best results use each feature."""
     best = results.orderBy(score, tie).limit(k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -87,10 +88,35 @@ def guard_lookahead_mutated(spark, sf_dir):
     return guards.lookahead_violations(peeking, h, ["user_id", "ts"], ["sma_5"]).select("user_id", "ts", "indicator")
 
 
-@register("guard_target_isolation", "SELECT unnest(['ret_h5', 'ret_h21_lag3', 'resid_h1']) AS name")
+_INDICATORS = [*[f"ret_{n}d_log" for n in (1, 5, 10, 21)], *[f"{k}_{n}" for k in ("sma", "ema") for n in (5, 10, 21, 63)], "rsi_14", "macd", "macd_signal", "macd_hist", "volatility_21", "volatility_63", "volume_zscore_21", "atr_14", "bb_mid", "bb_upper", "bb_lower"]
+
+
+@register(
+    "guard_lookahead_all",
+    f"""WITH e AS ({_PANEL}), c AS (SELECT *, max(CASE WHEN event_id % 5 = 2 THEN ts END) OVER (PARTITION BY user_id) AS cut, count(*) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT unnest({_INDICATORS!r}) AS indicator, 0::BIGINT AS n_violations UNION ALL SELECT 'peek_5', count(*) FROM c WHERE ts = cut AND k >= 5""",
+)
+def guard_lookahead_all(spark, sf_dir):
+    """All technical indicators, and one that sees its own row, against prices changed from a time of each ticker on."""
+    last = F.max(F.when(F.col("event_id") % 5 == 2, F.col("ts"))).over(Window.partitionBy("user_id"))
+    own = fw.panel("user_id", "ts").rowsBetween(-4, 0)
+
+    def build(prices):
+        peeking = prices.withColumn("peek_5", F.when(F.count("close").over(own) == 5, F.avg("close").over(own)))
+        return fw.add_technical_features(peeking, key="user_id", ts="ts")
+
+    names = [*_INDICATORS, "peek_5"]
+    found = guards.spoiled_violations(panel(spark, sf_dir).withColumn("cut", last), build, ["user_id", "ts"], "ts", "cut", names, ["close", "high", "low", "volume"])
+    counts = found.groupBy("indicator").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(n,) for n in names], "indicator string").join(counts, "indicator", "left").select("indicator", F.coalesce("n", F.lit(0)).cast("long").alias("n_violations"))
+
+
+@register("guard_target_isolation", f"SELECT column_name AS name FROM (DESCRIBE SELECT close, volume, high AS ret_5d_log, close AS ret_h1, close AS ret_h5, low AS ret_h5_lag3, low AS resid_h1, low AS threshold_h1 FROM ({_PANEL})) WHERE regexp_matches(column_name, '(^|_)(ret|resid)_h[0-9]')")
 def guard_target_isolation(spark, sf_dir):
-    names = ["sma_5", "ret_h5", "ret_5d_log", "ret_h21_lag3", "resid_h1", "macd_hist"]
-    return spark.createDataFrame([(n,) for n in guards.target_columns(names)], "name string")
+    """Targets among the columns of a feature table."""
+    p = panel(spark, sf_dir).select("user_id", "ts", "close", "volume", F.col("high").alias("ret_5d_log"), "low")
+    lagged = p.select("close", "volume", "ret_5d_log", *fw.forward_targets("close", fw.panel("user_id", "ts"), (1, 5)), F.col("low").alias("ret_h5_lag3"), F.col("low").alias("resid_h1"), F.col("low").alias("threshold_h1"))
+    return spark.createDataFrame([(n,) for n in guards.target_columns(lagged.columns)], "name string")
 
 
 @register("guard_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -125,7 +151,7 @@ def requested_tickers(spark, sf_dir):
     return requested(ask, universe, at("1995-03-01"), at("1995-06-01"))
 
 
-@register("survivorship", f"SELECT count(delisted_at) AS n_delisted FROM ({_LISTED})")
+@register("survivorship", f"SELECT count(delisted_at) AS n_delisted, count(delisted_at) >= 13 AS passed FROM ({_LISTED})")
 def survivorship(spark, sf_dir):
     u = _universe(spark, sf_dir).withColumn("delisted_at", F.coalesce(F.date_format("delisted_at", "yyyy-MM-dd"), F.lit("still listed")))
     return guards.survivors(u)

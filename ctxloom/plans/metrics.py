@@ -216,3 +216,16 @@ def split_summary(spark, sf_dir):
 def feature_usage(spark, sf_dir):
     rows = _importances(spark, sf_dir).withColumn("fs", F.array("strategy", "feature"))
     return reports.feature_usage(rows, "fs", "importance", "p_partkey")
+
+
+_SIDE = "CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' THEN 'test' ELSE 'train' END"
+
+
+def _apart(f: str) -> str:
+    return sql_r(f"abs({f}(o_totalprice) FILTER ({_SIDE} = 'train') - {f}(o_totalprice) FILTER ({_SIDE} = 'test'))")
+
+
+@register("split_differences", f"SELECT {_apart('avg')} AS mean_difference, {_apart('stddev_samp')} AS std_difference FROM orders")
+def split_differences(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("split", F.expr(_SIDE))
+    return _round(reports.split_differences(o, "split", "o_totalprice"), [], ["mean_difference", "std_difference"], 4)

@@ -177,3 +177,11 @@ def semi_join(spark, sf_dir):
 def anti_join(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey")
+
+
+@register("common_rows", "SELECT c_custkey AS k, 'customer' AS side, c_name AS name FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, 'supplier', s_name FROM supplier WHERE s_suppkey IN (SELECT c_custkey FROM customer)")
+def common_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("side"), F.col("c_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("side"), F.col("s_name").alias("name"))
+    left, right = prepare.common_rows(c, s, ["k"])
+    return left.unionByName(right)

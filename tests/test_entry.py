@@ -31,7 +31,7 @@ def test_queries_match_sql(spark):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("agg_combined", "agg_global_all", "agg_levels_pairs", "ctx_backoff", "cf_random", "cf_rolling_gap", "rollstd", "rsi", "asof_forward", "decay_market_wide", "decile_ls", "ts_group_split", "guard_reproducible", "star_panel", "ordinal_encode", "stream_context", "stream_decayed_windows"):
+    for name in ("agg_combined", "agg_global_all", "agg_levels_pairs", "ctx_backoff", "cf_random", "cf_rolling_gap", "rollstd", "rsi", "asof_forward", "decay_market_wide", "decile_ls", "ts_group_split", "guard_reproducible", "star_panel", "ordinal_encode", "stream_context", "stream_decayed_windows", "guard_lookahead_all", "guard_target_isolation", "survivorship", "split_differences", "common_rows"):
         own, sql = queries()[name](spark, sf), con.execute(oracle_sql()[name]).df()
         assert sorted(own.columns) == sorted(sql.columns) and own.count() == len(sql), name
         cols = sorted(own.columns)
