@@ -26,6 +26,18 @@ def log_return(close: Column, w: WindowSpec, n: int = 1, shift: int = 0) -> Colu
     return F.ln(F.try_divide(F.lag(close, shift).over(w) if shift else close, F.lag(close, shift + n).over(w)))
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) in floating point: infinite where one of both is 0, NaN where both are or their signs differ; null only beside a null."""
+    ratio = F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+    return F.when(ratio == 0, float("-inf")).when(ratio < 0, float("nan")).otherwise(F.ln(ratio))
+
+
+def with_log_ratios(df: DataFrame, keep: tuple[str, ...], ratios: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """keep, and the log_ratio of every pair of window columns under its name; each window column is computed once."""
+    sides = df.select(*keep, *[c.alias(f"__{side}_{n}") for n, pair in ratios.items() for side, c in zip("ab", pair, strict=True)])
+    return sides.select(*keep, *[log_ratio(F.col(f"__a_{n}"), F.col(f"__b_{n}")).alias(n) for n in ratios])
+
+
 def past_mean(x: Column, w: WindowSpec, n: int) -> Column:
     return full(x, w, n, F.avg(x).over(w.rowsBetween(-n, -1)))
 
@@ -35,7 +47,7 @@ def past_std(x: Column, w: WindowSpec, n: int) -> Column:
 
 
 def returns(close: str, w: WindowSpec, windows: tuple[int, ...]) -> list[Column]:
-    """ret_{n}d_log: log of the previous value over the one n rows earlier."""
+    """ret_{n}d_log: log of the previous value over the one n rows earlier; null where that is not finite."""
     return [log_return(F.col(close), w, n, 1).alias(f"ret_{n}d_log") for n in windows]
 
 
@@ -69,7 +81,7 @@ def lags(columns: list[str], w: WindowSpec, spec: LagSpec) -> list[Column]:
 
 
 def forward_targets(close: str, w: WindowSpec, horizons: tuple[int, ...]) -> list[Column]:
-    """ret_h{N}: log of the value N rows ahead over this one; null at the end."""
+    """ret_h{N}: log of the value N rows ahead over this one; null at the end and where that is not finite."""
     return [F.ln(F.try_divide(F.lead(F.col(close), n).over(w), F.col(close))).alias(f"ret_h{n}") for n in horizons]
 
 

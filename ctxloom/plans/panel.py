@@ -91,7 +91,9 @@ _lag_query("rollstd", "rollstd", _sql(", ".join(f"{_full(c, n, f'stddev_samp({c}
 
 @register("fwd_targets", _sql(", ".join(f"{sql_r(f'ln(lead(close, {n}) OVER w / close)', 6)} AS ret_h{n}" for n in (1, 5, 10, 21, 63))))
 def fwd_targets(spark, sf_dir):
-    return _named(panel(spark, sf_dir).select(*_ID, *fw.forward_targets("close", _w(), (1, 5, 10, 21, 63))), [f"ret_h{n}" for n in (1, 5, 10, 21, 63)])
+    """As in its SQL, zero prices give infinite logs, which the labels of models have as nulls."""
+    df = fw.with_log_ratios(panel(spark, sf_dir), _ID, {f"ret_h{n}": (F.lead("close", n).over(_w()), F.col("close")) for n in (1, 5, 10, 21, 63)})
+    return _named(df, [f"ret_h{n}" for n in (1, 5, 10, 21, 63)])
 
 
 # ---------------------------------------------------------------- recursive smoothing

@@ -156,3 +156,29 @@ def test_linear_statistics(spark):
     s = {x.feature: x for x in lm_statistics(df, ["a", "b"], "y").features}
     assert s["a"].p_value < 1e-6 and s["a"].coefficient == pytest.approx(s["a"].pearson_r, abs=0.05)
     assert SignificanceSelector(["a", "b"], "y", 1e-4, backward=True).fit(df).chosen == ["a"]
+
+
+def _as_sql(spark, tmp_path, name, values):
+    """A query and its SQL over one ticker with these values; not finite ones as text."""
+    import duckdb
+
+    from ctxloom.catalog import oracle_sql, queries
+
+    con = duckdb.connect()
+    rows = ", ".join(f"({k}, TIMESTAMP '2024-01-01' + INTERVAL {k} HOUR, 1, {'NULL' if v is None else repr(str(v))}::DOUBLE)" for k, v in enumerate(values))
+    path = tmp_path / "events.parquet"
+    con.execute(f"COPY (SELECT e::BIGINT AS event_id, ts, u::BIGINT AS user_id, value FROM (VALUES {rows}) AS t(e, ts, u, value)) TO '{path}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    text = lambda rows: [tuple(x if x is None or math.isfinite(x) else str(x) for x in r) for r in rows]
+    own = queries()[name](spark, str(tmp_path))
+    names = [c for c in own.columns if c.startswith("ret_")]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({oracle_sql()[name]}) ORDER BY ts").fetchall()
+    return text(own.orderBy("ts").select(*names).collect()), text(want)
+
+
+_ODD = [1.0, 0.0, 2.5, 0.0, 0.0, -1.0, 3.0, None, -2.0, -0.0, float("inf"), 4.0, float("nan"), 5.0, 1e-300, 1e300, 0.01, 7.0]
+
+
+def test_forward_targets_of_zero_prices_as_in_sql(spark, tmp_path):
+    own, want = _as_sql(spark, tmp_path, "fwd_targets", _ODD)
+    assert own == want and {"inf", "-inf", "nan"} <= {x for r in own for x in r if isinstance(x, str)}
