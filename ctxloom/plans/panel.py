@@ -41,7 +41,9 @@ def _named(df, names):
 
 @register("ret_log", _sql(", ".join(f"{sql_r(f'ln(lag(close, 1) OVER w / lag(close, {n + 1}) OVER w)', 6)} AS ret_{n}d_log" for n in (1, 5, 10, 21))))
 def ret_log(spark, sf_dir):
-    df = panel(spark, sf_dir).select(*_ID, *fw.returns("close", _w(), (1, 5, 10, 21)))
+    """As in its SQL, zero prices give infinite logs, which the features of models have as nulls."""
+    past = lambda n: F.lag("close", n).over(_w())
+    df = fw.with_log_ratios(panel(spark, sf_dir), _ID, {f"ret_{n}d_log": (past(1), past(n + 1)) for n in (1, 5, 10, 21)})
     return _named(df, [f"ret_{n}d_log" for n in (1, 5, 10, 21)])
 
 

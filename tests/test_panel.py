@@ -182,3 +182,8 @@ _ODD = [1.0, 0.0, 2.5, 0.0, 0.0, -1.0, 3.0, None, -2.0, -0.0, float("inf"), 4.0,
 def test_forward_targets_of_zero_prices_as_in_sql(spark, tmp_path):
     own, want = _as_sql(spark, tmp_path, "fwd_targets", _ODD)
     assert own == want and {"inf", "-inf", "nan"} <= {x for r in own for x in r if isinstance(x, str)}
+
+
+def test_log_returns_of_zero_prices_as_in_sql(spark, tmp_path):
+    own, want = _as_sql(spark, tmp_path, "ret_log", _ODD)
+    assert own == want and {"inf", "-inf", "nan"} <= {x for r in own for x in r if isinstance(x, str)}
