@@ -13,7 +13,7 @@ matches null keys; the joins carry no broadcast hint, so Spark decides by size.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -92,6 +92,18 @@ def join_level(df: DataFrame, stats: DataFrame, level: Level, target: str, extra
     return df.join(named, condition, "left").drop(*[f"__k_{k}" for k in by])
 
 
+def serving(spec: ContextSpec, columns: list[str]) -> ContextSpec:
+    """spec without the combinations of keys that neither these context columns nor their fallbacks come from; the columns keep their values."""
+    combined = [x for x in spec_levels(spec) if len(x) > 1]
+    wanted = [set(x) for x in combined if any(c.startswith(f"{level_name(x)}_{spec.target}_") for c in columns)]
+    return replace(spec, allowed_interactions=tuple(x for x in combined if any(set(x) <= w for w in wanted)))
+
+
+def _cardinality(df: DataFrame, spec: ContextSpec) -> dict[str, int]:
+    """Cardinalities of the keys, counted only where a combination's fallbacks are ordered by them."""
+    return cardinalities(df, spec.keys) if any(len(x) > 1 for x in spec_levels(spec)) else {}
+
+
 def _all_levels(spec: ContextSpec) -> list[Level]:
     return [*([()] if spec.global_stats else []), *spec_levels(spec)]
 
@@ -122,7 +134,7 @@ class ContextModel:
         out = df
         for level in _all_levels(self.spec):
             out = join_level(out, self.store[level], level, self.spec.target)
-        out = _finished(out, self.spec, self.cardinality or cardinalities(df, self.spec.keys))
+        out = _finished(out, self.spec, self.cardinality or _cardinality(df, self.spec))
         if self.spec.cleanup and finish:
             if self.cleanup is None:
                 if self.spec.target not in df.columns:
@@ -162,7 +174,7 @@ class ContextEstimator:
         out = folded
         for level, stats in per_fold.items():
             out = join_level(out, combined_folds(stats, level, spec, "__fold", list(range(spec.n_folds)), True), level, spec.target, ("__fold",))
-        out = _finished(out, spec, cardinalities(df, spec.keys)).drop("__fold")
+        out = _finished(out, spec, _cardinality(df, spec)).drop("__fold")
         if spec.pooled_store or not spec.fold_variance:
             return out, ContextEstimator(spec).fit(df)
         return out, ContextModel(spec, {x: combined_folds(s, x, spec, "__fold", None, True) for x, s in per_fold.items()})

@@ -13,27 +13,37 @@ def random_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, nam
     return df.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), *map(F.col, key)), F.lit(n_folds)).cast("int"))
 
 
-def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Folds whose sizes differ by at most one row, by global position in hash order."""
-    numbered = positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__h", *key], "__pos")
-    return numbered.withColumn(name, F.pmod("__pos", F.lit(n_folds)).cast("int")).drop("__h", "__pos")
+def hash_place(df: DataFrame, key: list[str], seed: int = 42, name: str = "place") -> DataFrame:
+    """df with the global position of each row in hash order; folds and a split of one seed can share it."""
+    return positions(df.withColumn("__h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__h", *key], name, hashed=True).drop("__h")
 
 
-def positions(df: DataFrame, order: list[str], name: str = "position", weight: str | None = None) -> DataFrame:
+def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, name: str = "fold", place: str | None = None) -> DataFrame:
+    """Folds whose sizes differ by at most one row, by global position in hash order; place is a column that holds it already."""
+    numbered = df if place else hash_place(df, key, seed, "__pos")
+    return numbered.withColumn(name, F.pmod(F.col(place or "__pos"), F.lit(n_folds)).cast("int")).drop("__pos")
+
+
+def positions(df: DataFrame, order: list[str], name: str = "position", weight: str | None = None, hashed: bool = False) -> DataFrame:
     """The row's 0-based place in a global order, or the weight before it, without putting all rows into one task.
 
     Ranges of the order key are cut at bounds from a fixed sample (the rows of
     smallest hash), rows are numbered within ranges, and range sizes - a row
     each - are accumulated and joined back.  The range is a function of the key
     alone, so recomputed tasks and both branches of the plan agree on it.  Ties
-    need a full order key; nulls come first.
+    need a full order key; nulls come first.  hashed tells that the order begins
+    with a 64-bit hash, whose ranges are even and need no sample.
     """
     ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*[F.col(c) for c in order])
-    sample = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(16 * ranges)
-    bounds = sample.agg(F.filter(F.array_sort(F.collect_list("__k")), lambda _, k: k % 16 == 15).alias("__bounds"))  # one row
-    placed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", key)
-    placed = placed.withColumn("__part", _bounds_up_to(F.col("__bounds"), F.col("__key"), ranges)).drop("__bounds", "__key")
+    if hashed:
+        # the upper 32 bits, from 0
+        placed = df.withColumn("__part", F.shiftright((F.shiftright(F.col(order[0]), 32) + (1 << 31)) * ranges, 32).cast("int"))
+    else:
+        key = F.struct(*[F.col(c) for c in order])
+        sample = df.select(key.alias("__k")).orderBy(F.xxhash64("__k"), "__k").limit(16 * ranges)
+        bounds = sample.agg(F.filter(F.array_sort(F.collect_list("__k")), lambda _, k: k % 16 == 15).alias("__bounds"))  # one row
+        placed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", key)
+        placed = _bounds_up_to(placed, "__bounds", "__key", ranges, "__part").drop("__bounds", "__key")
     within = Window.partitionBy("__part").orderBy(*order)
     at = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(within) - 1
     numbered = placed.withColumn("__at", at)
@@ -43,11 +53,14 @@ def positions(df: DataFrame, order: list[str], name: str = "position", weight: s
     return numbered.join(offsets, "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 
-def _bounds_up_to(bounds: Column, key: Column, most: int) -> Column:
-    """How many of at most `most` sorted bounds do not exceed the key, by halving steps."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
-    fits = lambda at, step: (at + step <= F.size(bounds)) & (F.get(bounds, at + step - 1) <= key)
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+def _bounds_up_to(df: DataFrame, bounds: str, key: str, most: int, name: str) -> DataFrame:
+    """df with the number of the (at most `most`) sorted bounds that do not exceed the key, by halving steps in compiled columns."""
+    at = F.col(name)
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << k for k in reversed(range(most.bit_length()))):
+        fits = (at + step <= F.size(bounds)) & (F.get(F.col(bounds), at + step - 1) <= F.col(key))
+        df = df.withColumn(name, F.when(fits, at + step).otherwise(at))
+    return df
 
 
 def time_bounds(n: int, n_folds: int, test_size: int | None = None, gap: int = 0, max_train: int | None = None, rolling: bool = False) -> list[dict[str, int]]:
@@ -132,14 +145,14 @@ def random_holdout(df: DataFrame, key: list[str], share: float = 0.2, seed: int
     return df.withColumn("split", F.when(u < share, "test").otherwise("train"))
 
 
-def selection_split(df: DataFrame, order: list[str], share: float, tail: bool, seed: int = 42) -> DataFrame:
-    """df with split for model selection: the last rows in order, or the first in hash order; round half to even."""
+def selection_split(df: DataFrame, order: list[str], share: float, tail: bool, seed: int = 42, place: str | None = None) -> DataFrame:
+    """df with split for model selection: the last rows in order, or the first in hash order; round half to even. place is a column with the hash order's position."""
     n = df.count()
     k = min(max(round(n * share), 1), n - 1)
     if tail:
         return positions(df, order, "__pos").withColumn("split", F.when(F.col("__pos") >= n - k, "val").otherwise("train")).drop("__pos")
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *map(F.col, order)))
-    return positions(hashed, ["__h", *order], "__pos").withColumn("split", F.when(F.col("__pos") < k, "val").otherwise("train")).drop("__pos", "__h")
+    numbered = df if place else hash_place(df, order, seed, "__pos")
+    return numbered.withColumn("split", F.when(F.col(place or "__pos") < k, "val").otherwise("train")).drop("__pos")
 
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:

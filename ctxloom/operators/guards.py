@@ -131,7 +131,7 @@ def permuted(df: DataFrame, column: str, key: list[str], seed: int) -> DataFrame
     from .folds import positions
 
     # names that stay clear of the columns of df
-    placed = positions(df.withColumn("__row_h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__row_h", *key], "__place").drop("__row_h")
+    placed = positions(df.withColumn("__row_h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__row_h", *key], "__place", hashed=True).drop("__row_h")
     values = positions(df.select(*key, F.col(column).alias("__value")), key, "__place").select("__place", "__value")
     return placed.join(values, "__place").withColumn(column, F.col("__value")).select(*df.columns)
 

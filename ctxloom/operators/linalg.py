@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,35 @@ def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int
     return out, np.array([row[1 + k] or 0.0 for k in range(n)]), row[0]
 
 
+@dataclass
+class Moments:
+    """Rows, values of each column, means, and summed products of deviations; the latter of complete columns alone make sense."""
+
+    columns: list[str]
+    n: int
+    values: np.ndarray
+    means: np.ndarray
+    products: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        """The moments of both sets of rows."""
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, apart = self.n + other.n, other.means - self.means
+        return Moments(self.columns, n, self.values + other.values, self.means + apart * (other.n / n), self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n))
+
+
+def moments(df: DataFrame, columns: list[str]) -> Moments:
+    """Moments of columns in one aggregation, by running means rather than sums of squares."""
+    c, n = [F.col(x).cast("double") for x in columns], len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    row = df.agg(F.count(F.lit(1)), *[F.count(x) for x in c], *[F.avg(x) for x in c], *[F.covar_pop(c[i], c[j]) for i, j in pairs]).first()
+    products = np.zeros((n, n))
+    for k, (i, j) in enumerate(pairs):
+        products[i, j] = products[j, i] = (row[1 + 2 * n + k] or 0.0) * row[0]
+    return Moments(columns, row[0], np.array(row[1 : n + 1], dtype=float), np.array([x or 0.0 for x in row[n + 1 : 2 * n + 1]]), products)
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     if x <= 0 or x >= 1:

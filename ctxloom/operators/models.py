@@ -7,18 +7,21 @@ import json
 import random
 import time
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from pathlib import Path
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cleanup import finite
 from .guards import advantage
+from .linalg import Moments, moments
 from .selection import select_significant
 
 # Presets by model; boosted and extra-tree families of other libraries map to the nearest Spark one.
@@ -114,6 +117,68 @@ def train_model(name: str, train: DataFrame, features: list[str], target: str, t
     return Trained(fitted, usable, scores(fitted.transform(rows), target), scores(fitted.transform(ready(test)), target) if test is not None else None, weights)
 
 
+def _with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Rows with a target, infinite features as null; as train_model has them."""
+    return finite(df.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]), features)
+
+
+@dataclass
+class Ridge:
+    """The ridge model of train_model in closed form, over the features' own scale."""
+
+    features: list[str]
+    coefficients: list[float]
+    intercept: float
+    importances: dict[str, float]
+
+    def prediction(self) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(c) * F.lit(w) for c, w in zip(self.features, self.coefficients, strict=True)], F.lit(self.intercept))
+
+
+def closed_form(name: str, params: dict | None) -> bool:
+    """Whether a model with these settings is the ridge that moments give."""
+    own = preset(name, params)
+    return model_kind(name) == "ridge" and set(own) == {"regParam"} and own["regParam"] > 0
+
+
+def fit_ridge(m: Moments, features: list[str], target: str, penalty: float) -> Ridge:
+    """Spark's ridge: features and target are standardised, the penalty is divided by the target's deviation; flat features weigh 0."""
+    at, y = [m.columns.index(c) for c in features], m.columns.index(target)
+    cov = m.products / m.n
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    weights = np.zeros(len(features))
+    if sd[y] > 0:
+        safe = np.where(sd > 0, sd, np.inf)
+        z = cov / np.outer(safe, safe)
+        weights = np.linalg.solve(z[np.ix_(at, at)] + penalty / sd[y] * np.eye(len(at)), z[at, y])
+        coefficients = weights * sd[y] / safe[at]
+    else:
+        coefficients = weights
+    total = float(np.abs(weights).sum()) or 1.0
+    return Ridge(features, [float(x) for x in coefficients], float(m.means[y] - coefficients @ m.means[at]), {f: abs(float(w)) / total for f, w in zip(features, weights, strict=True)})
+
+
+def score_ridges(rows: DataFrame, models: list[Ridge], target: str) -> list[Scores] | None:
+    """Scores of all models in one aggregation; None if a feature has gaps, which only a fitted imputer can fill."""
+    used = list(dict.fromkeys(c for m in models for c in m.features))
+    y = F.col(target)
+    errors = [(F.avg(F.pow(m.prediction() - y, 2)), F.avg(F.abs(m.prediction() - y))) for m in models]
+    r = _with_target(rows, used, target).agg(F.count(F.lit(1)), F.var_pop(y), *[e for pair in errors for e in pair], *[F.count(c) for c in used]).first()
+    if any(v < r[0] for v in r[2 + 2 * len(models) :]):
+        return None
+    return [Scores((r[2 + 2 * k] or 0.0) ** 0.5, r[3 + 2 * k] or 0.0, 1 - r[2 + 2 * k] / r[1] if r[1] else 0.0, r[0]) for k in range(len(models))]
+
+
+def ridge_sets(m: Moments, test: DataFrame, sets: list[list[str]], target: str, penalty: float) -> list[tuple[Ridge, Scores]] | None:
+    """A ridge of every feature set and its scores on test; None where features have gaps."""
+    used = [m.columns.index(c) for s in sets for c in s]
+    if not m.n or any(m.values[k] < m.n for k in used):
+        return None
+    fitted = [fit_ridge(m, s, target, penalty) for s in sets]
+    found = score_ridges(test, fitted, target)
+    return found and list(zip(fitted, found, strict=True))
+
+
 @dataclass
 class SearchResult:
     strategy: str
@@ -138,7 +203,11 @@ class SearchSummary:
 
 
 class FeatureSearch:
-    """Tries feature sets on a validation split; the test rows are scored once, by the winner."""
+    """Tries feature sets on a validation split; the test rows are scored once, by the winner.
+
+    Ridges of gapless features come from the moments of the rows: a pass over the
+    training rows and one over the validation rows serve all sets.
+    """
 
     def __init__(self, base: list[str], context: list[str], target: str, model: str = "ridge", seed: int = 42, params: dict | None = None):
         self.base, self.context, self.target, self.model, self.seed, self.params = base, context, target, model, seed, params
@@ -163,9 +232,16 @@ class FeatureSearch:
         return [(f"p<{x}", f) for x in limits if (f := select_significant(train, both, self.target, x))]
 
     def run(self, train: DataFrame, val: DataFrame, test: DataFrame | None = None, n_random: int = 3, ablation: bool = False, significance: bool = False) -> SearchSummary:
-        train, val = train.persist(), val.persist()
+        needed = [*self.base, *self.context, self.target]
+        train, val = (d.select(*dict.fromkeys(needed)) for d in (train, val))
+        val.persist()
         try:
+            if significance:
+                train.persist()
             sets = self.combinations(n_random) + (self.ablations() if ablation else []) + (self.significant(train) if significance else [])
+            if closed_form(self.model, self.params) and (quick := self._by_moments(train, val, test, sets)):
+                return quick
+            train.persist()
             results = []
             for name, features in sets:
                 began = time.time()
@@ -179,6 +255,27 @@ class FeatureSearch:
         return SearchSummary(results, results[0], best, final)
 
 
+    def _by_moments(self, train: DataFrame, val: DataFrame, test: DataFrame | None, sets: list[tuple[str, list[str]]]) -> SearchSummary | None:
+        """The same search by moments; None if features have gaps."""
+        began = time.time()
+        penalty, used = preset(self.model, self.params)["regParam"], [*dict.fromkeys([*self.base, *self.context])]
+        of = lambda d: moments(_with_target(d, used, self.target), [*used, self.target])
+        m = of(train)
+        found = ridge_sets(m, val, [f for _, f in sets], self.target, penalty)
+        if not found:
+            return None
+        each = (time.time() - began) / len(sets)
+        results = [SearchResult(name, f, s.rmse, each, ridge.importances) for (name, f), (ridge, s) in zip(sets, found, strict=True)]
+        best = min(results, key=lambda x: (x.validation_rmse, len(x.features)))
+        final = None
+        if test is not None:
+            last = ridge_sets(m + of(val), test, [best.features], self.target, penalty)
+            if not last:
+                return None
+            final = last[0][1]
+        return SearchSummary(results, results[0], best, final)
+
+
 def iterative_pruning(train: DataFrame, val: DataFrame, features: list[str], target: str, model: str = "random_forest", keep: float = 0.7, smallest: int = 2, params: dict | None = None) -> list[SearchResult]:
     """Retrains on the most important share of features until few are left."""
     out, current = [], list(features)
@@ -202,8 +299,13 @@ class Leg:
 
 
 def two_legs(model: str, train: DataFrame, test: DataFrame, base: list[str], context: list[str], target: str, params: dict | None = None) -> Leg:
-    """The same model without and with context features."""
-    needed = [*base, *context, target]
+    """The same model without and with context features; ridges of gapless features take a pass over each side."""
+    needed = list(dict.fromkeys([*base, *context, target]))
+    if closed_form(model, params):
+        m = moments(_with_target(train, needed[:-1], target), needed)
+        found = ridge_sets(m, test, [base, [*base, *context]], target, preset(model, params)["regParam"])
+        if found:
+            return Leg(found[0][1], found[1][1])
     train, test = train.select(*needed).persist(), test.select(*needed).persist()
     try:
         return Leg(train_model(model, train, base, target, test, params).test, train_model(model, train, [*base, *context], target, test, params).test)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -9,8 +11,8 @@ from ..config import ContextSpec, WalkForwardSpec
 from ..functions.scores import LexiconScorer, score_cached, score_with
 from ..functions.windows import add_technical_features
 from ..operators import forecast, guards, models
-from ..operators.context import ContextEstimator
-from ..operators.folds import random_holdout, selection_split
+from ..operators.context import ContextEstimator, serving
+from ..operators.folds import balanced_fold, hash_place, random_holdout, selection_split
 from .base import r, sql_r, table
 from .panel import panel
 from .sessions import ARTICLE_KEY_SQL, _lexicon_sql
@@ -30,44 +32,72 @@ def cached_scoring(spark, sf_dir):
     return scored.select("doc_id", "article_key", r("score", 6).alias("score"))
 
 
-def _model_rows(spark, sf_dir, spoil=lambda d: d, strategy="random"):
-    """Enriched training and test rows; spoil changes the training rows before they are enriched."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    split = random_holdout(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+_BASE = ["l_quantity", "l_discount", "l_tax"]
+_CONTEXT = ["l_suppkey_l_extendedprice_mean", "l_returnflag_l_extendedprice_mean"]
+_NEEDED = ["l_suppkey", "l_returnflag", *_BASE, "l_extendedprice", "place"]
+
+
+@contextmanager
+def _kept(df):
+    """df stored while it is in use, as every level and pass reads it."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _sides(spark, sf_dir, keys=()):
+    """Training rows with their place in the hash order of folds and splits, and test rows; spoiling changes no key, so the place serves all legs."""
+    li = table(spark, sf_dir, "lineitem").select(*_KEY, "l_returnflag", *_BASE, "l_extendedprice")
+    split = random_holdout(li, _KEY)
+    train, test = (split.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    return hash_place(train, _KEY).select(*keys, *_NEEDED), test.select(*_NEEDED[:-1])
+
+
+def _enriched(train, test, strategy="random"):
+    """Both sides with context."""
     spec = ContextSpec("l_extendedprice", ("l_suppkey", "l_returnflag"), ("mean", "std", "count"), min_group_size=3, strategy=strategy, n_folds=3)
-    train, test = spoil(split.where("split = 'train'").drop("split")), split.where("split = 'test'").drop("split")
-    enriched, model = ContextEstimator(spec, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).fit_transform(train)
-    return enriched, model.transform(test), ["l_quantity", "l_discount", "l_tax"], ["l_suppkey_l_extendedprice_mean", "l_returnflag_l_extendedprice_mean"]
+    folds = lambda d: balanced_fold(d, _KEY, spec.n_folds, spec.seed, place="place")
+    enriched, model = ContextEstimator(serving(spec, _CONTEXT), fold_of=folds).fit_transform(train)
+    return enriched, model.transform(test)
+
+
+def _legs(train, test, strategy="random"):
+    return models.two_legs("ridge", *_enriched(train, test, strategy), _BASE, _CONTEXT, "l_extendedprice")
 
 
 @register("ridge_fit")
 def ridge_fit(spark, sf_dir):
-    train, test, base, context = _model_rows(spark, sf_dir)
-    leg = models.two_legs("ridge", train, test, base, context, "l_extendedprice")
+    train, test = _sides(spark, sf_dir)
+    with _kept(train):
+        leg = _legs(train, test)
     rows = [("baseline", leg.base.rmse, leg.base.mae, leg.base.r2), ("context", leg.context.rmse, leg.context.mae, leg.context.r2)]
     return spark.createDataFrame(rows, "leg string, rmse double, mae double, r2 double")
 
 
 @register("feature_search")
 def feature_search(spark, sf_dir):
-    train, test, base, context = _model_rows(spark, sf_dir)
-    split = selection_split(train, _KEY, 0.2, tail=False)
-    fit, val = (split.where(F.col("split") == s).drop("split") for s in ("train", "val"))
-    found = models.FeatureSearch(base, context, "l_extendedprice").run(fit, val, test, n_random=1)
+    train, test = _sides(spark, sf_dir)
+    with _kept(train):
+        enriched, test = _enriched(selection_split(train, _KEY, 0.2, tail=False, place="place"), test)
+        fit, val = (enriched.where(F.col("split") == s).drop("split") for s in ("train", "val"))
+        found = models.FeatureSearch(_BASE, _CONTEXT, "l_extendedprice").run(fit, val, test, n_random=1)
     return spark.createDataFrame([(x.strategy, len(x.features), x.validation_rmse, x.strategy == found.best.strategy) for x in found.results], "strategy string, n_features int, validation_rmse double, best boolean")
 
 
-def _advantage(spark, sf_dir, spoil):
-    train, test, base, context = _model_rows(spark, sf_dir, spoil)
-    return models.two_legs("ridge", train, test, base, context, "l_extendedprice").improvement
-
-
-_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+def _advantage(train, test, column, seed):
+    """What context gains after a column of the training rows was permuted."""
+    with _kept(guards.permuted(train, column, _KEY, seed).select(*_NEEDED)) as spoiled:
+        return _legs(spoiled, test).improvement
 
 
 @register("permuted_target")
 def permuted_target(spark, sf_dir):
-    found = [_advantage(spark, sf_dir, lambda d, s=s: guards.permuted(d, "l_extendedprice", _KEY, s)) for s in (1, 2)]
+    train, test = _sides(spark, sf_dir, [c for c in _KEY if c not in _NEEDED])
+    with _kept(train):
+        found = [_advantage(train, test, "l_extendedprice", s) for s in (1, 2)]
     return spark.createDataFrame([(k, v, guards.permuted_target_passes(found)) for k, v in enumerate(found)], "run int, advantage double, passed boolean")
 
 
@@ -75,17 +105,20 @@ def permuted_target(spark, sf_dir):
 def crossfit_ab(spark, sf_dir):
     """What in-fold statistics would seem to gain on the training side of the same experiment: the leakage they carry."""
     found = {}
-    for strategy in ("random", "off"):
-        train, test, base, context = _model_rows(spark, sf_dir, strategy=strategy)
-        found[strategy] = models.two_legs("ridge", train, test, base, context, "l_extendedprice").improvement
+    train, test = _sides(spark, sf_dir)
+    with _kept(train):
+        for strategy in ("random", "off"):
+            found[strategy] = _legs(train, test, strategy).improvement
     signal = guards.leakage_signal(found["random"], found["off"])
     return spark.createDataFrame([(found["random"], found["off"], signal)], "out_of_fold double, in_fold double, leakage_signal_pp double")
 
 
 @register("shuffled_groups")
 def shuffled_groups(spark, sf_dir):
-    real = _advantage(spark, sf_dir, lambda d: d)
-    shuffled = _advantage(spark, sf_dir, lambda d: guards.permuted(d, "l_returnflag", _KEY, 5))
+    train, test = _sides(spark, sf_dir, [c for c in _KEY if c not in _NEEDED])
+    with _kept(train):
+        real = _legs(train, test).improvement
+        shuffled = _advantage(train, test, "l_returnflag", 5)
     return spark.createDataFrame([(real, shuffled, guards.shuffled_groups_passes(real, shuffled))], "real double, shuffled double, passed boolean")
 
 

@@ -71,3 +71,70 @@ def test_experiments_from_files(spark, tmp_path):
     (tmp_path / "odd.toml").write_text('[data]\npath = "x"\n[experiment]\nkey = 1\n')
     with pytest.raises(ValueError, match="unknown settings"):
         runner.experiment_of(registry.info("odd"))
+
+
+def test_search_by_moments_gives_what_training_gives(spark, monkeypatch):
+    """One pass over each side serves all sets of gapless features; it agrees with a fit for every set, also with a flat feature."""
+    df = rows(spark, 600).selectExpr("x", "1e6 + double(substr(g, 2)) AS c_mean", "double(pmod(id, 3)) AS c_count", "2.5 AS flat_mean", "y")
+    train, val, test = df.randomSplit([0.6, 0.2, 0.2], 1)
+    search = models.FeatureSearch(["x"], ["c_mean", "c_count", "flat_mean"], "y", "ridge")
+    want = [models.train_model("ridge", train, f, "y", val) for _, f in search.combinations(1)]
+    last = models.train_model("ridge", train.unionByName(val), ["x", "c_mean", "c_count", "flat_mean"], "y", test)
+    leg = [models.train_model("ridge", train, f, "y", test).test for f in (["x"], ["x", "c_mean"])]
+    monkeypatch.setattr(models, "train_model", None)
+    found = search.run(train, val, test, 1)
+    for got, w in zip(found.results, want, strict=True):
+        assert got.validation_rmse == pytest.approx(w.test.rmse, rel=1e-9) and got.importances == pytest.approx(w.importances, abs=1e-9)
+    assert len(found.best.features) < 4 or found.test.rmse == pytest.approx(last.test.rmse, rel=1e-9)
+    both = models.two_legs("ridge", train, test, ["x"], ["c_mean"], "y")
+    for got, w in zip((both.base, both.context), leg, strict=True):
+        assert (got.rmse, got.mae, got.r2, got.n) == (pytest.approx(w.rmse, rel=1e-9), pytest.approx(w.mae, rel=1e-9), pytest.approx(w.r2, rel=1e-9), w.n)
+
+
+def test_search_with_gaps_imputes(spark):
+    """A gap in training, validation or test rows is filled by the median as before."""
+    df = rows(spark, 400).selectExpr("CASE WHEN id % 7 > 0 THEN x END AS x", "double(substr(g, 2)) AS c_mean", "double(pmod(id, 3)) AS c_count", "y")
+    train, test = df.randomSplit([0.7, 0.3], 1)
+    for side in (train, train.where("x IS NOT NULL")):
+        want = models.train_model("ridge", side, ["x"], "y", test).test
+        leg = models.two_legs("ridge", side, test, ["x"], ["c_mean"], "y")
+        assert leg.base.rmse == pytest.approx(want.rmse, rel=1e-9) and leg.base.n == test.count()
+        found = models.FeatureSearch(["x"], ["c_mean"], "y").run(side, test, test, 0)
+        assert found.baseline.validation_rmse == pytest.approx(want.rmse, rel=1e-9)
+
+
+def test_moments_add_up(spark):
+    from ctxloom.operators.linalg import moments
+
+    df = spark.createDataFrame([(float(k), k * k / 7 + 1e6) for k in range(50)], "a double, b double")
+    part = [moments(df.where(c), ["a", "b"]) for c in ("a < 13", "a >= 13", "a < 0")]
+    whole, added = moments(df, ["a", "b"]), part[0] + part[1] + part[2]
+    assert added.n == whole.n == 50 and added.means == pytest.approx(whole.means) and added.products.ravel() == pytest.approx(whole.products.ravel(), rel=1e-9)
+
+
+def test_hash_place_is_the_rank_of_the_hash(spark):
+    """Folds and splits that share a place are those made alone."""
+    from pyspark.sql import functions as F
+
+    from ctxloom.operators import folds
+
+    df = spark.range(5000).withColumn("h", F.xxhash64(F.lit(42), "id"))
+    placed = folds.hash_place(df, ["id"])
+    got = {r.id: r.place for r in placed.collect()}
+    assert got == {r.id: k for k, r in enumerate(sorted(df.collect(), key=lambda r: (r.h, r.id)))}
+    pairs = lambda d, c: {r.id: r[c] for r in d.collect()}
+    assert pairs(folds.balanced_fold(placed, ["id"], 3, place="place"), "fold") == pairs(folds.balanced_fold(df, ["id"], 3), "fold") == {k: v % 3 for k, v in got.items()}
+    assert pairs(folds.selection_split(placed, ["id"], 0.2, False, place="place"), "split") == pairs(folds.selection_split(df, ["id"], 0.2, False), "split")
+
+
+def test_unneeded_combinations_are_left_out(spark):
+    from ctxloom.config import ContextSpec
+    from ctxloom.operators.context import ContextEstimator, serving
+
+    spec = ContextSpec("y", ("a", "b", "c"), ("mean", "count"), min_group_size=2, n_folds=3, depth=3)
+    assert serving(spec, ["a_y_mean"]).allowed_interactions == ()
+    assert serving(spec, ["a__b_y_mean"]).allowed_interactions == (("a", "b"),)
+    df = spark.range(200).selectExpr("id", "id % 5 AS a", "id % 3 AS b", "id % 40 AS c", "double(id) AS y")
+    for columns in (["a_y_mean", "c_y_count"], ["a__b_y_mean"], ["a__b__c_y_mean"]):
+        take = lambda s, c=columns: sorted(map(tuple, ContextEstimator(s, ("id",)).fit_transform(df)[0].select("id", *c).collect()))
+        assert take(serving(spec, columns)) == take(spec)
