@@ -126,13 +126,20 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def permuted(df: DataFrame, column: str, key: list[str], seed: int) -> DataFrame:
-    """df with the column's values dealt to other rows, by two global orders."""
+def values_in_order(df: DataFrame, column: str, key: list[str]) -> DataFrame:
+    """What permuted deals out: the column's values with their place in key order, the same for every seed."""
+    from .folds import positions
+
+    return positions(df.select(*key, F.col(column).alias("__value")), key, "__place").select("__place", "__value")
+
+
+def permuted(df: DataFrame, column: str, key: list[str], seed: int, values: DataFrame | None = None) -> DataFrame:
+    """df with the column's values dealt to other rows, by two global orders; values are those of values_in_order, if there already."""
     from .folds import positions
 
     # names that stay clear of the columns of df
     placed = positions(df.withColumn("__row_h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__row_h", *key], "__place", hashed=True).drop("__row_h")
-    values = positions(df.select(*key, F.col(column).alias("__value")), key, "__place").select("__place", "__value")
+    values = values_in_order(df, column, key) if values is None else values
     return placed.join(values, "__place").withColumn(column, F.col("__value")).select(*df.columns)
 
 

@@ -87,17 +87,17 @@ def feature_search(spark, sf_dir):
     return spark.createDataFrame([(x.strategy, len(x.features), x.validation_rmse, x.strategy == found.best.strategy) for x in found.results], "strategy string, n_features int, validation_rmse double, best boolean")
 
 
-def _advantage(train, test, column, seed):
+def _advantage(train, test, column, seed, values=None):
     """What context gains after a column of the training rows was permuted."""
-    with _kept(guards.permuted(train, column, _KEY, seed).select(*_NEEDED)) as spoiled:
+    with _kept(guards.permuted(train, column, _KEY, seed, values).select(*_NEEDED)) as spoiled:
         return _legs(spoiled, test).improvement
 
 
 @register("permuted_target")
 def permuted_target(spark, sf_dir):
     train, test = _sides(spark, sf_dir, [c for c in _KEY if c not in _NEEDED])
-    with _kept(train):
-        found = [_advantage(train, test, "l_extendedprice", s) for s in (1, 2)]
+    with _kept(train), _kept(guards.values_in_order(train, "l_extendedprice", _KEY)) as values:
+        found = [_advantage(train, test, "l_extendedprice", s, values) for s in (1, 2)]
     return spark.createDataFrame([(k, v, guards.permuted_target_passes(found)) for k, v in enumerate(found)], "run int, advantage double, passed boolean")
 
 

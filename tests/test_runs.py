@@ -118,7 +118,7 @@ def test_hash_place_is_the_rank_of_the_hash(spark):
 
     from ctxloom.operators import folds
 
-    df = spark.range(5000).withColumn("h", F.xxhash64(F.lit(42), "id"))
+    df = spark.range(3000).withColumn("h", F.xxhash64(F.lit(42), "id"))
     placed = folds.hash_place(df, ["id"])
     got = {r.id: r.place for r in placed.collect()}
     assert got == {r.id: k for k, r in enumerate(sorted(df.collect(), key=lambda r: (r.h, r.id)))}
@@ -138,3 +138,21 @@ def test_unneeded_combinations_are_left_out(spark):
     for columns in (["a_y_mean", "c_y_count"], ["a__b_y_mean"], ["a__b__c_y_mean"]):
         take = lambda s, c=columns: sorted(map(tuple, ContextEstimator(s, ("id",)).fit_transform(df)[0].select("id", *c).collect()))
         assert take(serving(spec, columns)) == take(spec)
+
+
+def _jobs(spark, name):
+    """Spark jobs of a query on the smallest tables, and its rows."""
+    from ctxloom.catalog import queries
+
+    spark.sparkContext.setJobGroup(f"jobs of {name}", name)
+    try:
+        found = queries()[name](spark, "/root/testdata/sf0.001").collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"jobs of {name}")), found
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_permuted_target_makes_its_orders_once(spark):
+    """Values of before, in few jobs."""
+    n, found = _jobs(spark, "permuted_target")
+    assert n < 110 and [r.advantage for r in found] == [pytest.approx(-0.0204392010, abs=1e-9), pytest.approx(-0.1813886618, abs=1e-9)]
