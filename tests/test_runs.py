@@ -156,3 +156,8 @@ def test_permuted_target_makes_its_orders_once(spark):
     """Values of before, in few jobs."""
     n, found = _jobs(spark, "permuted_target")
     assert n < 110 and [r.advantage for r in found] == [pytest.approx(-0.0204392010, abs=1e-9), pytest.approx(-0.1813886618, abs=1e-9)]
+
+
+def test_shuffled_groups_makes_its_orders_once(spark):
+    n, found = _jobs(spark, "shuffled_groups")
+    assert n < 110 and found[0].real == pytest.approx(-0.0606530581, abs=1e-9) and found[0].passed == (found[0].real - found[0].shuffled > 0.5 * found[0].real)
