@@ -33,8 +33,13 @@ def positions(df: DataFrame, order: list[str], name: str = "position", weight: s
     alone, so recomputed tasks and both branches of the plan agree on it.  Ties
     need a full order key; nulls come first.  hashed tells that the order begins
     with a 64-bit hash, whose ranges are even and need no sample.
+
+    Every range is a partition, sorted by the order alone and numbered by its
+    rows: the sort of a window would compare the range first, which tells no two
+    rows of it apart.  There are a few ranges to a task slot, so that little is
+    sorted at a time.
     """
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 4 * max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if hashed:
         # the upper 32 bits, from 0
         placed = df.withColumn("__part", F.shiftright((F.shiftright(F.col(order[0]), 32) + (1 << 31)) * ranges, 32).cast("int"))
@@ -44,12 +49,15 @@ def positions(df: DataFrame, order: list[str], name: str = "position", weight: s
         bounds = sample.agg(F.filter(F.array_sort(F.collect_list("__k")), lambda _, k: k % 16 == 15).alias("__bounds"))  # one row
         placed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", key)
         placed = _bounds_up_to(placed, "__bounds", "__key", ranges, "__part").drop("__bounds", "__key")
-    within = Window.partitionBy("__part").orderBy(*order)
-    at = F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(within) - 1
-    numbered = placed.withColumn("__at", at)
+    if weight:
+        within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        numbered = placed.withColumn("__at", F.sum(weight).over(within) - F.col(weight))
+    else:
+        # the lower 33 bits of that id are the row's place in its partition; bounds make one range more than there are bounds
+        numbered = placed.repartitionById(ranges + 1, "__part").sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("__part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    offsets = sizes.select("__part", before.alias("__before"))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))  # one row per range
     return numbered.join(offsets, "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
 
 

@@ -80,13 +80,23 @@ class Moments:
         return Moments(self.columns, n, self.values + other.values, self.means + apart * (other.n / n), self.products + other.products + np.outer(apart, apart) * (self.n * other.n / n))
 
 
+def moment_columns(columns: list[str]) -> list[Column]:
+    """What moments() reads: rows, values and means of each column, and deviations of each pair.
+
+    A variance holds three numbers, a covariance four: with variances, six columns
+    stay below the 100 fields up to which Spark compiles an aggregation.
+    """
+    c, n = [F.col(x).cast("double") for x in columns], len(columns)
+    apart = [F.var_pop(c[i]) if i == j else F.covar_pop(c[i], c[j]) for i in range(n) for j in range(i, n)]
+    return [F.count(F.lit(1)), *[F.count(x) for x in c], *[F.avg(x) for x in c], *apart]
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
     """Moments of columns in one aggregation, by running means rather than sums of squares."""
-    c, n = [F.col(x).cast("double") for x in columns], len(columns)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    row = df.agg(F.count(F.lit(1)), *[F.count(x) for x in c], *[F.avg(x) for x in c], *[F.covar_pop(c[i], c[j]) for i, j in pairs]).first()
+    n = len(columns)
+    row = df.agg(*moment_columns(columns)).first()
     products = np.zeros((n, n))
-    for k, (i, j) in enumerate(pairs):
+    for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i, n)):
         products[i, j] = products[j, i] = (row[1 + 2 * n + k] or 0.0) * row[0]
     return Moments(columns, row[0], np.array(row[1 : n + 1], dtype=float), np.array([x or 0.0 for x in row[n + 1 : 2 * n + 1]]), products)
 

@@ -112,6 +112,39 @@ def test_moments_add_up(spark):
     assert added.n == whole.n == 50 and added.means == pytest.approx(whole.means) and added.products.ravel() == pytest.approx(whole.products.ravel(), rel=1e-9)
 
 
+def _ran(df, node):
+    """Lines of the plan that df ran with, of one kind of node."""
+    df.collect()
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if f" {node}" in x]
+
+
+def test_moments_of_six_columns_are_compiled(spark):
+    """The two legs of a ridge have six columns; interpreted, their aggregation took five times as long."""
+    from ctxloom.operators.linalg import moment_columns
+
+    names = list("abcdef")
+    found = _ran(spark.range(50).selectExpr(*[f"double(id % {k + 2}) AS {c}" for k, c in enumerate(names)]).agg(*moment_columns(names)), "HashAggregate")
+    assert len(found) == 2 and all("*(" in x for x in found)
+
+
+def test_positions_sort_by_their_order_alone(spark):
+    """A range number before the order tells no two rows of a range apart, but was what the sort compared first; also keys that repeat or are null get a place each."""
+    from pyspark.sql import functions as F
+
+    from ctxloom.operators.folds import positions
+
+    df = spark.range(2000).selectExpr("IF(id % 7 = 0, NULL, id % 50) AS k", "id")
+    want = [r.id for r in sorted(df.collect(), key=lambda r: (r.k is not None, r.k or 0, r.id))]
+    for order, hashed in ((["k", "id"], False), (["h", "id"], True)):
+        placed = positions(df.withColumn("h", F.xxhash64("k")), order, hashed=hashed)
+        sorts = _ran(placed, "Sort")
+        assert not [x for x in sorts if "Sort [__part" in x and order[0] in x] and [x for x in sorts if f"Sort [{order[0]}#" in x]
+        rows = sorted(placed.collect(), key=lambda r: r.position)
+        assert [r.position for r in rows] == list(range(2000))
+        assert [r.id for r in rows] == ([r.id for r in sorted(rows, key=lambda r: (r.h, r.id))] if hashed else want)
+    assert positions(df.where("id < 0"), ["k", "id"]).count() == 0
+
+
 def test_hash_place_is_the_rank_of_the_hash(spark):
     """Folds and splits that share a place are those made alone."""
     from pyspark.sql import functions as F
