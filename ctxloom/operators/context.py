@@ -93,10 +93,20 @@ def join_level(df: DataFrame, stats: DataFrame, level: Level, target: str, extra
 
 
 def serving(spec: ContextSpec, columns: list[str]) -> ContextSpec:
-    """spec without the combinations of keys that neither these context columns nor their fallbacks come from; the columns keep their values."""
+    """spec without what these context columns do not come from, which keep their values.
+
+    Left out are combinations of keys that are neither theirs nor their fallbacks',
+    and, where nothing else reads them, statistics and fold spreads; the count stays,
+    as size limits are held against it.
+    """
     combined = [x for x in spec_levels(spec) if len(x) > 1]
     wanted = [set(x) for x in combined if any(c.startswith(f"{level_name(x)}_{spec.target}_") for c in columns)]
-    return replace(spec, allowed_interactions=tuple(x for x in combined if any(set(x) <= w for w in wanted)))
+    spec = replace(spec, allowed_interactions=tuple(x for x in combined if any(set(x) <= w for w in wanted)))
+    if spec.relative or spec.cleanup or spec.backoff_depth:
+        return spec
+    read = [s for s in spec.stats if any(c.endswith(f"_{spec.target}_{s}") or f"_{spec.target}_{s}_fold_" in c for c in columns)]
+    spreads = tuple(f for f in spec.fold_features if any(c.endswith(f"_fold_{f}") for c in columns))
+    return replace(spec, stats=tuple(s for s in spec.stats if s in read or s == "count") if read else spec.stats, fold_features=spreads)
 
 
 def _cardinality(df: DataFrame, spec: ContextSpec) -> dict[str, int]:

@@ -24,6 +24,11 @@ def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, n
     return numbered.withColumn(name, F.pmod(F.col(place or "__pos"), F.lit(n_folds)).cast("int")).drop("__pos")
 
 
+def pieces(df: DataFrame) -> int:
+    """A few partitions to a task slot, so that little is sorted at a time."""
+    return 4 * max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def positions(df: DataFrame, order: list[str], name: str = "position", weight: str | None = None, hashed: bool = False) -> DataFrame:
     """The row's 0-based place in a global order, or the weight before it, without putting all rows into one task.
 
@@ -36,10 +41,9 @@ def positions(df: DataFrame, order: list[str], name: str = "position", weight: s
 
     Every range is a partition, sorted by the order alone and numbered by its
     rows: the sort of a window would compare the range first, which tells no two
-    rows of it apart.  There are a few ranges to a task slot, so that little is
-    sorted at a time.
+    rows of it apart.
     """
-    ranges = 4 * max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = pieces(df)
     if hashed:
         # the upper 32 bits, from 0
         placed = df.withColumn("__part", F.shiftright((F.shiftright(F.col(order[0]), 32) + (1 << 31)) * ranges, 32).cast("int"))

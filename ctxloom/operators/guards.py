@@ -135,11 +135,12 @@ def values_in_order(df: DataFrame, column: str, key: list[str]) -> DataFrame:
 
 def permuted(df: DataFrame, column: str, key: list[str], seed: int, values: DataFrame | None = None) -> DataFrame:
     """df with the column's values dealt to other rows, by two global orders; values are those of values_in_order, if there already."""
-    from .folds import positions
+    from .folds import pieces, positions
 
     # names that stay clear of the columns of df
     placed = positions(df.withColumn("__row_h", F.xxhash64(F.lit(seed), *map(F.col, key))), ["__row_h", *key], "__place", hashed=True).drop("__row_h")
     values = values_in_order(df, column, key) if values is None else values
+    placed, values = (d.repartition(pieces(df), "__place") for d in (placed, values))
     return placed.join(values, "__place").withColumn(column, F.col("__value")).select(*df.columns)
 
 

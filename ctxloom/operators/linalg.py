@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,20 +82,29 @@ class Moments:
 
 
 def moment_columns(columns: list[str]) -> list[Column]:
-    """What moments() reads: rows, values and means of each column, and deviations of each pair.
-
-    A variance holds three numbers, a covariance four: with variances, six columns
-    stay below the 100 fields up to which Spark compiles an aggregation.
-    """
+    """What moments() reads: rows, values and means of each column, and deviations of each pair."""
     c, n = [F.col(x).cast("double") for x in columns], len(columns)
     apart = [F.var_pop(c[i]) if i == j else F.covar_pop(c[i], c[j]) for i in range(n) for j in range(i, n)]
     return [F.count(F.lit(1)), *[F.count(x) for x in c], *[F.avg(x) for x in c], *apart]
 
 
+@contextmanager
+def _compiled(spark: SparkSession, fields: int):
+    """While in use, Spark compiles aggregations that hold this many numbers a group; it interprets those above 100, at several times the cost."""
+    name = "spark.sql.codegen.maxFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), fields)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
     """Moments of columns in one aggregation, by running means rather than sums of squares."""
     n = len(columns)
-    row = df.agg(*moment_columns(columns)).first()
+    with _compiled(df.sparkSession, 2 * n * (n + 3)):
+        row = df.agg(*moment_columns(columns)).first()
     products = np.zeros((n, n))
     for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i, n)):
         products[i, j] = products[j, i] = (row[1 + 2 * n + k] or 0.0) * row[0]

@@ -298,22 +298,29 @@ class Leg:
         return advantage(self.base.rmse, self.context.rmse)
 
 
-def two_legs(model: str, train: DataFrame, test: DataFrame, base: list[str], context: list[str], target: str, params: dict | None = None) -> Leg:
-    """The same model without and with context features; ridges of gapless features take a pass over each side."""
-    needed = list(dict.fromkeys([*base, *context, target]))
+def legs(model: str, train: DataFrame, test: DataFrame, base: list[str], contexts: list[list[str]], target: str, params: dict | None = None) -> list[Leg]:
+    """The same model without and with each set of context features; ridges of gapless features take a pass over each side for all sets."""
+    needed = list(dict.fromkeys([*base, *(c for context in contexts for c in context), target]))
+    sets = [base, *([*base, *context] for context in contexts)]
     if closed_form(model, params):
         m = moments(_with_target(train, needed[:-1], target), needed)
-        found = ridge_sets(m, test, [base, [*base, *context]], target, preset(model, params)["regParam"])
+        found = ridge_sets(m, test, sets, target, preset(model, params)["regParam"])
         if found:
-            return Leg(found[0][1], found[1][1])
+            return [Leg(found[0][1], x[1]) for x in found[1:]]
     train, test = train.select(*needed).persist(), test.select(*needed).persist()
     try:
-        return Leg(train_model(model, train, base, target, test, params).test, train_model(model, train, [*base, *context], target, test, params).test)
+        first, *others = [train_model(model, train, s, target, test, params).test for s in sets]
+        return [Leg(first, x) for x in others]
     finally:
         train.unpersist()
         test.unpersist()
 
 
+def two_legs(model: str, train: DataFrame, test: DataFrame, base: list[str], context: list[str], target: str, params: dict | None = None) -> Leg:
+    """The same model without and with context features."""
+    return legs(model, train, test, base, [context], target, params)[0]
+
+
 def grid(configs: dict[str, list]) -> list[dict]:
     """All combinations of settings."""
     return [dict(zip(configs, values, strict=True)) for values in itertools.product(*configs.values())]

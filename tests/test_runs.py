@@ -118,13 +118,18 @@ def _ran(df, node):
     return [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if f" {node}" in x]
 
 
-def test_moments_of_six_columns_are_compiled(spark):
-    """The two legs of a ridge have six columns; interpreted, their aggregation took five times as long."""
-    from ctxloom.operators.linalg import moment_columns
-
-    names = list("abcdef")
-    found = _ran(spark.range(50).selectExpr(*[f"double(id % {k + 2}) AS {c}" for k, c in enumerate(names)]).agg(*moment_columns(names)), "HashAggregate")
+def test_moments_of_seven_columns_are_compiled(spark):
+    """With more than 100 numbers a group Spark interprets an aggregation, which takes five times as long; six columns had 103."""
+    from ctxloom.operators import linalg
+
+    names, limit = list("abcdefg"), spark.conf.get("spark.sql.codegen.maxFields")
+    df = spark.range(50).selectExpr(*[f"double(id % {k + 2}) AS {c}" for k, c in enumerate(names)])
+    with linalg._compiled(spark, 2 * 7 * 10):
+        found = _ran(df.agg(*linalg.moment_columns(names)), "HashAggregate")
     assert len(found) == 2 and all("*(" in x for x in found)
+    m = linalg.moments(df, names)
+    assert spark.conf.get("spark.sql.codegen.maxFields") == limit
+    assert m.products[0, 0] == pytest.approx(12.5) and m.products[0, 1] == m.products[1, 0] == pytest.approx(sum((i % 2 - 0.5) * (i % 3) for i in range(50)))
 
 
 def test_positions_sort_by_their_order_alone(spark):
@@ -194,3 +199,39 @@ def test_permuted_target_makes_its_orders_once(spark):
 def test_shuffled_groups_makes_its_orders_once(spark):
     n, found = _jobs(spark, "shuffled_groups")
     assert n < 110 and found[0].real == pytest.approx(-0.0606530581, abs=1e-9) and found[0].passed == (found[0].real - found[0].shuffled > 0.5 * found[0].real)
+
+
+def test_shuffled_groups_serves_both_legs_by_one_pass(spark, monkeypatch):
+    """Values of before."""
+    from ctxloom.catalog import queries
+
+    calls, moments = [], models.moments
+    monkeypatch.setattr(models, "moments", lambda *a: calls.append(a) or moments(*a))
+    row = queries()["shuffled_groups"](spark, "/root/testdata/sf0.001").first()
+    assert len(calls) == 1 and row.real == pytest.approx(-0.0606530581, abs=1e-9) and row.shuffled == pytest.approx(-0.0386840768, abs=1e-9)
+
+
+def test_legs_of_several_contexts_are_those_made_alone(spark):
+    """Also where a gap needs an imputer."""
+    df = rows(spark, 400).selectExpr("x", "double(substr(g, 2)) AS c_mean", "CASE WHEN id % 7 > 0 THEN double(pmod(id, 3)) END AS c_gap", "double(pmod(id, 5)) AS c_count", "y")
+    train, test = df.randomSplit([0.7, 0.3], 1)
+    for sets in ([["c_mean"], ["c_mean", "c_count"]], [["c_gap"], ["c_mean"]]):
+        for got, context in zip(models.legs("ridge", train, test, ["x"], sets, "y"), sets, strict=True):
+            want = models.two_legs("ridge", train, test, ["x"], context, "y")
+            assert (got.base.rmse, got.context.rmse, got.improvement) == (pytest.approx(want.base.rmse, rel=1e-9), pytest.approx(want.context.rmse, rel=1e-9), pytest.approx(want.improvement, rel=1e-9))
+
+
+def test_unread_statistics_are_left_out(spark):
+    from ctxloom.config import ContextSpec
+    from ctxloom.operators.context import ContextEstimator, serving
+
+    spec = ContextSpec("y", ("a", "b"), ("mean", "std", "count"), min_group_size=2, n_folds=3)
+    assert (serving(spec, ["a_y_mean"]).stats, serving(spec, ["a_y_mean"]).fold_features) == (("mean", "count"), ())
+    assert serving(ContextSpec("y", ("a",), ("mean", "std"), relative=True), ["a_y_mean"]).stats == ("mean", "std")
+    df = spark.range(200).selectExpr("id", "IF(id % 9 = 0, NULL, id % 50) AS a", "id % 3 AS b", "IF(id % 4 = 0, NULL, double(id)) AS y")
+    for columns in (["a_y_mean"], ["a_y_std", "b_y_mean_fold_std"], ["a__b_y_mean_fold_upper", "b_y_count"]):
+        sides = []
+        for s in (spec, serving(spec, columns)):
+            out, model = ContextEstimator(s, ("id",)).fit_transform(df)
+            sides.append([sorted(map(tuple, d.select("id", *columns).collect()), key=lambda r: r[0]) for d in (out, model.transform(df))])
+        assert sides[0] == sides[1]
