@@ -25,8 +25,9 @@ def balanced_fold(df: DataFrame, key: list[str], n_folds: int, seed: int = 42, n
 
 
 def pieces(df: DataFrame) -> int:
-    """A few partitions to a task slot, so that little is sorted at a time."""
-    return 4 * max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Partitions for a sort: the session's, or up to four times as many where they are few, so that little is sorted at a time."""
+    own = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(own, min(4 * own, 64))
 
 
 def positions(df: DataFrame, order: list[str], name: str = "position", weight: str | None = None, hashed: bool = False) -> DataFrame:
