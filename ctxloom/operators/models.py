@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import random
 import time
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from pathlib import Path
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .cleanup import finite
 from .guards import advantage
 from .linalg import Moments, moments
-from .selection import select_significant
+from .selection import select_significant, significant_of
 
 # Presets by model; boosted and extra-tree families of other libraries map to the nearest Spark one.
 PRESETS = {
@@ -179,6 +181,22 @@ def ridge_sets(m: Moments, test: DataFrame, sets: list[list[str]], target: str,
     return found and list(zip(fitted, found, strict=True))
 
 
+def ridge_rmse(m: Moments, ridge: Ridge, target: str) -> float:
+    """The root mean squared error of a ridge on the rows of these moments, which have no gaps."""
+    at, y = [m.columns.index(c) for c in ridge.features], m.columns.index(target)
+    if not m.n:
+        return 0.0
+    w = np.zeros(len(m.columns))
+    w[at], w[y] = ridge.coefficients, -1.0
+    return math.sqrt(max(float(w @ m.products @ w) / m.n, 0.0) + (float(w @ m.means) + ridge.intercept) ** 2)
+
+
+def median_fill(rows: DataFrame, features: list[str], target: str) -> Callable[[DataFrame], DataFrame]:
+    """What fills gaps of features by the medians of rows, as the imputer of train_model does; each feature needs a value in rows."""
+    found = Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__f" for c in features]).fit(_with_target(rows, features, target)).surrogateDF.first()
+    return lambda d: _with_target(d, features, target).select(*[F.coalesce(F.col(c), F.lit(found[c])).alias(c) for c in features], target)
+
+
 @dataclass
 class SearchResult:
     strategy: str
@@ -205,47 +223,78 @@ class SearchSummary:
 class FeatureSearch:
     """Tries feature sets on a validation split; the test rows are scored once, by the winner.
 
-    Ridges of gapless features come from the moments of the rows: a pass over the
-    training rows and one over the validation rows serve all sets.
+    Ridges come from the moments of the rows: a pass over the training rows and one
+    over the validation rows serve any number of sets. Gaps are filled by the medians
+    of the training rows before.
     """
 
     def __init__(self, base: list[str], context: list[str], target: str, model: str = "ridge", seed: int = 42, params: dict | None = None):
         self.base, self.context, self.target, self.model, self.seed, self.params = base, context, target, model, seed, params
 
-    def combinations(self, n_random: int = 3) -> list[tuple[str, list[str]]]:
+    def draws(self) -> int:
+        """Random sets drawn by default: a twentieth of all sets of context features, 50 to 500 of them, and no more than there are."""
+        n = 2 ** len(self.context)
+        return min(max(50, n // 20), 500, n)
+
+    def combinations(self, n_random: int | None = None) -> list[tuple[str, list[str]]]:
+        """Sets that need no data; of the random ones, repeated sets count once. A fifth as many (by default 10 or more) leave the base out."""
+        n, alone = (self.draws(), max(10, self.draws() // 5)) if n_random is None else (n_random, n_random // 5)
         by_stat: dict[str, list[str]] = {}
         for c in self.context:
             by_stat.setdefault(c.rsplit("_", 1)[-1], []).append(c)
-        out = [("baseline", self.base), ("all", [*self.base, *self.context])]
+        out = [("baseline", self.base), ("all", [*self.base, *self.context]), ("context", self.context)]
         out += [(f"stat:{s}", [*self.base, *cs]) for s, cs in sorted(by_stat.items())]
         r = random.Random(self.seed)
-        for k in range(n_random):
+        for name, base, times in (("random", self.base, n), ("context_random", [], alone)):
             if len(self.context) > 1:
-                out.append((f"random:{k}", [*self.base, *sorted(r.sample(self.context, r.randint(1, len(self.context) - 1)))]))
+                drawn = dict.fromkeys(tuple(sorted(r.sample(self.context, r.randint(1, len(self.context) - 1)))) for _ in range(times))
+                out += [(f"{name}:{k}", [*base, *chosen]) for k, chosen in enumerate(drawn)]
         return [(n, f) for n, f in out if f]
 
-    def ablations(self) -> list[tuple[str, list[str]]]:
-        return [(f"without:{c}", [x for x in [*self.base, *self.context] if x != c]) for c in self.context]
-
-    def significant(self, train: DataFrame, limits: tuple[float, ...] = (0.01, 0.05)) -> list[tuple[str, list[str]]]:
+    def ablations(self, importances: dict[str, float]) -> list[tuple[str, list[str]]]:
+        """Sets without one context feature, without the most and the least important features of all, and of the most important alone."""
         both = [*self.base, *self.context]
-        return [(f"p<{x}", f) for x in limits if (f := select_significant(train, both, self.target, x))]
+        ranked = sorted(both, key=lambda c: (-importances[c], c))
+        kept = [(f"without_best:{k}", ranked[k:]) for k in (1, 2, 3, 5, 10)] + [(f"without_worst:{k}", ranked[:-k]) for k in (1, 2, 3, 5, 10)]
+        kept += [(f"best:{k}", ranked[:k]) for k in (3, 5, 10, 20)]
+        out = [(f"without:{c}", [x for x in both if x != c]) for c in self.context]
+        return [(n, f) for n, f in out + [(n, [c for c in both if c in f]) for n, f in kept if len(f) < len(both)] if f]
+
+    def significant(self, select: Callable[[list[str], float], list[str]], importances: dict[str, float], limits: tuple[float, ...] = (0.01, 0.05), context_limit: float = 0.1) -> list[tuple[str, list[str]]]:
+        """Sets of significant features, and of context that is significant or in the more important half by itself, with and without the base."""
+        out = [(f"p<{x}", select([*self.base, *self.context], x)) for x in limits]
+        if self.context:
+            chosen = {f"context_p<{context_limit}": select(self.context, context_limit), "context_half": sorted(self.context, key=lambda c: (-importances[c], c))[: max(1, len(self.context) // 2)]}
+            out += [s for name, f in chosen.items() if f for s in ((name, f), (f"base_{name}", [*self.base, *f]))]
+        return [(n, f) for n, f in out if f]
+
+    def sets(self, n_random: int | None, ablation: bool, significance: bool, rank: Callable[[list[str]], dict[str, float]], select: Callable[[list[str], float], list[str]]) -> list[tuple[str, list[str]]]:
+        """All sets to try; rank gives importances of features by the search's own model, select those with a p-value below a limit."""
+        out = self.combinations(n_random)
+        if ablation:
+            out += self.ablations(rank([*self.base, *self.context]))
+        if significance:
+            out += self.significant(select, rank(self.context) if self.context else {})
+        return out
 
-    def run(self, train: DataFrame, val: DataFrame, test: DataFrame | None = None, n_random: int = 3, ablation: bool = False, significance: bool = False) -> SearchSummary:
+    def run(self, train: DataFrame, val: DataFrame, test: DataFrame | None = None, n_random: int | None = None, ablation: bool = False, significance: bool = False) -> SearchSummary:
         needed = [*self.base, *self.context, self.target]
         train, val = (d.select(*dict.fromkeys(needed)) for d in (train, val))
-        val.persist()
         try:
-            if significance:
-                train.persist()
-            sets = self.combinations(n_random) + (self.ablations() if ablation else []) + (self.significant(train) if significance else [])
-            if closed_form(self.model, self.params) and (quick := self._by_moments(train, val, test, sets)):
+            if closed_form(self.model, self.params) and (quick := self._by_moments(train, val, test, n_random, ablation, significance)):
                 return quick
             train.persist()
+            val.persist()
+            fit = lambda f, side=None: train_model(self.model, train, f, self.target, side, self.params, self.seed)
+            values = _with_target(train, needed[:-1], self.target).agg(*[F.count(c).alias(c) for c in dict.fromkeys(needed[:-1])]).first()
+            usable = lambda f: [c for c in f if values[c]]
+            rank = lambda f: fit(f).importances if usable(f) else dict.fromkeys(f, 0.0)
             results = []
-            for name, features in sets:
+            for name, features in self.sets(n_random, ablation, significance, rank, lambda f, x: select_significant(train, usable(f), self.target, x)):
+                if results and not usable(features):
+                    continue
                 began = time.time()
-                t = train_model(self.model, train, features, self.target, val, self.params, self.seed)
+                t = fit(features, val)
                 results.append(SearchResult(name, features, t.test.rmse, time.time() - began, t.importances))
             best = min(results, key=lambda x: (x.validation_rmse, len(x.features)))
             final = train_model(self.model, train.unionByName(val), best.features, self.target, test, self.params, self.seed).test if test is not None else None
@@ -254,24 +303,37 @@ class FeatureSearch:
             val.unpersist()
         return SearchSummary(results, results[0], best, final)
 
-
-    def _by_moments(self, train: DataFrame, val: DataFrame, test: DataFrame | None, sets: list[tuple[str, list[str]]]) -> SearchSummary | None:
-        """The same search by moments; None if features have gaps."""
+    def _by_moments(self, train: DataFrame, val: DataFrame, test: DataFrame | None, n_random: int | None, ablation: bool, significance: bool) -> SearchSummary | None:
+        """The same search by moments; None where train_model would have nothing to fit."""
         began = time.time()
         penalty, used = preset(self.model, self.params)["regParam"], [*dict.fromkeys([*self.base, *self.context])]
         of = lambda d: moments(_with_target(d, used, self.target), [*used, self.target])
-        m = of(train)
-        found = ridge_sets(m, val, [f for _, f in sets], self.target, penalty)
-        if not found:
+        m, v = of(train), of(val)
+        known = {c for c, n in zip(m.columns, m.values, strict=True) if n} - {self.target}
+        if not known.intersection(self.base or used):
             return None
-        each = (time.time() - began) / len(sets)
-        results = [SearchResult(name, f, s.rmse, each, ridge.importances) for (name, f), (ridge, s) in zip(sets, found, strict=True)]
+        usable = lambda f: [c for c in f if c in known]
+        gaps = [*m.values, *v.values] != [m.n] * len(m.values) + [v.n] * len(v.values)
+        whole = m + v
+        if gaps:
+            train.persist()
+            val.persist()
+            fill = median_fill(train, usable(used), self.target)
+            m, v = (moments(fill(d), [*usable(used), self.target]) for d in (train, val))
+        fit = lambda f: (lambda r: replace(r, importances=dict.fromkeys(f, 0.0) | r.importances))(fit_ridge(m, usable(f), self.target, penalty))
+        sets = self.sets(n_random, ablation, significance, lambda f: fit(f).importances, lambda f, x: significant_of(m, usable(f), self.target, x))
+        found = [(name, f, fit(f)) for name, f in sets if usable(f)]
+        each = (time.time() - began) / len(found)
+        results = [SearchResult(name, f, ridge_rmse(v, ridge, self.target), each, ridge.importances) for name, f, ridge in found]
         best = min(results, key=lambda x: (x.validation_rmse, len(x.features)))
         final = None
         if test is not None:
-            last = ridge_sets(m + of(val), test, [best.features], self.target, penalty)
+            last = None if gaps else ridge_sets(whole, test, [best.features], self.target, penalty)
             if not last:
-                return None
+                both = train.unionByName(val)
+                known |= {c for c, n in zip(whole.columns, whole.values, strict=True) if n} - {self.target}
+                fill = median_fill(both, usable(best.features), self.target)
+                last = ridge_sets(moments(fill(both), [*usable(best.features), self.target]), fill(test), [usable(best.features)], self.target, penalty)
             final = last[0][1]
         return SearchSummary(results, results[0], best, final)
 

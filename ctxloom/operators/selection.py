@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .linalg import gram, t_two_sided
+from .linalg import Moments, gram, t_two_sided
 from .prepare import fill_median
 
 
@@ -57,10 +57,13 @@ def _standardised(df: DataFrame, features: list[str], target: str) -> tuple[np.n
     g, sums, n = gram(filled, [*features, target])
     if not n:
         raise ValueError("no rows with a target")
-    cov = g / n - np.outer(sums / n, sums / n)
+    return _correlation(g / n - np.outer(sums / n, sums / n)), n
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     sd[sd == 0] = np.inf
-    return cov / np.outer(sd, sd), n
+    return cov / np.outer(sd, sd)
 
 
 def lm_statistics(df: DataFrame, features: list[str], target: str) -> LinearStatistics:
@@ -71,7 +74,16 @@ def lm_statistics(df: DataFrame, features: list[str], target: str) -> LinearStat
 
 def select_significant(df: DataFrame, features: list[str], target: str, limit: float = 0.05, backward: bool = False) -> list[str]:
     """Features whose p-value is below limit; backward: drop the worst until all are. The data is read once."""
-    z, n = _standardised(df, features, target)
+    return _significant(*_standardised(df, features, target), features, limit, backward)
+
+
+def significant_of(m: Moments, features: list[str], target: str, limit: float = 0.05, backward: bool = False) -> list[str]:
+    """select_significant by the moments of rows without gaps."""
+    at = [m.columns.index(c) for c in [*features, target]]
+    return _significant(_correlation(m.products[np.ix_(at, at)] / m.n), m.n, features, limit, backward)
+
+
+def _significant(z: np.ndarray, n: int, features: list[str], limit: float, backward: bool) -> list[str]:
     index = list(range(len(features)))
     while index:
         rows = [*index, len(features)]

@@ -77,13 +77,17 @@ def ridge_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "leg string, rmse double, mae double, r2 double")
 
 
+_SEARCHED = [f"{level}_l_extendedprice_{s}" for level in ("l_suppkey", "l_returnflag", "l_suppkey__l_returnflag") for s in ("mean", "std", "count")]
+
+
 @register("feature_search")
 def feature_search(spark, sf_dir):
+    """The whole search over all statistics of both keys and of their pair: random sets, ablations and significant sets."""
     train, test = _sides(spark, sf_dir)
     with _kept(train):
-        enriched, test = _enriched(selection_split(train, _KEY, 0.2, tail=False, place="place"), test)
+        enriched, test = _enriched(selection_split(train, _KEY, 0.2, tail=False, place="place"), test, context=_SEARCHED)
         fit, val = (enriched.where(F.col("split") == s).drop("split") for s in ("train", "val"))
-        found = models.FeatureSearch(_BASE, _CONTEXT, "l_extendedprice").run(fit, val, test, n_random=1)
+        found = models.FeatureSearch(_BASE, _SEARCHED, "l_extendedprice").run(fit, val, test, ablation=True, significance=True)
     return spark.createDataFrame([(x.strategy, len(x.features), x.validation_rmse, x.strategy == found.best.strategy) for x in found.results], "strategy string, n_features int, validation_rmse double, best boolean")
 
 

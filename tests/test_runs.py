@@ -235,3 +235,42 @@ def test_unread_statistics_are_left_out(spark):
             out, model = ContextEstimator(s, ("id",)).fit_transform(df)
             sides.append([sorted(map(tuple, d.select("id", *columns).collect()), key=lambda r: r[0]) for d in (out, model.transform(df))])
         assert sides[0] == sides[1]
+
+
+def test_whole_search_by_moments_gives_what_training_gives(spark, monkeypatch):
+    """All sets of the search with ablations and significance, by moments as by a fit for every set; also with gaps and a feature without values."""
+    gap = lambda c, k: f"CASE WHEN id % {k} > 0 THEN {c} END"
+    g, n, x = "double(substr(g, 2))", "double(pmod(id, 3))", "double(pmod(id * 53, 31))"
+    exprs = {"whole": [f"{g} AS c_mean", f"{n} AS c_count", f"{x} AS d_mean"], "gaps": [f"{gap(g, 5)} AS c_mean", f"{n} AS c_count", "double(NULL) AS d_mean"]}
+    for columns in exprs.values():
+        sides = rows(spark, 500).selectExpr("x", *columns, "y").randomSplit([0.6, 0.2, 0.2], 1)
+        search = models.FeatureSearch(["x"], ["c_mean", "c_count", "d_mean"], "y", "ridge")
+        quick = search.run(*sides, 3, ablation=True, significance=True)
+        with monkeypatch.context() as m:
+            m.setattr(models, "closed_form", lambda *a: False)
+            slow = search.run(*sides, 3, ablation=True, significance=True)
+        names = [r.strategy for r in quick.results]
+        assert {"context", "without:d_mean", "without_best:1", "without_worst:3", "best:3", "context_half", "base_context_half"} <= set(names) and [x for x in names if x.startswith("p<")]
+        assert [(r.strategy, r.features) for r in slow.results] == [(r.strategy, r.features) for r in quick.results]
+        for got, want in zip(quick.results, slow.results, strict=True):
+            assert got.validation_rmse == pytest.approx(want.validation_rmse, rel=1e-9) and got.importances == pytest.approx(want.importances, abs=1e-9)
+        assert quick.best.validation_rmse == pytest.approx(slow.best.validation_rmse, rel=1e-9) and quick.test.rmse == pytest.approx(slow.test.rmse, rel=1e-6)
+
+
+def test_random_sets_are_as_many_as_the_features_ask_for():
+    search = lambda n: models.FeatureSearch(["x"], [f"c{k}_mean" for k in range(n)], "y")
+    assert [search(n).draws() for n in (1, 2, 6, 9, 11, 20)] == [2, 4, 50, 50, 102, 500]
+    names = [n for n, _ in search(9).combinations()]
+    assert len([n for n in names if n.startswith("random:")]) > 40 and len([n for n in names if n.startswith("context_random:")]) > 5
+    assert len({tuple(f) for n, f in search(9).combinations() if "random" in n}) == len([n for n in names if "random" in n])
+
+
+def test_feature_search_is_the_whole_search(spark):
+    """It was one random set of two context features, without ablations and significance."""
+    n, found = _jobs(spark, "feature_search")
+    names = [r.strategy for r in found]
+    assert n < 110 and len(names) == len(set(names)) > 80 and max(r.n_features for r in found) == 12 and sum(r.best for r in found) == 1
+    kinds = {x.split(":")[0] for x in names}
+    assert {"baseline", "all", "context", "stat", "random", "context_random", "without", "without_best", "without_worst", "best", "context_half"} <= kinds and [x for x in names if "p<" in x]
+    assert min(found, key=lambda r: (r.validation_rmse, r.n_features)).best
+    assert found[0].validation_rmse == pytest.approx(30437.7091091569, rel=1e-9)
