@@ -100,17 +100,31 @@ def _compiled(spark: SparkSession, fields: int):
         spark.conf.set(name, before)
 
 
-def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """Moments of columns in one aggregation, by running means rather than sums of squares."""
+def _moments(columns: list[str], row: tuple) -> Moments:
+    """Moments from a row of moment_columns()."""
     n = len(columns)
-    with _compiled(df.sparkSession, 2 * n * (n + 3)):
-        row = df.agg(*moment_columns(columns)).first()
     products = np.zeros((n, n))
     for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i, n)):
         products[i, j] = products[j, i] = (row[1 + 2 * n + k] or 0.0) * row[0]
     return Moments(columns, row[0], np.array(row[1 : n + 1], dtype=float), np.array([x or 0.0 for x in row[n + 1 : 2 * n + 1]]), products)
 
 
+def moments(df: DataFrame, columns: list[str]) -> Moments:
+    """Moments of columns in one aggregation, by running means rather than sums of squares."""
+    n = len(columns)
+    with _compiled(df.sparkSession, 2 * n * (n + 3)):
+        return _moments(columns, df.agg(*moment_columns(columns)).first())
+
+
+def moments_by(df: DataFrame, by: str, values: list, columns: list[str]) -> list[Moments]:
+    """Moments of the rows of each value of a column of few values, in one aggregation."""
+    n = len(columns)
+    with _compiled(df.sparkSession, 2 * n * (n + 3)):
+        rows = df.where(F.col(by).isin(values)).groupBy(by).agg(*moment_columns(columns)).collect()
+    found = {r[0]: tuple(r)[1:] for r in rows}
+    return [_moments(columns, found.get(v, (0,) * (1 + n) + (None,) * (n + n * (n + 1) // 2))) for v in values]
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     if x <= 0 or x >= 1:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cleanup import finite
 from .guards import advantage
-from .linalg import Moments, moments
+from .linalg import Moments, moments, moments_by
 from .selection import select_significant, significant_of
 
 # Presets by model; boosted and extra-tree families of other libraries map to the nearest Spark one.
@@ -119,9 +119,9 @@ def train_model(name: str, train: DataFrame, features: list[str], target: str, t
     return Trained(fitted, usable, scores(fitted.transform(rows), target), scores(fitted.transform(ready(test)), target) if test is not None else None, weights)
 
 
-def _with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
+def _with_target(df: DataFrame, features: list[str], target: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows with a target, infinite features as null; as train_model has them."""
-    return finite(df.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]), features)
+    return finite(df.where(F.col(target).isNotNull()).select(*keep, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]), features)
 
 
 @dataclass
@@ -220,12 +220,15 @@ class SearchSummary:
         Path(path).write_text(json.dumps({"baseline": asdict(self.baseline), "best": asdict(self.best), "test": self.test and asdict(self.test), "results": [asdict(r) for r in self.results]}, indent=1))
 
 
+_SPLIT = ["train", "val"]
+
+
 class FeatureSearch:
     """Tries feature sets on a validation split; the test rows are scored once, by the winner.
 
     Ridges come from the moments of the rows: a pass over the training rows and one
-    over the validation rows serve any number of sets. Gaps are filled by the medians
-    of the training rows before.
+    over the validation rows, or one over both, serve any number of sets. Gaps are
+    filled by the medians of the training rows before.
     """
 
     def __init__(self, base: list[str], context: list[str], target: str, model: str = "ridge", seed: int = 42, params: dict | None = None):
@@ -278,10 +281,18 @@ class FeatureSearch:
         return out
 
     def run(self, train: DataFrame, val: DataFrame, test: DataFrame | None = None, n_random: int | None = None, ablation: bool = False, significance: bool = False) -> SearchSummary:
+        return self._run(train, val, test, n_random, ablation, significance)
+
+    def run_split(self, rows: DataFrame, test: DataFrame | None = None, n_random: int | None = None, ablation: bool = False, significance: bool = False, split: str = "split") -> SearchSummary:
+        """run() over rows that a column splits into train and val, which ridges read together."""
+        train, val = (rows.where(F.col(split) == s) for s in _SPLIT)
+        return self._run(train, val, test, n_random, ablation, significance, lambda used: moments_by(_with_target(rows, used, self.target, (split,)), split, _SPLIT, [*used, self.target]))
+
+    def _run(self, train: DataFrame, val: DataFrame, test: DataFrame | None, n_random: int | None, ablation: bool, significance: bool, together: Callable[[list[str]], list[Moments]] | None = None) -> SearchSummary:
         needed = [*self.base, *self.context, self.target]
         train, val = (d.select(*dict.fromkeys(needed)) for d in (train, val))
         try:
-            if closed_form(self.model, self.params) and (quick := self._by_moments(train, val, test, n_random, ablation, significance)):
+            if closed_form(self.model, self.params) and (quick := self._by_moments(train, val, test, n_random, ablation, significance, together)):
                 return quick
             train.persist()
             val.persist()
@@ -303,12 +314,12 @@ class FeatureSearch:
             val.unpersist()
         return SearchSummary(results, results[0], best, final)
 
-    def _by_moments(self, train: DataFrame, val: DataFrame, test: DataFrame | None, n_random: int | None, ablation: bool, significance: bool) -> SearchSummary | None:
+    def _by_moments(self, train: DataFrame, val: DataFrame, test: DataFrame | None, n_random: int | None, ablation: bool, significance: bool, together: Callable[[list[str]], list[Moments]] | None) -> SearchSummary | None:
         """The same search by moments; None where train_model would have nothing to fit."""
         began = time.time()
         penalty, used = preset(self.model, self.params)["regParam"], [*dict.fromkeys([*self.base, *self.context])]
         of = lambda d: moments(_with_target(d, used, self.target), [*used, self.target])
-        m, v = of(train), of(val)
+        m, v = together(used) if together else (of(train), of(val))
         known = {c for c, n in zip(m.columns, m.values, strict=True) if n} - {self.target}
         if not known.intersection(self.base or used):
             return None

@@ -86,8 +86,7 @@ def feature_search(spark, sf_dir):
     train, test = _sides(spark, sf_dir)
     with _kept(train):
         enriched, test = _enriched(selection_split(train, _KEY, 0.2, tail=False, place="place"), test, context=_SEARCHED)
-        fit, val = (enriched.where(F.col("split") == s).drop("split") for s in ("train", "val"))
-        found = models.FeatureSearch(_BASE, _SEARCHED, "l_extendedprice").run(fit, val, test, ablation=True, significance=True)
+        found = models.FeatureSearch(_BASE, _SEARCHED, "l_extendedprice").run_split(enriched, test, ablation=True, significance=True)
     return spark.createDataFrame([(x.strategy, len(x.features), x.validation_rmse, x.strategy == found.best.strategy) for x in found.results], "strategy string, n_features int, validation_rmse double, best boolean")
 
 

@@ -274,3 +274,16 @@ def test_feature_search_is_the_whole_search(spark):
     assert {"baseline", "all", "context", "stat", "random", "context_random", "without", "without_best", "without_worst", "best", "context_half"} <= kinds and [x for x in names if "p<" in x]
     assert min(found, key=lambda r: (r.validation_rmse, r.n_features)).best
     assert found[0].validation_rmse == pytest.approx(30437.7091091569, rel=1e-9)
+
+
+def test_search_reads_both_sides_together(spark, monkeypatch):
+    """The same results as of sides read one by one, also with gaps and without validation rows."""
+    df = rows(spark, 400).selectExpr("x", "double(substr(g, 2)) AS c_mean", "double(pmod(id, 3)) AS c_count", "y", "CASE WHEN id % 5 = 0 THEN 'val' WHEN id % 7 > 0 THEN 'train' END AS split")
+    search = models.FeatureSearch(["x"], ["c_mean", "c_count"], "y")
+    for d in (df, df.selectExpr("IF(x % 4 = 0, NULL, x) AS x", "c_mean", "c_count", "y", "split"), df.where("split = 'train'")):
+        want = search.run(d.where("split = 'train'"), d.where("split = 'val'"), df, 2, ablation=True)
+        with monkeypatch.context() as m:
+            m.setattr(models, "train_model", None)
+            got = search.run_split(d, df, 2, ablation=True)
+        assert [(r.strategy, r.features) for r in got.results] == [(r.strategy, r.features) for r in want.results]
+        assert [r.validation_rmse for r in got.results] == pytest.approx([r.validation_rmse for r in want.results], rel=1e-9) and got.test.rmse == pytest.approx(want.test.rmse, rel=1e-9)
